@@ -51,10 +51,11 @@ def spans(p: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((p[end] - p[start]) * _down.upto(len(p))[start])
 
 
-def windows(p: np.ndarray, k: int) -> np.ndarray:
-    """Hash of each run of k consecutive values."""
-    n = max(0, len(p) - k)
-    return mix((p[k:] - p[:n]) * _down.upto(n)) if n else np.zeros(0, np.uint64)
+def windows(p: np.ndarray, k: int, first: int = 0, last: int | None = None) -> np.ndarray:
+    """Hash of each run of k consecutive values among values [first, last)."""
+    last = len(p) - 1 if last is None else last
+    n = last - first - k + 1
+    return mix((p[first + k : last + 1] - p[first : first + n]) * _down.upto(first + n)[first:]) if n > 0 else np.zeros(0, np.uint64)
 
 
 def byte_prefix(text: bytes) -> np.ndarray:
