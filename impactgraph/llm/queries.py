@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from impactgraph.llm import decontaminate, exact_dedup, substring_dedup, suffix_dedup, token_files, tokens
+from impactgraph.llm import decontaminate, exact_dedup, ngram_join, substring_dedup, suffix_dedup, token_files, tokens
 
 
 def tokenizer_path(name: str) -> str:
@@ -40,11 +40,15 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.removed(table(spark, sf_dir, "documents"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.linked(table(spark, sf_dir, "documents"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_binary, op2_exact_dedup, op3_token_counts, op5_suffix_dedup, op6_substring_dedup, op10_decontaminate)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_binary, op2_exact_dedup, op3_token_counts, op5_suffix_dedup, op6_substring_dedup, op9_ngram_join, op10_decontaminate)}
 
 _WHITE = r"[\x20\x09-\x0D]+"
 
