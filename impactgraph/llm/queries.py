@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from impactgraph.llm import decontaminate, exact_dedup, ngram_join, substring_dedup, suffix_dedup, token_files, tokens
+from impactgraph.llm import decontaminate, exact_dedup, language, mixture, ngram_join, substring_dedup, suffix_dedup, token_files, tokens
 
 
 def tokenizer_path(name: str) -> str:
@@ -40,6 +40,20 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.removed(table(spark, sf_dir, "documents"))
 
 
+def op7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = mixture.copies(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", F.col("__domain").alias("domain"), F.col("__tokens").alias("n_tokens"), F.col("__copies").alias("copies"))
+
+
+#: Documents that the language model must not learn from.
+HELD_OUT = "pmod(crc32(cast(doc_id AS string)), 4) = 2"
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.predict(docs, language.fit(docs, where=f"NOT ({HELD_OUT})"), HELD_OUT)
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.linked(table(spark, sf_dir, "documents"))
 
@@ -48,7 +62,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_binary, op2_exact_dedup, op3_token_counts, op5_suffix_dedup, op6_substring_dedup, op9_ngram_join, op10_decontaminate)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_binary, op2_exact_dedup, op3_token_counts, op5_suffix_dedup, op6_substring_dedup, op7_mixture, op8_language, op9_ngram_join, op10_decontaminate)}
 
 _WHITE = r"[\x20\x09-\x0D]+"
 
@@ -68,6 +82,27 @@ ORACLES: dict[str, str] = {
         SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed,
                sha256(array_to_string(CASE WHEN n_removed IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(ps, i)) END, ' ')) AS kept_sha256
         FROM d LEFT JOIN per USING (doc_id)""",
+    "op7_mixture": """
+        WITH d AS (
+            SELECT doc_id, text, CASE WHEN right(coalesce(source, ''), 1) IN ('0', '1', '2') THEN 'web' WHEN right(coalesce(source, ''), 1) IN ('3', '4', '5') THEN 'books' ELSE 'other' END AS domain,
+                   coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   CASE WHEN coalesce(text, '') = '' THEN 0 ELSE greatest(1, strlen(text) // 4) END AS n_tokens
+            FROM documents),
+        leaf AS (SELECT domain, lang, source, sum(n_tokens) AS tokens, 2.0::DOUBLE * sum(n_tokens) AS cap, 1.0::DOUBLE AS w FROM d GROUP BY ALL HAVING sum(n_tokens) > 0),
+        n1 AS (SELECT domain, sum(cap) AS cap, CASE domain WHEN 'web' THEN 6.0::DOUBLE WHEN 'books' THEN 3 ELSE 1 END AS w, (SELECT floor(sum(tokens) * 0.6::DOUBLE) FROM leaf)::DOUBLE AS budget FROM leaf GROUP BY domain),
+        l1 AS (SELECT *, (budget - coalesce(sum(cap) OVER (ORDER BY cap / w, domain ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY cap / w, domain ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM n1),
+        c1 AS (SELECT max(level) FILTER (cap / w > level) AS cut FROM l1),
+        b1 AS (SELECT domain, CASE WHEN cut IS NULL OR cap / w <= level THEN cap ELSE w * cut END AS budget FROM l1, c1),
+        n2 AS (SELECT domain, lang, sum(cap) AS cap, CASE lang WHEN 'en' THEN 4.0::DOUBLE WHEN 'de' THEN 2 WHEN 'fr' THEN 2 ELSE 1 END AS w, any_value(b1.budget) AS budget FROM leaf JOIN b1 USING (domain) GROUP BY domain, lang),
+        l2 AS (SELECT *, (budget - coalesce(sum(cap) OVER (PARTITION BY domain ORDER BY cap / w, lang ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (PARTITION BY domain ORDER BY cap / w, lang ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM n2),
+        c2 AS (SELECT domain, max(level) FILTER (cap / w > level) AS cut FROM l2 GROUP BY domain),
+        b2 AS (SELECT domain, lang, CASE WHEN cut IS NULL OR cap / w <= level THEN cap ELSE w * cut END AS budget FROM l2 JOIN c2 USING (domain)),
+        l3 AS (SELECT leaf.*, budget, (budget - coalesce(sum(cap) OVER (PARTITION BY domain, lang ORDER BY cap / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (PARTITION BY domain, lang ORDER BY cap / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM leaf JOIN b2 USING (domain, lang)),
+        c3 AS (SELECT domain, lang, max(level) FILTER (cap / w > level) AS cut FROM l3 GROUP BY domain, lang),
+        b3 AS (SELECT domain, lang, source, tokens, floor(CASE WHEN cut IS NULL OR cap / w <= level THEN cap ELSE w * cut END)::BIGINT AS budget FROM l3 JOIN c3 USING (domain, lang)),
+        o AS (SELECT d.*, budget // tokens AS whole, budget % tokens AS rest, md5('11:' || (budget // tokens) || ':' || coalesce(doc_id::VARCHAR, '')) AS h FROM d LEFT JOIN b3 USING (domain, lang, source))
+        SELECT doc_id, domain, n_tokens, CAST(coalesce(whole + CASE WHEN sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY substr(h, 1, 15), doc_id, md5(coalesce(text, '')) ROWS UNBOUNDED PRECEDING) <= rest THEN 1 ELSE 0 END, 0) AS BIGINT) AS copies
+        FROM o""",
     "op10_decontaminate": r"""
         WITH dw AS (
             SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
