@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from impactgraph.llm import decontaminate, exact_dedup, language, mixture, ngram_join, substring_dedup, suffix_dedup, token_files, tokens
+from impactgraph.llm import decontaminate, exact_dedup, language, line_dedup, mixture, ngram_join, substring_dedup, suffix_dedup, token_files, tokens
 
 
 def tokenizer_path(name: str) -> str:
@@ -32,6 +32,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = line_dedup.dedup(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_units", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removed(table(spark, sf_dir, "documents"))
 
@@ -62,7 +67,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_binary, op2_exact_dedup, op3_token_counts, op5_suffix_dedup, op6_substring_dedup, op7_mixture, op8_language, op9_ngram_join, op10_decontaminate)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_binary, op2_exact_dedup, op3_token_counts, op4_line_dedup, op5_suffix_dedup, op6_substring_dedup, op7_mixture, op8_language, op9_ngram_join, op10_decontaminate)}
 
 _WHITE = r"[\x20\x09-\x0D]+"
 
