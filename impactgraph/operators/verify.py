@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -147,8 +148,6 @@ def member_changes(before: DataFrame, after: DataFrame) -> DataFrame:
 
     Sides: file, line, name, text. Each name's first line counts. Balanced parentheses need Python, on changed lines only.
     """
-    import pandas as pd
-
     @F.pandas_udf("string")
     def parameter_list_udf(declaration: pd.Series, name: pd.Series) -> pd.Series:
         return pd.Series([parameter_list(d or "", n or "") for d, n in zip(declaration, name, strict=True)], dtype=object)
@@ -161,8 +160,6 @@ def member_changes(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def base_contract_family(symbols: DataFrame, seed: DataFrame) -> DataFrame:
     """Symbols of a removed contract's name whose parameters match. seed: name, params; symbols: id, name, kind, params."""
-    import pandas as pd
-
     @F.pandas_udf("boolean")
     def match(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([parameters_match(x or "", y or "") for x, y in zip(a, b, strict=True)])
