@@ -53,27 +53,43 @@ def _choices(width: np.ndarray) -> np.ndarray:
 
 def pack(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
     """(words, word offset of each block and the end)."""
-    v = np.asarray(values, _U)
-    n = len(v)
-    if not n:
-        return np.zeros(0, _U), np.zeros(1, np.int64)
-    starts = np.arange(0, n, block)
-    pad = np.full((len(starts), block + 60), 255, np.uint8)  # values of the next block never fit
-    flat = np.full(len(starts) * block, 255, np.uint8)
-    flat[:n] = _widths(v)
-    pad[:, :block] = flat.reshape(-1, block)
-    choice = _choices(np.concatenate([pad.ravel(), np.full(60, 255, np.uint8)])).reshape(len(starts), -1)[:, :block]
+    words, blocks, edges = pack_many(values, np.array([len(values)]), block)
+    return words, np.append(blocks, len(words))
+
+
+def pack_many(values: np.ndarray, sizes: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sequences of the given sizes, one behind the other, packed at once.
+
+    (words, word offset of each block, edges): words and blocks of sequence i are those from edges[0][i] and edges[1][i]
+    up to the next edge. A sequence without values has neither.
+    """
+    v, sizes = np.asarray(values, _U), np.asarray(sizes, np.int64)
+    n_blocks = -(-sizes // block)
+    of = np.repeat(np.arange(len(sizes)), n_blocks)
+    first_block = np.concatenate([[0], np.cumsum(n_blocks)])
+    begin = np.concatenate([[0], np.cumsum(sizes)])
+    inside = (np.arange(len(of)) - first_block[of]) * block
+    starts = begin[of] + inside
+    size = np.minimum(block, sizes[of] - inside)
+    if not len(of):
+        return np.zeros(0, _U), np.zeros(0, np.int64), np.zeros((2, len(sizes) + 1), np.int64)
+    # A value that never fits stands between blocks, so that no word crosses from one to the next.
+    shift = np.repeat(np.arange(len(of)), size)
+    width = np.full(len(v) + len(of) + 60, 255, np.uint8)
+    width[np.arange(len(v)) + shift] = _widths(v)
+    choice = _choices(width)
     counts = np.array([*COUNTS, 1, 1])
-    size = np.minimum(block, n - starts)
-    at, row, found = np.zeros(len(starts), np.int64), np.arange(len(starts)), []
-    while len(row):
-        found.append((row * block + at)[:, None])
-        at = at + counts[choice[row, at]]
-        more = at < size[row]
-        row, at = row[more], at[more]
-    first = np.sort(np.concatenate([f.ravel() for f in found]))
-    sel = choice[first // block, first % block]
+    where, end, found = starts + np.arange(len(of)), starts + np.arange(len(of)) + size, []
+    while len(where):
+        found.append(where)
+        where = where + counts[choice[where]]
+        more = where < end
+        where, end = where[more], end[more]
+    padded = np.sort(np.concatenate(found))
+    sel = choice[padded]
     place = np.concatenate([[0], np.cumsum(1 + (sel == ESCAPE))])
+    blocks = place[np.searchsorted(padded, starts + np.arange(len(of)))]
+    first = padded - np.searchsorted(starts + np.arange(len(of)), padded, "right") + 1
     words = sel.astype(_U) << _U(60)
     out = np.zeros(place[-1], _U)
     for s, c in enumerate(COUNTS):
@@ -87,7 +103,7 @@ def pack(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray
     out[place[:-1]] = words
     at = np.flatnonzero(sel == ESCAPE)
     out[place[at] + 1] = v[first[at]]
-    return out, np.append(place[np.searchsorted(first, starts)], place[-1])
+    return out, blocks, np.stack([np.append(blocks, len(out))[first_block], first_block])
 
 
 def unpack(words: np.ndarray, n: int) -> np.ndarray:

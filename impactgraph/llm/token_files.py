@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from impactgraph.llm import simple8b
 from impactgraph.llm.common import Scratch, slices, texts_of
-from impactgraph.llm.tokens import _encoder
+from impactgraph.llm.tokens import WordIds
 
 FILE_SCHEMA = "shard int, doc_id long, before long, n_tokens long, blocks array<int>, words binary"
 
@@ -43,18 +43,21 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, shar
     ordered = docs.repartitionByRange(shards, "doc_id", tie).sortWithinPartitions("doc_id", tie).withColumn("shard", F.spark_partition_id())
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, before, end = _encoder(tokenizer_path), 0, np.array([end_id], "<u4").tobytes()
+        encoder, before, end = WordIds(tokenizer_path), 0, np.array([end_id], "<u4").tobytes()
         for batch in batches:
             texts = texts_of(batch.column("text"))
             for a, b in slices(texts):
-                rows = []
-                for raw in encoder.encode(texts[a:b]):
-                    ids = np.frombuffer(raw + end, "<u4")
-                    words, blocks = simple8b.pack(ids)
-                    rows.append((before, len(ids), blocks[:-1], words.astype("<u8").tobytes()))
-                    before += len(ids)
-                at, n, blocks, words = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column("shard").slice(a, b - a), batch.column("doc_id").slice(a, b - a), pa.array(at, pa.int64()), pa.array(n, pa.int64()), pa.array(blocks, pa.list_(pa.int32())), pa.array(words, pa.binary())], names=["shard", "doc_id", "before", "n_tokens", "blocks", "words"])
+                coded = encoder.encode(texts[a:b])
+                size = np.fromiter(map(len, coded), np.int64, b - a) // 4 + 1
+                flat = np.frombuffer(end.join([*coded, b""]), "<u4")
+                words, blocks, (word_edge, block_edge) = simple8b.pack_many(flat, size)
+                blocks = blocks - np.repeat(word_edge[:-1], np.diff(block_edge))
+                at = before + np.cumsum(size) - size
+                before += int(size.sum())
+                raw = words.astype("<u8").tobytes()
+                lists = pa.ListArray.from_arrays(pa.array(block_edge.astype(np.int32)), pa.array(blocks.astype(np.int32)))
+                binary = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((word_edge * 8).astype(np.int32)), pa.py_buffer(raw)])
+                yield pa.RecordBatch.from_arrays([batch.column("shard").slice(a, b - a), batch.column("doc_id").slice(a, b - a), pa.array(at), pa.array(size), lists, binary], names=["shard", "doc_id", "before", "n_tokens", "blocks", "words"])
 
     ordered.select("shard", "doc_id", "text").mapInArrow(encode, FILE_SCHEMA).write.parquet(path)
 

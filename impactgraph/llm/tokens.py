@@ -10,7 +10,7 @@ import os
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from struct import pack
+from struct import Struct, pack
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -73,6 +73,9 @@ _PIECE = re.compile(rb"(?:%b|[0-9]|%b)+(?:\n(?:%b|[0-9]|%b)+)*" % (_L, _M, _L, _
 _PIECE_PARTS = re.compile(rb"%b+|[0-9]+|%b+|\n" % (_L, _M))
 
 
+_LITTLE = [Struct("<%dI" % n).pack for n in range(32)]
+
+
 class WordIds:
     """Ids of texts by a tokenizer whose pre-tokenizer drops white space, lower-cases, and cuts letters from marks.
 
@@ -91,12 +94,17 @@ class WordIds:
                 ids = [t.id for t in model.tokenize(word.decode())]
             elif word[-1:] in _MARKS_1 and _LETTERS_ONLY.fullmatch(word, 0, len(word) - 1):
                 return self.words[word[:-1]] + self.words[word[-1:]]
+            elif _LETTERS_ONLY.fullmatch(word):
+                low = word.decode().lower().encode()
+                if low != word:
+                    return self.words[low]
+                ids = [t.id for t in model.tokenize(low.decode("latin-1").translate(_LETTERS))]
             elif _WORD.fullmatch(word):
                 low = word.decode().lower().encode()
                 ids = [t.id for p in _WORD_PARTS.findall(low) for t in model.tokenize(p.decode("latin-1").translate(_LETTERS))]
             else:
                 ids = lib.encode(word.decode(), add_special_tokens=False).ids
-            return pack("<%dI" % len(ids), *ids)
+            return _LITTLE[len(ids)](*ids) if len(ids) < len(_LITTLE) else pack("<%dI" % len(ids), *ids)
 
         self.words = Memory(encode)
 
@@ -212,7 +220,7 @@ def counts(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
     """
 
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _counter(path)
+        counter = PieceCounts(path)  # for this task alone, so that idle workers hold no pieces
         for batch in batches:
             texts = texts_of(batch.column("text"))
             n = counter.count(texts) if texts else []
@@ -224,16 +232,6 @@ def counts(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
     return common.unionByName(_huge_counts(docs.where(F.octet_length("text") > HUGE), path, limit))
 
 
-@lru_cache(maxsize=4)
-def _counter(path: str) -> PieceCounts:
-    return PieceCounts(path)
-
-
-@lru_cache(maxsize=4)
-def _encoder(path: str) -> WordIds:
-    return WordIds(path)
-
-
 def _huge_counts(docs: DataFrame, path: str, limit: int) -> DataFrame:
     """Chunks overlap by OVERLAP characters; each gives its boundaries inside the two overlaps and its token count.
 
