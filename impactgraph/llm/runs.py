@@ -5,7 +5,8 @@ anchors, and consecutive windows with one anchor form a run. Over a corpus there
 (K - q + 2) / 2 windows, so that runs can be shuffled where windows can't. A run has two keys: `q`, its anchor, and
 `c`, the hash of all that its windows cover. Windows whose run shares `q` with no other are unique. Runs with equal `c`
 have the same windows. What remains are distinct contexts of one anchor: their windows are compared, inside a task for
-groups of up to LOCAL contexts, and as rows that Spark aggregates for larger ones. Both ways are exact.
+groups of up to LOCAL contexts, and as rows that Spark aggregates for larger ones: rows of blocks of windows first, then
+of the windows of those blocks that are neither repeated as a whole nor unique. Both ways are exact.
 """
 
 from __future__ import annotations
@@ -43,8 +44,12 @@ def find(p: np.ndarray, first: int, last: int, k: int, q: int) -> tuple[np.ndarr
 
 
 def shared(scratch: Scratch, runs: DataFrame) -> DataFrame:
-    """The runs whose anchor another run has too."""
-    twice = runs.groupBy("q").agg(F.count("*").alias("n")).where("n > 1").select("q")
+    """The runs whose anchor another run has too.
+
+    Counts are written before they are joined, here and below: the join then deals both sides anew and can split a
+    partition that one frequent anchor fills.
+    """
+    twice = scratch.write(runs.groupBy("q").agg(F.count("*").alias("n")).where("n > 1").select("q"), "anchors")
     return scratch.write(runs.join(twice, "q"), "shared")
 
 
@@ -89,6 +94,25 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str, size: str, most: i
         yield from ready(True)
 
 
+def blocks(p: np.ndarray, anchor: int, k: int, q: int, size: int) -> Iterator[tuple[int, int, int, int, np.ndarray]]:
+    """Windows of one context in blocks of `size` by their distance to its anchor, so that contexts of one anchor agree.
+
+    For each block: (number, core, span, first window, window hashes). The core is what all windows of a whole block cover
+    and lies within any of them; where the core occurs once, so do they. Where a block's span, all that its windows
+    cover, occurs twice, so do they.
+    """
+    h = hashing.windows(p, k)
+    last = len(h) - 1
+    least = hashing.windows(p, q)[last:]
+    a = last + int(np.flatnonzero(least.view(np.int64) == anchor)[0])
+    for j in range((a - last) // size, a // size + 1):
+        lo, hi = max(0, a - (j * size + size - 1)), min(last, a - j * size)
+        whole = np.array([a - j * size, lo])
+        core, span = hashing.spans(p, whole, np.array([a - (j * size + size - 1) + k, hi + k]))
+        mark = hashing.mix(np.array([j << 20 | (hi - lo) << 10 | (a - hi)], np.uint64))
+        yield j, int(core.view(np.int64)), int((span ^ mark[0]).view(np.int64)), lo, h[lo : hi + 1].view(np.int64)
+
+
 def covered(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     """Mask of n units that some [start, end) covers."""
     step = np.zeros(n + 1, np.int32)

@@ -26,6 +26,8 @@ from impactgraph.llm.common import Scratch, keyed, texts_of
 
 #: Bytes of a string, and of an anchor.
 K, Q = 200, 32
+#: Windows of a block.
+BLOCK = 20
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -107,16 +109,40 @@ def _spans(k: int):
     return rows
 
 
-def _window_rows(k: int):
+_BLOCK = "q long, n long, row_key long, j int, core long, span long, at long, hs array<long>"
+
+
+def _block_rows(k: int, gram: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            out = []
             for q, n, key, p0, text in zip(*(b.column(x).to_pylist() for x in ("q", "n", "row_key", "p0", "bytes")), strict=True):
-                h = hashing.windows(hashing.byte_prefix(text), k)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), q)), pa.array(np.full(len(h), n)), pa.array(np.full(len(h), key)), runs.signed(h), pa.array(p0 + np.arange(len(h)))], names=["q", "n", "row_key", "h", "at"])
+                out += [(q, n, key, j, core, span, p0 + at, hs) for j, core, span, at, hs in runs.blocks(hashing.byte_prefix(text), q, k, gram, BLOCK)]
+            if out:
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["q", "n", "row_key", "j", "core", "span", "at", "hs"])
 
     return rows
 
 
+def _large(scratch: Scratch, texts: DataFrame, k: int, q: int) -> DataFrame:
+    """Repeated strings among the contexts of large buckets, refined from cores to spans to single windows."""
+    rows = texts.repartition("row_key", "p0").mapInArrow(_block_rows(k, q), _BLOCK)
+    rows = scratch.write(rows, "blocks")
+    cores = rows.groupBy("q", "j", "core").agg(F.count("*").alias("times")).where("times > 1").select("q", "j", "core")
+    cores = scratch.write(cores, "core-keys")
+    rows = scratch.write(rows.join(cores, ["q", "j", "core"]), "cores")
+    spans = rows.groupBy("q", "span").agg(F.count("*").alias("times"), F.min(F.struct("row_key", "at")).alias("one")).where("times > 1")
+    spans = scratch.write(spans, "span-keys")
+    rows = scratch.write(rows.join(spans, ["q", "span"], "left"), "spans")
+    whole = rows.where("times > 1 AND n = 1").select("row_key", F.col("at").alias("s"), (F.col("at") + F.size("hs") - 1 + k).alias("e"))
+    # A block that is repeated as a whole is compared further by one of its copies.
+    single = rows.where("times IS NULL OR (row_key = one.row_key AND at = one.at)").select("q", "n", "row_key", "times", "at", F.posexplode("hs").alias("i", "h"))
+    twice = single.groupBy("q", "h").agg(F.count("*").alias("seen")).where("seen > 1").select("q", "h")
+    part = single.where("n = 1 AND times IS NULL").join(twice, ["q", "h"]).select("row_key", (F.col("at") + F.col("i")).alias("s"), (F.col("at") + F.col("i") + k).alias("e"))
+    return whole.unionByName(part)
+
+
 def marks(scratch: Scratch, docs: DataFrame, k: int = K, q: int = Q) -> DataFrame:
     """(row_key, s, e): spans of bytes to remove."""
     found = docs.select("row_key", "text").mapInArrow(_runs(k, q), "q long, c long, row_key long, p0 long, p1 long")
@@ -125,12 +151,11 @@ def marks(scratch: Scratch, docs: DataFrame, k: int = K, q: int = Q) -> DataFram
     same = found.groupBy("q", "c").agg(F.count("*").alias("n"), F.min(F.struct("row_key", "p0", "p1")).alias("first"))
     same = scratch.write(same.select("q", "c", "n", "first.*"), "contexts")
     groups = same.groupBy("q").agg(F.count("*").alias("contexts"), F.min("n").alias("least")).where("contexts > 1 AND least = 1").drop("least")
+    groups = scratch.write(groups, "groups")
     wanted = same.join(groups, "q").drop("c")
     texts = scratch.write(runs.with_texts(docs, wanted, _contexts(k), _CONTEXT), "texts")
     small = texts.where(F.col("contexts") <= runs.LOCAL).repartition("q").sortWithinPartitions("q").mapInArrow(_spans(k), _SPAN)
-    rows = texts.where(F.col("contexts") > runs.LOCAL).repartition("row_key", "p0").mapInArrow(_window_rows(k), "q long, n long, row_key long, h long, at long")
-    twice = rows.groupBy("q", "h").agg(F.count("*").alias("times")).where("times > 1").select("q", "h")
-    large = rows.where("n = 1").join(twice, ["q", "h"]).select("row_key", F.col("at").alias("s"), (F.col("at") + k).alias("e"))
+    large = _large(scratch, texts.where(F.col("contexts") > runs.LOCAL), k, q)
     whole = found.join(same.where("n > 1").select("q", "c"), ["q", "c"]).select("row_key", F.col("p0").alias("s"), (F.col("p1") + k).alias("e"))
     return scratch.write(small.unionByName(large).unionByName(whole), "marks")
 
