@@ -25,6 +25,8 @@ from impactgraph.llm.common import Scratch, keyed, slices, texts_of
 
 #: Words of a window and of an anchor.
 K, Q = 50, 8
+#: Windows of a block.
+BLOCK = 8
 
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
@@ -93,17 +95,40 @@ def _joined(q: np.ndarray, c: np.ndarray, of: np.ndarray, at: np.ndarray, k: int
     return pa.RecordBatch.from_arrays([pa.array(q[of[first]]), pa.array(c[of[first]]), pa.array(at[first].astype(np.int64)), pa.array((at[last] + k).astype(np.int64))], names=["q", "c", "s", "e"])
 
 
-def _window_rows(k: int):
+_BLOCK = "q long, c long, rank long, j int, core long, span long, at long, hs array<long>"
+
+
+def _block_rows(k: int, gram: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                q, c, rank = (b.column(x).to_numpy() for x in ("q", "c", "rank"))
-                h, of, at = _windows(b, k)
-                yield pa.RecordBatch.from_arrays([pa.array(q[of]), pa.array(c[of]), pa.array(rank[of]), runs.signed(h), pa.array(at.astype(np.int64))], names=["q", "c", "rank", "h", "at"])
+            out = []
+            for q, c, rank, words in zip(*(b.column(x).to_pylist() for x in ("q", "c", "rank", "words")), strict=True):
+                p = hashing.prefix(hashing.Words([words]).hash)
+                out += [(q, c, rank, *block) for block in runs.blocks(p, q, k, gram, BLOCK)]
+            if out:
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names=["q", "c", "rank", "j", "core", "span", "at", "hs"])
 
     return rows
 
 
+def _large(scratch: Scratch, texts: DataFrame, k: int, q: int) -> DataFrame:
+    """Factors among the contexts of large groups, from blocks' cores to their spans to single windows."""
+    rows = scratch.write(texts.repartition("c").mapInArrow(_block_rows(k, q), _BLOCK), "blocks")
+    ends = F.min("rank").alias("least"), F.max("rank").alias("most")
+    cores = rows.groupBy("q", "j", "core").agg(*ends).where("least < most").select("q", "j", "core")
+    cores = scratch.write(cores, "core-keys")
+    rows = scratch.write(rows.join(cores, ["q", "j", "core"]), "cores")
+    spans = scratch.write(rows.groupBy("q", "span").agg(F.min("rank").alias("least")), "span-keys")
+    rows = scratch.write(rows.join(spans, ["q", "span"]), "spans")
+    whole = rows.where("least < rank").select("q", "c", F.col("at").alias("s"), (F.col("at") + F.size("hs") - 1 + k).alias("e"))
+    # Of equal blocks the earliest document's one is compared further: it has what others could be copied from.
+    single = rows.where("least = rank").select("q", "c", "rank", "at", F.posexplode("hs").alias("i", "h"))
+    least = single.groupBy("q", "h").agg(*ends).where("least < most").select("q", "h", "least")
+    part = single.join(least, ["q", "h"]).where("least < rank").select("q", "c", (F.col("at") + F.col("i")).alias("s"), (F.col("at") + F.col("i") + k).alias("e"))
+    return whole.unionByName(part)
+
+
 def marks(scratch: Scratch, docs: DataFrame, k: int = K, q: int = Q) -> DataFrame:
     """(row_key, s, e): spans of words to remove."""
     rank = F.coalesce("doc_id", F.lit(2**63 - 1)).alias("rank")
@@ -113,12 +138,11 @@ def marks(scratch: Scratch, docs: DataFrame, k: int = K, q: int = Q) -> DataFram
     same = found.groupBy("q", "c").agg(F.min(F.struct("rank", "row_key", "p0", "p1")).alias("first"))
     same = scratch.write(same.select("q", "c", "first.*"), "contexts")
     groups = same.groupBy("q").agg(F.count("*").alias("contexts")).where("contexts > 1")
+    groups = scratch.write(groups, "groups")
     wanted = same.join(groups, "q")
     texts = scratch.write(runs.with_texts(docs, wanted, _contexts(k), _CONTEXT), "texts")
     small = texts.where(F.col("contexts") <= runs.LOCAL).repartition("q").sortWithinPartitions("q").mapInArrow(_factors(k), _FACTOR)
-    rows = texts.where(F.col("contexts") > runs.LOCAL).repartition("c").mapInArrow(_window_rows(k), "q long, c long, rank long, h long, at long")
-    least = rows.groupBy("q", "h").agg(F.min("rank").alias("least"), F.max("rank").alias("most")).where("least < most").select("q", "h", "least")
-    large = rows.join(least, ["q", "h"]).where("least < rank").select("q", "c", F.col("at").alias("s"), (F.col("at") + k).alias("e"))
+    large = _large(scratch, texts.where(F.col("contexts") > runs.LOCAL), k, q)
     factors = scratch.write(small.unionByName(large), "factors")
     earliest = same.select("q", "c", F.col("rank").alias("least"))
     later = found.join(earliest, ["q", "c"])
