@@ -123,6 +123,7 @@ def classes(docs: DataFrame) -> DataFrame:
     open_, members, turn = prints.select("row_key", "doc_id", "n_bytes", "fp"), None, 0
     while True:
         heads = open_.groupBy("n_bytes", "fp").agg(F.min(rank).alias("head"), F.count("*").alias("n")).where("n > 1")
+        heads = scratch.write(heads, f"heads{turn}")  # so that the join can split a large group
         twins = scratch.write(open_.join(heads, ["n_bytes", "fp"]).select("row_key", open_.doc_id, "n_bytes", "fp", F.col("head.row_key").alias("head"), F.col("head.doc_id").alias("keep_id")), f"twins{turn}")
         if twins.isEmpty():
             break
@@ -141,7 +142,7 @@ def classes(docs: DataFrame) -> DataFrame:
         open_, turn = twins.join(differ, "row_key", "left_semi").select("row_key", "doc_id", "n_bytes", "fp"), turn + 1
     if members is None:
         return prints.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
-    sizes = members.groupBy("head").agg(F.count("*").alias("group_size"))
+    sizes = scratch.write(members.groupBy("head").agg(F.count("*").alias("group_size")), "sizes")
     found = members.join(sizes, "head")
     alone = F.col("head").isNull()
     return prints.join(found, "row_key", "left").select(
