@@ -33,49 +33,54 @@ def _segments(line: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.floor((F.size(words) - 1) / SEGMENT).cast("int")), lambda s: F.slice(words, s * SEGMENT + 1, SEGMENT))
 
 
+def _words(text: Column) -> Column:
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(" "), F.lit(""))) + 1
+
+
 def units(docs: DataFrame) -> DataFrame:
-    """row_key, rank, u, words: all units that aren't blank."""
+    """row_key, rank, u, unit: all units that aren't blank. Most lines are one unit and are passed on as they are."""
     lines = docs.select("row_key", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("rank"), F.posexplode(F.split("text", "\n", -1)).alias("l", "line"))
-    lines = lines.where(F.trim(F.regexp_replace("line", "[\\t\\x0b\\f\\r]", " ")) != "")
-    one = F.col("w").alias("words")
-    # Most lines are one unit; the others are cut, which takes a nested loop.
-    split = lines.withColumn("w", F.split("line", " ", -1))
-    short = split.where(F.size("w") <= SEGMENT).select("row_key", "rank", (F.col("l").cast("long") * _LINE).alias("u"), one)
-    long = split.where(F.size("w") > SEGMENT).select("row_key", "rank", "l", F.posexplode(_segments(F.col("line"))).alias("s", "words"))
-    long = long.select("row_key", "rank", (F.col("l").cast("long") * _LINE + F.col("s")).alias("u"), "words")
-    return short.unionByName(long.where(F.trim(F.array_join("words", " ")) != ""))
+    cut = F.when(_words(F.col("line")) <= SEGMENT, F.array("line")).otherwise(F.transform(_segments(F.col("line")), lambda w: F.array_join(w, " ")))
+    each = lines.select("row_key", "rank", "l", F.posexplode(cut).alias("s", "unit")).where(F.col("unit").rlike(r"\S"))
+    return each.select("row_key", "rank", (F.col("l").cast("long") * _LINE + F.col("s")).alias("u"), "unit")
 
 
 def _pos() -> Column:
     return F.struct("rank", "row_key", "u")
 
 
-def _halves() -> Column:
+def _halves(n: Column) -> Column:
     """Hashes of the halves that stay intact when a word is edited: two prefixes and two suffixes, some of them the same."""
-    n = F.size("words")
     low, high = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
-    head = lambda m: F.xxhash64(F.lit("head"), F.slice("words", 1, m))
-    tail = lambda m: F.xxhash64(F.lit("tail"), F.slice("words", n - m + 1, m))
-    return F.array_distinct(F.array(head(low), head(high), tail(n - low), tail(n - 1 - high)))
+    head = lambda m: F.xxhash64(F.lit("head"), F.call_function("substring_index", "unit", F.lit(" "), m))
+    tail = lambda m: F.xxhash64(F.lit("tail"), F.call_function("substring_index", "unit", F.lit(" "), -m))
+    return F.array_distinct(F.array(head(low), head(high), tail((n - low).cast("int")), tail((n - 1 - high).cast("int"))))
 
 
 def removed(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(row_key, u) of every unit that goes. docs: as `keyed` has them."""
-    full = F.xxhash64("words"), F.xxhash64(F.lit(1), F.col("words"))
-    all_ = units(docs)
-    slim = all_.select("row_key", "rank", "u", full[0].alias("k1"), full[1].alias("k2"), F.when(F.size("words") >= MIN_WORDS, _halves()).alias("halves"))
+    all_ = units(docs).withColumn("n", _words(F.col("unit")))
+    slim = all_.select("row_key", "rank", "u", F.xxhash64("unit").alias("k1"), F.xxhash64(F.lit(1), "unit").alias("k2"), F.when(F.col("n") >= MIN_WORDS, _halves(F.col("n"))).alias("halves"))
     slim = scratch.write(slim, "units")
-    first = slim.groupBy("k1", "k2").agg(F.min(_pos()).alias("first"), F.count("*").alias("n"))
-    first = scratch.write(first.select("k1", "k2", "n", "first.*"), "first")
-    copies = slim.join(first.where("n > 1").select("k1", "k2", _pos().alias("first")), ["k1", "k2"]).where(_pos() > F.col("first")).select("row_key", "u")
+    # Equal units have equal halves, so that any one's will do.
+    first = slim.groupBy("k1", "k2").agg(F.min(_pos()).alias("first"), F.count("*").alias("n"), F.any_value("halves").alias("halves"))
+    first = scratch.write(first.select("k1", "k2", "n", "first.*", "halves"), "first")
+    repeated = first.where("n > 1").select("k1", "k2", _pos().alias("first"))
+    copies = slim.join(repeated, ["k1", "k2"]).where(_pos() > F.col("first")).select("row_key", "u")
+    copies = scratch.write(copies, "copies")
+    scratch.drop("units")
 
     # Of each distinct unit of MIN_WORDS words the first place; those that share a half with another.
-    places = slim.where("halves IS NOT NULL").join(first.select("k1", "k2", F.col("row_key").alias("r"), F.col("u").alias("v")), ["k1", "k2"]).where("row_key = r AND u = v")
-    half = scratch.write(places.select("row_key", "u", F.explode("halves").alias("h")), "halves")
-    met = half.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    open_ = scratch.write(half.join(met, "h").select("row_key", "u").distinct(), "open")
-    want = F.broadcast(open_) if few(open_) else open_
-    near = scratch.write(all_.join(want, ["row_key", "u"]), "near")
+    half = first.where("halves IS NOT NULL").select("row_key", "u", F.explode("halves").alias("h"))
+    met = scratch.write(half.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "met")
+    open_ = scratch.write(half.join(F.broadcast(met) if few(met) else met, "h").select("row_key", "u").distinct(), "open")
+    scratch.drop("first")
+    names = open_.select("row_key").distinct()
+    if few(open_):
+        near = units(docs.join(F.broadcast(names), "row_key", "left_semi")).join(F.broadcast(open_), ["row_key", "u"])
+    else:
+        near = units(docs.join(names, "row_key", "left_semi")).join(open_, ["row_key", "u"])
+    near = scratch.write(near.select("row_key", "rank", "u", F.split("unit", " ", -1).alias("words")), "near")
 
     # Keys: without word i as a replaced word, at its place; without word i against shorter units; and the unit itself.
     n = F.size("words")
@@ -83,10 +88,12 @@ def removed(docs: DataFrame, scratch: Scratch) -> DataFrame:
     rest = F.when(F.col("i") == 0, F.xxhash64("words")).otherwise(F.xxhash64(F.slice("words", 1, F.col("i") - 1), F.slice("words", F.col("i") + 1, n)))
     keys = scratch.write(kinds.select("rank", "row_key", "u", "n", "i", rest.alias("key")), "keys")
     swap = keys.where("i > 0").groupBy("n", "i", "key").agg(F.min(_pos()).alias("least"), F.max(_pos()).alias("most")).where("least < most").select("n", "i", "key", "least")
+    swap = scratch.write(swap, "swap")
     swapped = keys.join(swap, ["n", "i", "key"]).where(_pos() > F.col("least")).select(_pos().alias("x"), "i", F.col("least").alias("y"), F.lit("swap").alias("kind"))
     size = F.when(F.col("i") == 0, F.col("n")).otherwise(F.col("n") - 1)
     sized = keys.withColumn("m", size)
     meet = sized.groupBy("m", "key").agg(F.min(F.when(F.col("i") == 0, _pos())).alias("short"), F.min(F.when(F.col("i") > 0, _pos())).alias("long"), F.min_by("i", F.when(F.col("i") > 0, _pos())).alias("at")).where("short IS NOT NULL AND long IS NOT NULL")
+    meet = scratch.write(meet, "meet")
     both = sized.join(meet, ["m", "key"])
     longer = both.where("i > 0").where(_pos() > F.col("short")).select(_pos().alias("x"), "i", F.col("short").alias("y"), F.lit("drop").alias("kind"))
     shorter = both.where("i = 0").where(_pos() > F.col("long")).select(_pos().alias("x"), F.col("at").alias("i"), F.col("long").alias("y"), F.lit("add").alias("kind"))
