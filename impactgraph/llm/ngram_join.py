@@ -34,7 +34,7 @@ N, PERCENT = 4, 85
 #: Shingles that the order puts last, at most: the most frequent ones, as 8 MB to broadcast. A fixed bound, and a matter
 #: of speed alone: any order gives the same links.
 LAST = 1 << 20
-#: A task reports a shingle that this many of its documents have.
+#: A batch of documents reports the shingles that this many of them have.
 SEEN = 4
 
 _TABLE = hashing.lower_ascii()
@@ -66,11 +66,10 @@ def _frequent(docs: DataFrame, n: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = list(sets(texts_of(batch.column("text")), n))
-            if got:
-                h, c = np.unique(np.concatenate(got), return_counts=True)
-                many = c >= SEEN
-                yield pa.RecordBatch.from_arrays([pa.array(h[many].view(np.int64)), pa.array(c[many].astype(np.int64))], names=["h", "c"])
+            h = np.sort(np.concatenate([np.zeros(0, np.uint64), *sets(texts_of(batch.column("text")), n)]))
+            many = np.unique(h[SEEN - 1 :][h[SEEN - 1 :] == h[: max(0, len(h) - SEEN + 1)]])
+            c = np.searchsorted(h, many, "right") - np.searchsorted(h, many)
+            yield pa.RecordBatch.from_arrays([pa.array(many.view(np.int64)), pa.array(c)], names=["h", "c"])
 
     counted = docs.select("text").mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
     top = counted.orderBy(F.desc("c"), "h").limit(LAST).toPandas()
@@ -150,6 +149,7 @@ def linked(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     lists = lists.select(F.col("row_key").alias("g"), F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("at", "h"))
     lists = scratch.write(lists, "lists")
     shared = lists.groupBy("h").agg(F.count("*").alias("size")).where("size > 1").select("h")
+    shared = scratch.write(shared, "shared-keys")
     lists = scratch.write(lists.join(shared, "h"), "shared")
     scratch.drop("lists")
     room = f"185 * least(n - at, m - to) >= {percent} * (n + m)".replace("185", str(100 + percent))
@@ -157,6 +157,7 @@ def linked(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
 
     # First every group against the one of its list where the shingle stands earliest.
     first = lists.groupBy("h").agg(F.min(F.struct("at", "g", "n")).alias("x")).select("h", F.col("x.at").alias("to"), F.col("x.g").alias("o"), F.col("x.n").alias("m"))
+    first = scratch.write(first, "first")
     star = lists.join(first, "h").where(f"g <> o AND {room}").select(F.least("g", "o").alias("a"), F.greatest("g", "o").alias("b")).distinct()
     # Within a group of several classes too, as they share all that the join looks at.
     inner = members.where("class <> g").select(F.col("g").alias("a"), F.col("class").alias("b"))
@@ -186,11 +187,15 @@ def linked(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     class_of = rows.join(classes, ["n_shingles", "prefix_id", "whole"], "left").select("row_key", "doc_id", "n_shingles", F.coalesce("class", F.col("row_key")).alias("class"))
     placed = class_of.join(nodes.withColumnRenamed("node", "class"), "class", "left").select("row_key", "doc_id", "n_shingles", F.coalesce("component", F.col("class")).alias("component"))
     placed = scratch.write(placed, "placed")
-    ids = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    # Written first, so that the join can split a component that holds a third of all rows.
+    ids = scratch.write(placed.groupBy("component").agg(F.min("doc_id").alias("component_id")), "ids")
     return placed.join(ids, "component").select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """docs without documents linked to one of a smaller id. Columns and all other rows stay as they are."""
+    """docs without documents linked to one of a smaller id. Columns and all other rows stay as they are.
+
+    Rows of one id go or stay together.
+    """
     gone = linked(docs, n, percent).where("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
