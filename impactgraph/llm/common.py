@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that a Python worker handles at a time; bounds its numpy temporaries.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,6 +27,18 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Rows and bytes of an Arrow batch at most. A batch stands in the JVM and in its Python worker at the same time.
+BATCH_ROWS, BATCH_BYTES = 2048, 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower this session's limits on Arrow batches, if they are higher, so that a worker's memory has a bound."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = str(spark.conf.get(key)).rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 class Scratch:
     """Intermediate tables of one operator call, written as Parquet below the shared folder.
 
@@ -35,6 +47,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        bound_batches(spark)
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def write(self, df: DataFrame, table: str) -> DataFrame:

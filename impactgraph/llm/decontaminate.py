@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from impactgraph.llm import hashing
-from impactgraph.llm.common import slices, texts_of
+from impactgraph.llm.common import bound_batches, slices, texts_of
 
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
@@ -117,6 +117,7 @@ def _digest(items: Iterable[str]) -> str:
 
 def report(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     """One row per document, as SCHEMA has it. No shuffle: each task scans its own texts against the broadcast set."""
+    bound_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     sets = [sc.broadcast(g) for g in _parts(benchmark, "item_id", n)]
 
@@ -143,6 +144,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, spans: bool =
 
     Columns, their order and all other rows stay as they are.
     """
+    bound_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     sets = [sc.broadcast(g) for g in _parts(benchmark, "item_id", n)]
 

@@ -109,7 +109,7 @@ class Words:
         return b" ".join(self.joined[s:e] for s, e in zip(self.start[i:j].tolist(), self.end[i:j].tolist(), strict=True))
 
 
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 
 
 def lower_ascii() -> bytes:

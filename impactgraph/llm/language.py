@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from impactgraph.llm import hashing
-from impactgraph.llm.common import texts_of
+from impactgraph.llm.common import bound_batches, texts_of
 
 BUCKETS, GRAMS, WIDTH = 1 << 14, (2, 4), 16
 #: Labelled rows of each language that the fit may see; labels beyond the most common LABELS are not learned.
@@ -118,6 +118,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, labels: list
 
 def fit(docs: DataFrame, label: str = "lang", where: str = "TRUE") -> Model:
     """A model from at most PER_LABEL rows of each label among those that `where` lets in, picked by a hash of doc_id."""
+    bound_batches(docs.sparkSession)
     own = docs.where(where).where(F.col(label).isNotNull() & F.col("text").isNotNull()).select(F.col(label).alias("y"), "doc_id", "text")
     sizes = {r.y: r["count"] for r in own.groupBy("y").count().orderBy(F.desc("count"), "y").limit(LABELS).collect()}
     labels = sorted(sizes)
@@ -159,6 +160,7 @@ def judge(texts: list[bytes], model: Model, folded: np.ndarray) -> list[tuple[st
 
 def predict(docs: DataFrame, model: Model, held_out: str = "FALSE") -> DataFrame:
     """One row per document, as SCHEMA has it. No shuffle."""
+    bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast((model, model.folded()))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,6 +173,7 @@ def predict(docs: DataFrame, model: Model, held_out: str = "FALSE") -> DataFrame
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
     """docs without texts that are `und` or score below the model's threshold. Columns stay as they are."""
+    bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast((model, model.folded()))
 
     @F.pandas_udf("boolean")

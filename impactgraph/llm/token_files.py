@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from impactgraph.llm import simple8b
-from impactgraph.llm.common import Scratch, slices, texts_of
+from impactgraph.llm.common import Scratch, bound_batches, slices, texts_of
 from impactgraph.llm.tokens import WordIds
 
 FILE_SCHEMA = "shard int, doc_id long, before long, n_tokens long, blocks array<int>, words binary"
@@ -35,6 +35,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, shar
     Texts are dealt by ranges of doc_id first and encoded after, so that the costly encoding runs once.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     if shards is None:
         size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from impactgraph.llm.common import Scratch, keyed, texts_of
+from impactgraph.llm.common import bound_batches, texts_of
 
 #: Pieces that a worker remembers in each of two generations.
 REMEMBERED = 400_000
@@ -219,6 +219,8 @@ def counts(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
     of them keeps many tasks busy; summaries of the overlaps alone return, to be spliced per document.
     """
 
+    bound_batches(docs.sparkSession)
+
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = PieceCounts(path)  # for this task alone, so that idle workers hold no pieces
         for batch in batches:
