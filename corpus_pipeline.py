@@ -15,6 +15,9 @@ from impactgraph.llm import decontaminate, language, mixture, ngram_join, token_
 from impactgraph.llm.common import Scratch
 from impactgraph.llm.queries import HELD_OUT, table, tokenizer_path
 
+#: Near-duplicates of the corpus: words of a shingle, and the similarity in hundredths. Those of op9 are its own contract's.
+NEAR_N, NEAR_PERCENT = 5, 80
+
 #: SQL can't train the language model.
 ORACLE_SQL = None
 
@@ -24,7 +27,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ngram_join.keep_one(docs)
+    return ngram_join.keep_one(docs, n=NEAR_N, percent=NEAR_PERCENT)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
