@@ -1,6 +1,7 @@
 """Line deduplication within an edit bound, by a deletion-neighbourhood join in DataFrame operations alone.
 
-A unit is a line, or, of a line of over SEGMENT words, each SEGMENT consecutive words; words are what single spaces part.
+A unit is a line; words are what single spaces part. On demand (whole=False), of a line of over SEGMENT words each SEGMENT
+consecutive words are a unit instead, so that a part of a long line may go.
 A unit is removed when an earlier unit of the corpus (smaller doc_id, then earlier in its text) lies within the edit bound:
 equal for units of fewer than MIN_WORDS words, else at most BOUND word inserted, deleted or replaced. The earlier unit
 counts whether or not it is removed itself. Units of white space only always stay.
@@ -9,7 +10,8 @@ Each unit emits itself and its variants without one word as hashed keys; units t
 by the key's kind: a replaced word leaves equal variants at one place, an inserted word makes a variant of the longer
 unit equal to the shorter one. So a key needs only its earliest units, never its pairs. The edit distance is verified on
 the words themselves. Before that, units are left out that share neither half with another unit, which edits of one
-word always leave: one half of the words is intact.
+word always leave: one half of the words is intact. Sequences of SEGMENT words or more have polynomial hashes by two primes,
+whose sums up to each word give all variants of a unit in time proportional to its words.
 
 Null texts stay null and have no units. A null doc_id ranks last. Rows with equal ids follow each other in a fixed order.
 A line that loses all its units goes with its line break; a document may become empty, and stays as a row.
@@ -24,6 +26,9 @@ from impactgraph.llm.common import Scratch, few, keyed
 
 SEGMENT, MIN_WORDS = 256, 8
 
+#: Primes and bases of the hashes of long sequences; products stay below 2^63.
+_PRIMES, _BASES = (2147483647, 2147483629), (1103515245, 1664525)
+
 #: A unit's number in its text: its line, then its segment.
 _LINE = 1 << 20
 
@@ -37,10 +42,10 @@ def _words(text: Column) -> Column:
     return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(" "), F.lit(""))) + 1
 
 
-def units(docs: DataFrame) -> DataFrame:
+def units(docs: DataFrame, whole: bool = False) -> DataFrame:
     """row_key, rank, u, unit: all units that aren't blank. Most lines are one unit and are passed on as they are."""
     lines = docs.select("row_key", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("rank"), F.posexplode(F.split("text", "\n", -1)).alias("l", "line"))
-    cut = F.when(_words(F.col("line")) <= SEGMENT, F.array("line")).otherwise(F.transform(_segments(F.col("line")), lambda w: F.array_join(w, " ")))
+    cut = F.array("line") if whole else F.when(_words(F.col("line")) <= SEGMENT, F.array("line")).otherwise(F.transform(_segments(F.col("line")), lambda w: F.array_join(w, " ")))
     each = lines.select("row_key", "rank", "l", F.posexplode(cut).alias("s", "unit")).where(F.col("unit").rlike(r"\S"))
     return each.select("row_key", "rank", (F.col("l").cast("long") * _LINE + F.col("s")).alias("u"), "unit")
 
@@ -57,9 +62,57 @@ def _halves(n: Column) -> Column:
     return F.array_distinct(F.array(head(low), head(high), tail((n - low).cast("int")), tail((n - 1 - high).cast("int"))))
 
 
-def removed(docs: DataFrame, scratch: Scratch) -> DataFrame:
+def _sums(words: Column) -> Column:
+    """For each word, Σ hash(word j) * base^j up to it, by both primes as struct (s0, s1).
+
+    Lists are appended to within blocks of SEGMENT words only, as every append copies.
+    """
+    long = lambda x: F.lit(x).cast("long")
+    hashed = lambda w, t: F.pmod(F.xxhash64(w), long(_PRIMES[t]))
+    none = F.array().cast("array<struct<s0:bigint,s1:bigint>>")
+
+    def step(a: Column, w: Column) -> Column:
+        p = [F.pmod(a[f"p{t}"] * long(_BASES[t]), long(_PRIMES[t])) for t in (0, 1)]
+        s = [F.pmod(a[f"s{t}"] + hashed(w, t) * p[t], long(_PRIMES[t])) for t in (0, 1)]
+        out = F.concat(a["out"], F.array(F.struct(s[0].alias("s0"), s[1].alias("s1"))))
+        return F.struct(p[0].alias("p0"), p[1].alias("p1"), s[0].alias("s0"), s[1].alias("s1"), out.alias("out"))
+
+    def state(a: Column | None, out: Column) -> Column:
+        return F.struct(*((long(int(k[0] == "p")) if a is None else a[k]).alias(k) for k in ("p0", "p1", "s0", "s1")), out.alias("out"))
+
+    def block(a: Column, ws: Column) -> Column:
+        return F.aggregate(ws, state(a, none), step, lambda b: state(b, F.concat(a["out"], F.array(b["out"]))))
+
+    starts = F.sequence(F.lit(0), F.floor((F.size(words) - 1) / SEGMENT).cast("int"))
+    blocks = F.transform(starts, lambda b: F.slice(words, b * SEGMENT + 1, SEGMENT))
+    nothing = F.array().cast("array<array<struct<s0:bigint,s1:bigint>>>")
+    return F.flatten(F.aggregate(blocks, state(None, nothing), block, lambda a: a["out"]))
+
+
+def _long_keys(words: Column, variants: bool) -> Column:
+    """Hashes of the words, then (variants) of the words without word 1, 2, ..."""
+    whole = lambda sums: F.array(F.xxhash64(F.element_at(sums, -1)))
+    if not variants:
+        return F.transform(F.array(_sums(words)), lambda sums: whole(sums)[0])
+    back = [pow(b, -1, p) for b, p in zip(_BASES, _PRIMES, strict=True)]
+
+    def keys(sums: Column) -> Column:
+        end = F.element_at(sums, -1)
+
+        def without(at: Column, i: Column) -> Column:
+            before = [F.when(i > 0, F.get(sums, i - 1)[f"s{t}"]).otherwise(F.lit(0).cast("long")) for t in (0, 1)]
+            rest = [F.pmod(end[f"s{t}"] - at[f"s{t}"], F.lit(_PRIMES[t]).cast("long")) for t in (0, 1)]
+            return F.xxhash64(F.struct(*(F.pmod(before[t] + rest[t] * F.lit(back[t]).cast("long"), F.lit(_PRIMES[t]).cast("long")).alias(f"s{t}") for t in (0, 1))))
+
+        return F.concat(whole(sums), F.transform(sums, without))
+
+    # Through arrays of one, so that the sums are worked out once a unit.
+    return F.flatten(F.transform(F.array(_sums(words)), keys))
+
+
+def removed(docs: DataFrame, scratch: Scratch, whole: bool = False) -> DataFrame:
     """(row_key, u) of every unit that goes. docs: as `keyed` has them."""
-    all_ = units(docs).withColumn("n", _words(F.col("unit")))
+    all_ = units(docs, whole).withColumn("n", _words(F.col("unit")))
     slim = all_.select("row_key", "rank", "u", F.xxhash64("unit").alias("k1"), F.xxhash64(F.lit(1), "unit").alias("k2"), F.when(F.col("n") >= MIN_WORDS, _halves(F.col("n"))).alias("halves"))
     slim = scratch.write(slim, "units")
     # Equal units have equal halves, so that any one's will do.
@@ -77,16 +130,20 @@ def removed(docs: DataFrame, scratch: Scratch) -> DataFrame:
     scratch.drop("first")
     names = open_.select("row_key").distinct()
     if few(open_):
-        near = units(docs.join(F.broadcast(names), "row_key", "left_semi")).join(F.broadcast(open_), ["row_key", "u"])
+        near = units(docs.join(F.broadcast(names), "row_key", "left_semi"), whole).join(F.broadcast(open_), ["row_key", "u"])
     else:
-        near = units(docs.join(names, "row_key", "left_semi")).join(open_, ["row_key", "u"])
+        near = units(docs.join(names, "row_key", "left_semi"), whole).join(open_, ["row_key", "u"])
     near = scratch.write(near.select("row_key", "rank", "u", F.split("unit", " ", -1).alias("words")), "near")
 
     # Keys: without word i as a replaced word, at its place; without word i against shorter units; and the unit itself.
     n = F.size("words")
-    kinds = near.select("rank", "row_key", "u", n.alias("n"), F.explode(F.sequence(F.lit(0), n)).alias("i"), "words")
+    kinds = near.where(n <= SEGMENT).select("rank", "row_key", "u", n.alias("n"), F.explode(F.sequence(F.lit(0), n)).alias("i"), "words")
     rest = F.when(F.col("i") == 0, F.xxhash64("words")).otherwise(F.xxhash64(F.slice("words", 1, F.col("i") - 1), F.slice("words", F.col("i") + 1, n)))
-    keys = scratch.write(kinds.select("rank", "row_key", "u", "n", "i", rest.alias("key")), "keys")
+    # A sequence of SEGMENT words is what a longer unit may become by a deletion, so it has their kind of hash.
+    short = kinds.where(f"n < {SEGMENT} OR i > 0").select("rank", "row_key", "u", "n", "i", rest.alias("key"))
+    edge = near.where(n == SEGMENT).select("rank", "row_key", "u", n.alias("n"), F.posexplode(_long_keys(F.col("words"), False)).alias("i", "key"))
+    more = near.where(n > SEGMENT).select("rank", "row_key", "u", n.alias("n"), F.posexplode(_long_keys(F.col("words"), True)).alias("i", "key"))
+    keys = scratch.write(short.unionByName(edge).unionByName(more), "keys")
     swap = keys.where("i > 0").groupBy("n", "i", "key").agg(F.min(_pos()).alias("least"), F.max(_pos()).alias("most")).where("least < most").select("n", "i", "key", "least")
     swap = scratch.write(swap, "swap")
     swapped = keys.join(swap, ["n", "i", "key"]).where(_pos() > F.col("least")).select(_pos().alias("x"), "i", F.col("least").alias("y"), F.lit("swap").alias("kind"))
@@ -111,12 +168,12 @@ def removed(docs: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.write(copies.unionByName(edited), "gone")
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, text (without the units that go), n_units, n_removed."""
+def dedup(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """doc_id, text (without the units that go), n_units, n_removed. whole: lines of over SEGMENT words are one unit too."""
     scratch = Scratch(docs.sparkSession, "line-dedup")
     nulls = docs.where("text IS NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), F.lit(0).cast("long").alias("n_units"), F.lit(0).cast("long").alias("n_removed"))
     docs = keyed(docs.where("text IS NOT NULL"), scratch)
-    gone = removed(docs, scratch).groupBy("row_key").agg(F.array_sort(F.collect_list("u")).alias("gone"))
+    gone = removed(docs, scratch, whole).groupBy("row_key").agg(F.array_sort(F.collect_list("u")).alias("gone"))
     keys = gone.select("row_key")
     n_lines = F.size(F.split("text", "\n", -1)).cast("long")
     if few(keys):
@@ -129,10 +186,12 @@ def dedup(docs: DataFrame) -> DataFrame:
 
     def kept(line: Column, l: Column) -> Column:  # noqa: E741
         base = l.cast("long") * _LINE
+        if whole:
+            return F.when(~F.array_contains("gone", base), line)
         part = F.filter(_segments(line), lambda w, s: ~F.array_contains("gone", base + s))
         cut = F.when(F.size(part) > 0, F.array_join(F.flatten(part), " "))
-        whole = F.when(~F.array_contains("gone", base), line)
-        return F.when(F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) < SEGMENT, whole).otherwise(cut)
+        intact = F.when(~F.array_contains("gone", base), line)
+        return F.when(F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) < SEGMENT, intact).otherwise(cut)
 
     text = F.array_join(F.filter(F.transform(F.split("text", "\n", -1), kept), lambda x: x.isNotNull()), "\n")
     less = less.select("doc_id", text.alias("text"), n_lines.alias("n_units"), F.size("gone").cast("long").alias("n_removed"))

@@ -33,7 +33,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = line_dedup.dedup(table(spark, sf_dir, "documents"))
+    got = line_dedup.dedup(table(spark, sf_dir, "documents"), whole=True)
     return got.select("doc_id", "n_units", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
