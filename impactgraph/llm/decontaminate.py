@@ -4,8 +4,8 @@ Words are maximal runs of [0-9a-z] and non-ASCII characters after lower-casing A
 of `n` consecutive words; an item of fewer words, but not none, is one window. A document word inside an occurrence of
 a window is hit.
 
-Null texts have no words. Items without words, and items without an id, are never found. Repeated items count once;
-repeated documents are judged one by one. An empty benchmark hits nothing.
+Null texts have no words. Items without words are never found. Repeated items count once, and so do all items without an id
+together, which the digest of ids leaves out; repeated documents are judged one by one. An empty benchmark hits nothing.
 """
 
 from __future__ import annotations
@@ -39,19 +39,19 @@ BROADCAST_BYTES = 64 << 20
 class Grams:
     """Test n-grams by length: sorted hashes, the grams' words, and the items that hold each."""
 
-    items: list[str]
+    items: list[str | None]
     by_length: dict[int, tuple[np.ndarray, list[list[bytes]], list[list[list[int]]], np.ndarray]]
 
 
-def grams(benchmark: Iterable[tuple[str, str]], n: int = WINDOW) -> Grams:
+def grams(benchmark: Iterable[tuple[str | None, str]], n: int = WINDOW) -> Grams:
     """benchmark: (item id, text)."""
     held: dict[int, dict[bytes, set[int]]] = {}
-    items: dict[str, int] = {}
+    items: dict[str | None, int] = {}
     for item, text in benchmark:
         words = (text or "").encode().translate(TABLE).split()
-        if item is None or not words:
+        if not words:
             continue
-        at, k = items.setdefault(str(item), len(items)), min(n, len(words))
+        at, k = items.setdefault(None if item is None else str(item), len(items)), min(n, len(words))
         for i in range(len(words) - k + 1):
             held.setdefault(k, {}).setdefault(b" ".join(words[i : i + k]), set()).add(at)
     out = {}
@@ -111,8 +111,8 @@ def _parts(benchmark: DataFrame, item_id: str, n: int) -> list[Grams]:
     return [*parts, grams(rows, n)] if rows or not parts else parts
 
 
-def _digest(items: Iterable[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+def _digest(items: Iterable[str | None]) -> str:
+    return hashlib.sha256(",".join(sorted(x for x in items if x is not None)).encode()).hexdigest()
 
 
 def report(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
