@@ -1,9 +1,8 @@
-"""Substring deduplication by relative Lempel-Ziv parsing over words.
+"""Substring deduplication over words by hashed windows, in place of relative Lempel-Ziv parsing.
 
-Reference blocks are the distinct contexts of every document, indexed by anchor (see `runs`). A document is factored
-greedily against all blocks of documents with smaller ids: a factor starts where K words occur in an earlier document
-and goes on while each next K words do. Factors start and end at arbitrary words, so that each window of K words that
-crosses a factor's end is looked up by itself as well; no window is skipped.
+Each distinct context of every document has an anchor (see `runs`). All windows of K words of the contexts of one anchor
+are matched by hash, and those whose least rank is that of an earlier document are hits. Consecutive hits of a context
+are one factor. Nothing is parsed greedily or extended against a block; no window is skipped.
 
 Words are runs of characters other than ASCII white space, unchanged. Every word covered by a window of K words whose
 word sequence also starts in a document with a smaller doc_id is removed; windows are judged on the input. Null texts
