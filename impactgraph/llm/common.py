@@ -42,13 +42,26 @@ def bound_batches(spark: SparkSession) -> None:
 class Scratch:
     """Intermediate tables of one operator call, written as Parquet below the shared folder.
 
-    A written table cuts the lineage: a lost executor costs the tasks that it ran, not the operator.
+    A written table cuts the lineage: a lost executor costs the tasks that it ran, not the operator. Results are lazy and
+    may read these tables, so that they stay until close() or the end of the driver.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         bound_batches(spark)
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        path, fs = self._at(self.root)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+
+    def _at(self, path: str):
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return at, at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def close(self) -> None:
+        """Delete all tables; nothing that reads them may run after this."""
+        path, fs = self._at(self.root)
+        fs.delete(path, True)
 
     def write(self, df: DataFrame, table: str) -> DataFrame:
         path = f"{self.root}/{table}"
@@ -61,28 +74,63 @@ class Scratch:
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 
-    def drop(self, table: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *tables: str) -> None:
+        for table in tables:
+            path, fs = self._at(f"{self.root}/{table}")
+            fs.delete(path, True)
 
 
 def keyed(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(row_key, doc_id, text) with a unique, non-null row_key and null text read as empty.
+    """(row_key, doc_id, text) with a unique, non-null row_key and null text read as empty."""
+    rows = numbered(docs, scratch)
+    return rows.select("row_key", F.col("doc.doc_id").cast("long").alias("doc_id"), F.coalesce("doc.text", F.lit("")).alias("text"))
+
+
+def numbered(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(row_key, doc): all columns of docs as one struct, so that no name clashes with another.
 
     doc_id itself is the key when it is unique and never null; otherwise rows are numbered once and written, so that
     every later pass sees the same numbers.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    odd = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where((F.col("n") > 1) | F.col("doc_id").isNull())
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    odd = ids.groupBy("doc_id").agg(F.count("*").alias("n")).where((F.col("n") > 1) | F.col("doc_id").isNull())
     if odd.isEmpty():
-        return docs.select(F.col("doc_id").alias("row_key"), "doc_id", "text")
-    return scratch.write(docs.select(F.monotonically_increasing_id().alias("row_key"), "doc_id", "text"), "keyed")
+        return docs.select(F.col("doc_id").cast("long").alias("row_key"), F.struct("*").alias("doc"))
+    return scratch.write(docs.select(F.monotonically_increasing_id().alias("row_key"), F.struct("*").alias("doc")), "numbered")
+
+
+#: Rows of two or three numbers that may be broadcast: some 16 MB.
+FEW = 250_000
+
 
+def few(df: DataFrame, rows: int = FEW) -> bool:
+    """Whether df has at most this many rows; the check in front of every broadcast of computed data.
 
-def few(df: DataFrame, rows: int = 1_000_000) -> bool:
-    """Whether df has at most this many rows; the check in front of every broadcast of computed data."""
-    return df.limit(rows + 1).count() <= rows
+    Each task sends one count. df should be a written table, so that nothing is computed twice.
+    """
+    return df.count() <= rows
+
+
+#: Rows that may share one key of a join; a key with more is split.
+SHARE = 4096
+
+
+def attach(rows: DataFrame, key: str, table: DataFrame, spread: str, scratch: Scratch, name: str) -> DataFrame:
+    """rows joined to table (unique by `key`), with a key of more than SHARE rows split by a hash of `spread`.
+
+    The table's row of such a key is repeated once for each part, so that no task gets more than about SHARE rows of it.
+    """
+    if few(rows):
+        return table.join(F.broadcast(rows), key)
+    hot = rows.groupBy(key).agg(F.count("*").alias("__n")).where(f"__n > {SHARE}").select(key, F.ceil(F.col("__n") / SHARE).cast("int").alias("__parts"))
+    hot = scratch.write(hot, f"{name}-hot")
+    if few(hot):
+        hot = F.broadcast(hot)
+    part = F.coalesce(F.pmod(F.xxhash64(spread), "__parts"), F.lit(0)).cast("int").alias("__part")
+    left = rows.join(hot, key, "left").select(*rows.columns, part)
+    parts = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__parts") - 1, F.lit(0)))).alias("__part")
+    right = table.join(hot, key, "left").select(*table.columns, parts)
+    return left.join(right, [key, "__part"]).drop("__part")
 
 
 def texts_of(column: pa.Array | pa.ChunkedArray) -> list[bytes]:

@@ -1,12 +1,16 @@
-"""Vectorised polynomial hashing modulo 2^64 of byte and word sequences.
+"""Hashes of words, of word sequences and of byte strings.
 
-With prefix sums P[i] = sum_{j<i} v_j B^j, the hash of any span is (P[e] - P[s]) B^-s: it depends on the span's content
-alone, so that chunks, documents and tasks agree on it.
+Words and strings have XXH3 hashes, which have no rule by which unlike ones meet. Polynomials modulo 2^64 have one (words like
+abba... and its complement meet), so that they choose anchors only, where it is enough that equal strings get equal hashes. With prefix sums P[i] = sum_{j<i} v_j B^j, that of a span is
+(P[e] - P[s]) B^-s: it depends on the span's content alone, so that chunks, documents and tasks agree on it.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
+import xxhash
 
 BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(BASE, -1, 1 << 64)
@@ -71,6 +75,47 @@ def slide_min(h: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(m[: len(m) - (w - k)], m[w - k :]) if k < w else m
 
 
+_hash_of = xxhash.xxh3_64_intdigest
+_SPACE = re.compile(rb"[ \t-\r]")
+_PIECE = 1 << 20
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """Hashes of the words of a text, split piece by piece, so that no list has all words of a long one."""
+    if len(text) <= _PIECE:
+        words = text.split()
+        return np.fromiter(map(_hash_of, words), np.uint64, len(words))
+    out, at = [], 0
+    while at < len(text):
+        m = _SPACE.search(text, min(len(text), at + _PIECE))
+        end = m.end() if m else len(text)
+        words = text[at:end].split()
+        out.append(np.fromiter(map(_hash_of, words), np.uint64, len(words)))
+        at = end
+    return np.concatenate(out)
+
+
+def digest(x: bytes) -> int:
+    """Signed 64-bit XXH3."""
+    return xxhash.xxh3_64_intdigest(x) - (1 << 63)
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
+def sequences(words: np.ndarray, n: int) -> np.ndarray:
+    """Hash of each run of n consecutive word hashes: sums of products with odd factors of their own, mixed."""
+    k = len(words) - n + 1
+    factor = mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(BASE)) | np.uint64(1)
+    h = words[:k] * factor[0]
+    for j in range(1, n):
+        h += words[j : j + k] * factor[j]
+    return mix(h ^ np.uint64(n))
+
+
 class Words:
     """Words of some texts: byte bounds, 64-bit hashes, and the text of each.
 
@@ -87,13 +132,7 @@ class Words:
         if solid[0]:
             edge = np.concatenate([[0], edge])
         self.start, self.end = edge[::2], edge[1::2]
-        self.hash = np.empty(len(self.start), np.uint64)
-        bounds = np.searchsorted(self.end, np.arange(0, len(buf) + _CHUNK, _CHUNK))
-        for a, b in zip(bounds, bounds[1:], strict=False):  # pieces, as the temporaries have 8 bytes for each of text
-            if a < b:
-                at, to = self.start[a], self.end[b - 1]
-                p = prefix(BYTE_WORD[buf[at:to]])
-                self.hash[a:b] = spans(p, self.start[a:b] - at, self.end[a:b] - at)
+        self.hash = word_hashes(self.joined)
         size = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
         ends = np.cumsum(size)
         #: Words [first[i], first[i + 1]) are those of text i.
@@ -109,8 +148,5 @@ class Words:
         return b" ".join(self.joined[s:e] for s, e in zip(self.start[i:j].tolist(), self.end[i:j].tolist(), strict=True))
 
 
-_CHUNK = 1 << 18
-
-
 def lower_ascii() -> bytes:
     return bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))

@@ -60,7 +60,7 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.linked(table(spark, sf_dir, "documents"))
+    return ngram_join.linked(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
