@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -39,6 +40,10 @@ def bound_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+#: Seconds between two collections of garbage.
+RELEASE = 3.0
+
+
 class Scratch:
     """Intermediate tables of one operator call, written as Parquet below the shared folder.
 
@@ -50,6 +55,7 @@ class Scratch:
         self.spark = spark
         bound_batches(spark)
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.released = time.monotonic()
         path, fs = self._at(self.root)
         fs.mkdirs(path)
         fs.deleteOnExit(path)
@@ -70,9 +76,12 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def release(self) -> None:
-        """Let Spark's cleaner drop shuffle files of finished jobs now, not at the next chance collection."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        """Let Spark's cleaner drop shuffle files of finished jobs now, not at the next chance collection; every RELEASE
+        seconds at most, as short jobs leave little."""
+        if time.monotonic() - self.released >= RELEASE:
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            self.released = time.monotonic()
 
     def drop(self, *tables: str) -> None:
         for table in tables:

@@ -1,12 +1,13 @@
 """Exact document deduplication by composable polynomial fingerprints, verified chunk by chunk.
 
-A text's fingerprint is two polynomial hashes modulo primes near 2^31. Chunk hashes are computed on their own and
-combined by length-shifted arithmetic: H(AB) = H(A) x^|B| + H(B). Rows of equal length and fingerprint are compared
-with the group's first row chunk by chunk; rows that differ (a collision) form new groups, until none are left.
+A text's fingerprint is two polynomial hashes modulo primes near 2^31. Chunk hashes are computed on their own, those of
+texts of several chunks as rows that Spark deals out, and combined by length-shifted arithmetic: H(AB) = H(A) x^|B| + H(B).
+Rows of equal length and fingerprint are compared with the group's first row chunk by chunk; rows that differ (a
+collision) form new groups, until none are left.
 
 Texts are equal when they are identical after replacing each run of ASCII white space by one space. Null counts as
 empty. Of equal texts the row with the smallest doc_id stays (a null doc_id ranks last; of rows with the same doc_id,
-any one stays). An empty table gives no rows.
+any one stays, and only equal texts make one go). An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,10 +18,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from impactgraph.llm.common import Scratch, few, keyed, texts_of
+from impactgraph.llm.common import Scratch, few, keyed, numbered, texts_of
 
 PRIMES = (2147483647, 2147483629)
 BASES = (1103515245, 1664525377)
@@ -79,6 +80,44 @@ def normalise(text: bytes) -> bytes:
     return b" " * (text[0] in _WHITE) + b" ".join(words) + b" " * (text[-1] in _WHITE)
 
 
+_PRINT = "row_key long, doc_id long, n_bytes long, fp long, text_sha256 string"
+
+
+def _prints(docs: DataFrame) -> DataFrame:
+    """A fingerprint and a digest of every text. Texts of one chunk are hashed where they are read; chunks of longer ones
+    are rows of their own, of which only a length, two hashes and two shifts return."""
+    long = F.octet_length("text") > CHUNK
+    one = docs.where(~long).mapInArrow(_fingerprints, _PRINT)
+    text = F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")
+    digests = docs.where(long).select("row_key", "doc_id", F.sha2(text, 256).alias("text_sha256"))
+    parts = docs.where(long).select("row_key", "text").mapInArrow(lambda it: _batched(_parts(it)), "row_key long, part int, chunk binary")
+    hashed = parts.repartition("row_key", "part").mapInArrow(_chunk_hashes, "row_key long, part int, n long, h0 long, h1 long, s0 long, s1 long")
+    listed = hashed.groupBy("row_key").agg(F.sum("n").alias("n_bytes"), F.array_sort(F.collect_list(F.struct("part", "h0", "h1", "s0", "s1"))).alias("parts"))
+
+    def joined(t: int) -> Column:
+        prime = F.lit(PRIMES[t]).cast("long")
+        return F.aggregate("parts", F.lit(0).cast("long"), lambda h, x: F.pmod(h * x[f"s{t}"] + x[f"h{t}"], prime))
+
+    many = listed.select("row_key", "n_bytes", F.shiftleft(joined(0), 31).bitwiseOR(joined(1)).alias("fp"))
+    return one.unionByName(digests.join(many, "row_key"))
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for r, t in zip(batch.column("row_key").to_pylist(), texts_of(batch.column("text")), strict=True):
+            t = normalise(t)
+            parts = [t[i : i + CHUNK] for i in range(0, len(t), CHUNK)] or [b""]
+            yield pa.RecordBatch.from_arrays([pa.array([r] * len(parts), pa.int64()), pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["row_key", "part", "chunk"])
+
+
+def _chunk_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["n", "h0", "h1", "s0", "s1"]
+    for batch in batches:
+        prints = [of_chunk(c) for c in batch.column("chunk").to_pylist()]
+        cols = [[f.length for f in prints], *([f.hashes[t] for f in prints] for t in (0, 1)), *([pow(BASES[t], f.length, PRIMES[t]) for f in prints] for t in (0, 1))]
+        yield pa.RecordBatch.from_arrays([batch.column("row_key"), batch.column("part"), *(pa.array(c, pa.int64()) for c in cols)], names=["row_key", "part", *names])
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
@@ -112,13 +151,17 @@ def _batched(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
+    scratch = Scratch(docs.sparkSession, "exact-dedup")
+    return _classes(keyed(docs, scratch), scratch).drop("row_key")
+
+
+def _classes(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """classes() with row_key, of docs as `keyed` has them.
 
     Per document two hashes, a length and a digest are shuffled; texts move only for documents that have a twin.
     """
-    scratch = Scratch(docs.sparkSession, "exact-dedup")
-    docs = keyed(docs, scratch)
-    prints = scratch.write(docs.mapInArrow(_fingerprints, "row_key long, doc_id long, n_bytes long, fp long, text_sha256 string"), "prints")
+    prints = scratch.write(_prints(docs), "prints")
     rank = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("rank"), "row_key", "doc_id")
     open_, members, turn = prints.select("row_key", "doc_id", "n_bytes", "fp"), None, 0
     while True:
@@ -128,7 +171,7 @@ def classes(docs: DataFrame) -> DataFrame:
         if twins.isEmpty():
             break
         want = twins.select("row_key", "head")
-        want = F.broadcast(want) if few(want) else want
+        want = F.broadcast(want) if few(twins) else want
         chunks = docs.select("row_key", "text").join(want, "row_key").mapInArrow(lambda it: _batched(_chunks(it)), "row_key long, head long, part int, chunk binary")
         chunks = scratch.write(chunks, f"chunks{turn}")
         first = chunks.where("row_key = head").select("head", "part", F.col("chunk").alias("other"))
@@ -141,16 +184,20 @@ def classes(docs: DataFrame) -> DataFrame:
             break
         open_, turn = twins.join(differ, "row_key", "left_semi").select("row_key", "doc_id", "n_bytes", "fp"), turn + 1
     if members is None:
-        return prints.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
+        return prints.select("row_key", "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     sizes = scratch.write(members.groupBy("head").agg(F.count("*").alias("group_size")), "sizes")
     found = members.join(sizes, "head")
     alone = F.col("head").isNull()
     return prints.join(found, "row_key", "left").select(
-        "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+        "row_key", "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         (alone | (F.col("head") == F.col("row_key"))).alias("kept"), "text_sha256",
     )
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, ...) of the rows that stay; all columns of docs. Documents must have unique ids."""
-    return docs.join(classes(docs).where("NOT kept").select(F.col("doc_id").alias("__gone")), F.col("doc_id") == F.col("__gone"), "left_anti")
+    """The rows that stay, one of each group of equal texts, with all columns of docs."""
+    scratch = Scratch(docs.sparkSession, "exact-dedup")
+    rows = numbered(docs, scratch)
+    keys = rows.select("row_key", F.col("doc.doc_id").cast("long").alias("doc_id"), F.coalesce("doc.text", F.lit("")).alias("text"))
+    gone = scratch.write(_classes(keys, scratch).where("NOT kept").select("row_key"), "gone")
+    return rows.join(F.broadcast(gone) if few(gone) else gone, "row_key", "left_anti").select("doc.*")

@@ -1,20 +1,20 @@
 """Line deduplication within an edit bound, by a deletion-neighbourhood join in DataFrame operations alone.
 
-A unit is a line; words are what single spaces part. On demand (whole=False), of a line of over SEGMENT words each SEGMENT
-consecutive words are a unit instead, so that a part of a long line may go.
-A unit is removed when an earlier unit of the corpus (smaller doc_id, then earlier in its text) lies within the edit bound:
-equal for units of fewer than MIN_WORDS words, else at most BOUND word inserted, deleted or replaced. The earlier unit
-counts whether or not it is removed itself. Units of white space only always stay.
-
-Each unit emits itself and its variants without one word as hashed keys; units that share a key are within the bound,
-by the key's kind: a replaced word leaves equal variants at one place, an inserted word makes a variant of the longer
-unit equal to the shorter one. So a key needs only its earliest units, never its pairs. The edit distance is verified on
-the words themselves. Before that, units are left out that share neither half with another unit, which edits of one
-word always leave: one half of the words is intact. Sequences of SEGMENT words or more have polynomial hashes by two primes,
-whose sums up to each word give all variants of a unit in time proportional to its words.
+A unit is a line, however long; words are what single spaces part. A unit is removed when an earlier unit of the corpus
+(smaller doc_id, then earlier in its text) lies within the edit bound: one word inserted, deleted or replaced for each EACH
+words of the shorter unit, and BOUND in all. With BOUND 1 the variants of a unit are itself and itself without one word.
+The earlier unit counts whether or not it is removed itself. Units of white space only always stay.
+
+Each unit emits itself and its variants as hashed keys; units that share a key are within the bound, by the key's kind: a
+replaced word leaves equal variants at one place, an inserted word makes a variant of the longer unit equal to the
+shorter one. So a key needs only its earliest units, never its pairs. The edit distance is verified on the words
+themselves. Before that, units are left out that share neither half with another unit, which edits of one word always
+leave: one half of the words is intact. Variants of BLOCK words or more are hashed by polynomials modulo two primes, whose
+sums up to each word give all variants in time proportional to the words; shorter ones directly. That is a matter of
+time: either way a variant has one key, and equal variants have equal ones.
 
 Null texts stay null and have no units. A null doc_id ranks last. Rows with equal ids follow each other in a fixed order.
-A line that loses all its units goes with its line break; a document may become empty, and stays as a row.
+A unit goes with its line break; a document may become empty, and stays as a row. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,30 +24,23 @@ from pyspark.sql import functions as F
 
 from impactgraph.llm.common import Scratch, few, keyed
 
-SEGMENT, MIN_WORDS = 256, 8
+#: Edits allowed at most, and the words of a unit for each.
+BOUND, EACH = 1, 8
+#: Words whose sums are appended to one list; variants of as many words are hashed by sums.
+BLOCK = 256
 
 #: Primes and bases of the hashes of long sequences; products stay below 2^63.
 _PRIMES, _BASES = (2147483647, 2147483629), (1103515245, 1664525)
 
-#: A unit's number in its text: its line, then its segment.
-_LINE = 1 << 20
-
-
-def _segments(line: Column) -> Column:
-    words = F.split(line, " ", -1)
-    return F.transform(F.sequence(F.lit(0), F.floor((F.size(words) - 1) / SEGMENT).cast("int")), lambda s: F.slice(words, s * SEGMENT + 1, SEGMENT))
-
 
 def _words(text: Column) -> Column:
     return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(" "), F.lit(""))) + 1
 
 
-def units(docs: DataFrame, whole: bool = False) -> DataFrame:
-    """row_key, rank, u, unit: all units that aren't blank. Most lines are one unit and are passed on as they are."""
-    lines = docs.select("row_key", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("rank"), F.posexplode(F.split("text", "\n", -1)).alias("l", "line"))
-    cut = F.array("line") if whole else F.when(_words(F.col("line")) <= SEGMENT, F.array("line")).otherwise(F.transform(_segments(F.col("line")), lambda w: F.array_join(w, " ")))
-    each = lines.select("row_key", "rank", "l", F.posexplode(cut).alias("s", "unit")).where(F.col("unit").rlike(r"\S"))
-    return each.select("row_key", "rank", (F.col("l").cast("long") * _LINE + F.col("s")).alias("u"), "unit")
+def units(docs: DataFrame) -> DataFrame:
+    """row_key, rank, u, unit: all units that aren't blank, u being the line's number."""
+    lines = docs.select("row_key", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("rank"), F.posexplode(F.split("text", "\n", -1)).alias("u", "unit"))
+    return lines.where(F.col("unit").rlike(r"[^\x20\x09-\x0D]"))
 
 
 def _pos() -> Column:
@@ -65,7 +58,7 @@ def _halves(n: Column) -> Column:
 def _sums(words: Column) -> Column:
     """For each word, Σ hash(word j) * base^j up to it, by both primes as struct (s0, s1).
 
-    Lists are appended to within blocks of SEGMENT words only, as every append copies.
+    Lists are appended to within blocks of BLOCK words only, as every append copies.
     """
     long = lambda x: F.lit(x).cast("long")
     hashed = lambda w, t: F.pmod(F.xxhash64(w), long(_PRIMES[t]))
@@ -83,8 +76,8 @@ def _sums(words: Column) -> Column:
     def block(a: Column, ws: Column) -> Column:
         return F.aggregate(ws, state(a, none), step, lambda b: state(b, F.concat(a["out"], F.array(b["out"]))))
 
-    starts = F.sequence(F.lit(0), F.floor((F.size(words) - 1) / SEGMENT).cast("int"))
-    blocks = F.transform(starts, lambda b: F.slice(words, b * SEGMENT + 1, SEGMENT))
+    starts = F.sequence(F.lit(0), F.floor((F.size(words) - 1) / BLOCK).cast("int"))
+    blocks = F.transform(starts, lambda b: F.slice(words, b * BLOCK + 1, BLOCK))
     nothing = F.array().cast("array<array<struct<s0:bigint,s1:bigint>>>")
     return F.flatten(F.aggregate(blocks, state(None, nothing), block, lambda a: a["out"]))
 
@@ -110,10 +103,10 @@ def _long_keys(words: Column, variants: bool) -> Column:
     return F.flatten(F.transform(F.array(_sums(words)), keys))
 
 
-def removed(docs: DataFrame, scratch: Scratch, whole: bool = False) -> DataFrame:
+def removed(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(row_key, u) of every unit that goes. docs: as `keyed` has them."""
-    all_ = units(docs, whole).withColumn("n", _words(F.col("unit")))
-    slim = all_.select("row_key", "rank", "u", F.xxhash64("unit").alias("k1"), F.xxhash64(F.lit(1), "unit").alias("k2"), F.when(F.col("n") >= MIN_WORDS, _halves(F.col("n"))).alias("halves"))
+    all_ = units(docs).withColumn("n", _words(F.col("unit")))
+    slim = all_.select("row_key", "rank", "u", F.xxhash64("unit").alias("k1"), F.xxhash64(F.lit(1), "unit").alias("k2"), F.when(F.col("n") >= EACH, _halves(F.col("n"))).alias("halves"))
     slim = scratch.write(slim, "units")
     # Equal units have equal halves, so that any one's will do.
     first = slim.groupBy("k1", "k2").agg(F.min(_pos()).alias("first"), F.count("*").alias("n"), F.any_value("halves").alias("halves"))
@@ -123,26 +116,26 @@ def removed(docs: DataFrame, scratch: Scratch, whole: bool = False) -> DataFrame
     copies = scratch.write(copies, "copies")
     scratch.drop("units")
 
-    # Of each distinct unit of MIN_WORDS words the first place; those that share a half with another.
+    # Of each distinct unit that may have an edit the first place; those that share a half with another.
     half = first.where("halves IS NOT NULL").select("row_key", "u", F.explode("halves").alias("h"))
     met = scratch.write(half.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "met")
     open_ = scratch.write(half.join(F.broadcast(met) if few(met) else met, "h").select("row_key", "u").distinct(), "open")
     scratch.drop("first")
     names = open_.select("row_key").distinct()
     if few(open_):
-        near = units(docs.join(F.broadcast(names), "row_key", "left_semi"), whole).join(F.broadcast(open_), ["row_key", "u"])
+        near = units(docs.join(F.broadcast(names), "row_key", "left_semi")).join(F.broadcast(open_), ["row_key", "u"])
     else:
-        near = units(docs.join(names, "row_key", "left_semi"), whole).join(open_, ["row_key", "u"])
+        near = units(docs.join(names, "row_key", "left_semi")).join(open_, ["row_key", "u"])
     near = scratch.write(near.select("row_key", "rank", "u", F.split("unit", " ", -1).alias("words")), "near")
 
     # Keys: without word i as a replaced word, at its place; without word i against shorter units; and the unit itself.
     n = F.size("words")
-    kinds = near.where(n <= SEGMENT).select("rank", "row_key", "u", n.alias("n"), F.explode(F.sequence(F.lit(0), n)).alias("i"), "words")
+    kinds = near.where(n <= BLOCK).select("rank", "row_key", "u", n.alias("n"), F.explode(F.sequence(F.lit(0), n)).alias("i"), "words")
     rest = F.when(F.col("i") == 0, F.xxhash64("words")).otherwise(F.xxhash64(F.slice("words", 1, F.col("i") - 1), F.slice("words", F.col("i") + 1, n)))
-    # A sequence of SEGMENT words is what a longer unit may become by a deletion, so it has their kind of hash.
-    short = kinds.where(f"n < {SEGMENT} OR i > 0").select("rank", "row_key", "u", "n", "i", rest.alias("key"))
-    edge = near.where(n == SEGMENT).select("rank", "row_key", "u", n.alias("n"), F.posexplode(_long_keys(F.col("words"), False)).alias("i", "key"))
-    more = near.where(n > SEGMENT).select("rank", "row_key", "u", n.alias("n"), F.posexplode(_long_keys(F.col("words"), True)).alias("i", "key"))
+    # A sequence of BLOCK words is what a longer unit may become by a deletion, so it has their kind of hash.
+    short = kinds.where(f"n < {BLOCK} OR i > 0").select("rank", "row_key", "u", "n", "i", rest.alias("key"))
+    edge = near.where(n == BLOCK).select("rank", "row_key", "u", n.alias("n"), F.posexplode(_long_keys(F.col("words"), False)).alias("i", "key"))
+    more = near.where(n > BLOCK).select("rank", "row_key", "u", n.alias("n"), F.posexplode(_long_keys(F.col("words"), True)).alias("i", "key"))
     keys = scratch.write(short.unionByName(edge).unionByName(more), "keys")
     swap = keys.where("i > 0").groupBy("n", "i", "key").agg(F.min(_pos()).alias("least"), F.max(_pos()).alias("most")).where("least < most").select("n", "i", "key", "least")
     swap = scratch.write(swap, "swap")
@@ -168,31 +161,19 @@ def removed(docs: DataFrame, scratch: Scratch, whole: bool = False) -> DataFrame
     return scratch.write(copies.unionByName(edited), "gone")
 
 
-def dedup(docs: DataFrame, whole: bool = False) -> DataFrame:
-    """doc_id, text (without the units that go), n_units, n_removed. whole: lines of over SEGMENT words are one unit too."""
+def dedup(docs: DataFrame) -> DataFrame:
+    """doc_id, text (without the units that go), n_units (lines of the text, blank ones included), n_removed."""
     scratch = Scratch(docs.sparkSession, "line-dedup")
-    nulls = docs.where("text IS NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), F.lit(0).cast("long").alias("n_units"), F.lit(0).cast("long").alias("n_removed"))
+    none = F.lit(0).cast("long")
+    nulls = docs.where("text IS NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), none.alias("n_units"), none.alias("n_removed"))
     docs = keyed(docs.where("text IS NOT NULL"), scratch)
-    gone = removed(docs, scratch, whole).groupBy("row_key").agg(F.array_sort(F.collect_list("u")).alias("gone"))
+    gone = scratch.write(removed(docs, scratch).groupBy("row_key").agg(F.array_sort(F.collect_list("u")).alias("gone")), "per-row")
     keys = gone.select("row_key")
-    n_lines = F.size(F.split("text", "\n", -1)).cast("long")
-    if few(keys):
-        keys = F.broadcast(keys)
-        same = docs.join(keys, "row_key", "left_anti").select("doc_id", "text", n_lines.alias("n_units"), F.lit(0).cast("long").alias("n_removed"))
-        docs = docs.join(keys, "row_key", "left_semi")
-    else:
-        same = docs.join(keys, "row_key", "left_anti").select("doc_id", "text", n_lines.alias("n_units"), F.lit(0).cast("long").alias("n_removed"))
-    less = docs.join(gone, "row_key")
-
-    def kept(line: Column, l: Column) -> Column:  # noqa: E741
-        base = l.cast("long") * _LINE
-        if whole:
-            return F.when(~F.array_contains("gone", base), line)
-        part = F.filter(_segments(line), lambda w, s: ~F.array_contains("gone", base + s))
-        cut = F.when(F.size(part) > 0, F.array_join(F.flatten(part), " "))
-        intact = F.when(~F.array_contains("gone", base), line)
-        return F.when(F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) < SEGMENT, intact).otherwise(cut)
-
-    text = F.array_join(F.filter(F.transform(F.split("text", "\n", -1), kept), lambda x: x.isNotNull()), "\n")
-    less = less.select("doc_id", text.alias("text"), n_lines.alias("n_units"), F.size("gone").cast("long").alias("n_removed"))
+    lines = F.split("text", "\n", -1)
+    n_units = F.size(lines).cast("long").alias("n_units")
+    keys = F.broadcast(keys) if few(gone) else keys
+    same = docs.join(keys, "row_key", "left_anti").select("doc_id", "text", n_units, none.alias("n_removed"))
+    less = docs.join(keys, "row_key", "left_semi").join(gone, "row_key")
+    kept = F.filter(F.transform(lines, lambda line, u: F.when(~F.array_contains("gone", u), line)), lambda x: x.isNotNull())
+    less = less.select("doc_id", F.array_join(kept, "\n").alias("text"), n_units, F.size("gone").cast("long").alias("n_removed"))
     return same.unionByName(less).unionByName(nulls)

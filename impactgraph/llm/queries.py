@@ -33,7 +33,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = line_dedup.dedup(table(spark, sf_dir, "documents"), whole=True)
+    got = line_dedup.dedup(table(spark, sf_dir, "documents"))
     return got.select("doc_id", "n_units", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
@@ -77,6 +77,21 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
                doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
         FROM d""",
+    "op4_line_dedup": r"""
+        WITH s AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+        l AS (SELECT doc_id, u, ls[u] AS line, string_split(ls[u], ' ') AS w FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS u FROM s)),
+        e AS (SELECT doc_id, u, line, w, len(w) AS n, {'d': doc_id, 'u': u} AS pos FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+        v AS (SELECT pos, n, i, array_to_string(list_slice(w, 1, i - 1) || list_slice(w, i + 1, n), ' ') AS key FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM e WHERE n >= 8)),
+        same AS (SELECT pos FROM (SELECT pos, min(pos) OVER (PARTITION BY line) AS least FROM e) WHERE least < pos),
+        swap AS (SELECT pos FROM (SELECT pos, min(pos) OVER (PARTITION BY n, i, key) AS least FROM v) WHERE least < pos),
+        short AS (SELECT line AS key, min(pos) AS least FROM e WHERE n >= 8 GROUP BY line),
+        long AS (SELECT key, min(pos) AS least FROM v WHERE n >= 9 GROUP BY key),
+        drop_ AS (SELECT v.pos FROM v JOIN short USING (key) WHERE v.n >= 9 AND short.least < v.pos),
+        add_ AS (SELECT e.pos FROM e JOIN long ON e.line = long.key WHERE e.n >= 8 AND long.least < e.pos),
+        gone AS (SELECT pos.d AS doc_id, pos.u AS u FROM (SELECT * FROM same UNION SELECT * FROM swap UNION SELECT * FROM drop_ UNION SELECT * FROM add_)),
+        kept AS (SELECT l.doc_id, count(*) FILTER (gone.u IS NOT NULL) AS n_removed, string_agg(line, chr(10) ORDER BY l.u) FILTER (gone.u IS NULL) AS text FROM l LEFT JOIN gone USING (doc_id, u) GROUP BY l.doc_id)
+        SELECT s.doc_id, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_units, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+        FROM s LEFT JOIN kept USING (doc_id)""",
     "op6_substring_dedup": r"""
         WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
         g AS (SELECT doc_id, i, sha256(array_to_string(list_slice(w, i, i + 49), ' ')) AS h

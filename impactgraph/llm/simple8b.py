@@ -106,19 +106,33 @@ def pack_many(values: np.ndarray, sizes: np.ndarray, block: int = BLOCK) -> tupl
     return out, blocks, np.stack([np.append(blocks, len(out))[first_block], first_block])
 
 
-def unpack(words: np.ndarray, n: int) -> np.ndarray:
-    """The n values that were packed."""
+def unpack(words: np.ndarray, n: int, blocks: np.ndarray | None = None, sizes: np.ndarray | None = None) -> np.ndarray:
+    """The n values that were packed.
+
+    blocks and sizes: the word offset and the number of values of each block. All blocks are decoded side by side from
+    their offsets; without them the words are read as one block. Offsets that the words don't bear out raise.
+    """
     words = np.asarray(words, _U)
+    blocks = np.zeros(min(1, len(words)), np.int64) if blocks is None else np.asarray(blocks, np.int64)
+    sizes = np.full(len(blocks), n) if sizes is None else sizes
+    if len(blocks) and (blocks[0] or blocks[-1] >= len(words) or (np.diff(blocks) <= 0).any()):
+        raise ValueError("block offsets aren't within the words")
     sel = (words >> _U(60)).astype(np.int64)
     raw = np.zeros(len(words), bool)
-    if (sel == ESCAPE).any():  # the word behind an escape is no selector, whatever its bits; two may follow each other
-        i = 0
-        for i in np.flatnonzero(sel == ESCAPE).tolist():
-            if not raw[i]:
-                raw[i + 1] = True
+    if (sel == ESCAPE).any():  # the word behind an escape is no selector, whatever its bits; so go from word to word in each block
+        at, end = blocks, np.append(blocks[1:], len(words))
+        while len(at):
+            escaped = sel[at] == ESCAPE
+            if (at[escaped] + 1 >= end[escaped]).any():
+                raise ValueError("a block ends behind an escape")
+            raw[at[escaped] + 1] = True
+            at = at + 1 + escaped
+            at, end = at[at < end], end[at < end]
     counts = np.array([*COUNTS, 0, 0])[sel]
     counts[raw] = 1
     place = np.concatenate([[0], np.cumsum(counts)])
+    if (np.diff(np.append(place[blocks], place[-1])) != sizes).any() or place[-1] != n:
+        raise ValueError(f"the words hold {place[-1]} values where {n} were packed, or a block's offset is wrong")
     out = np.zeros(place[-1], _U)
     out[place[:-1][raw]] = words[raw]
     for s, c in enumerate(COUNTS):
@@ -127,6 +141,4 @@ def unpack(words: np.ndarray, n: int) -> np.ndarray:
             bits = 60 // c
             for j in range(c):
                 out[place[at] + j] = (words[at] >> _U(j * bits)) & _U((1 << bits) - 1)
-    if len(out) != n:
-        raise ValueError(f"{len(out)} values where {n} were packed")
     return out

@@ -75,26 +75,43 @@ def read(spark, path: str) -> DataFrame:
     return rows.join(F.broadcast(bases), "shard").withColumn("start", F.col("base") + F.col("before")).drop("base", "before")
 
 
-def ids(blocks: np.ndarray, words: bytes, n: int) -> np.ndarray:
-    return simple8b.unpack(np.frombuffer(words, "<u8"), n).astype("<u4")
+def ids(blocks: np.ndarray, words: bytes, n: int, first: int = 0, last: int | None = None) -> np.ndarray:
+    """Ids of a document, or (first, last) of its blocks from first up to last: only their words are decoded."""
+    blocks, flat = np.asarray(blocks, np.int64), np.frombuffer(words, "<u8")
+    last = len(blocks) if last is None else min(last, len(blocks))
+    if first >= last:
+        return np.zeros(0, "<u4")
+    sizes = np.minimum(simple8b.BLOCK, n - np.arange(first, last) * simple8b.BLOCK)
+    end = blocks[last] if last < len(blocks) else len(flat)
+    return simple8b.unpack(flat[blocks[first] : end], int(sizes.sum()), blocks[first:last] - blocks[first], sizes).astype("<u4")
 
 
 def digests(table: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, from the ids that the files hold."""
+    """doc_id, start, n_tokens, ids_crc32 of every document, from the ids that the files hold.
+
+    The blocks of a slice of documents are decoded side by side, each from its offset.
+    """
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = batch.column("words").to_pylist()
             n = np.asarray(batch.column("n_tokens"))
+            blocks = batch.column("blocks")
             crc = [0] * len(words)
             for a, b in slices(words):
-                flat = ids(np.zeros(0), b"".join(words[a:b]), int(n[a:b].sum()))
+                own = blocks.slice(a, b - a)
+                per_doc = np.diff(np.asarray(own.offsets))
+                before = np.concatenate([[0], np.cumsum([len(w) // 8 for w in words[a:b]])])
+                starts = np.asarray(own.flatten()) + np.repeat(before[:-1], per_doc)
+                number = np.arange(len(starts)) - np.repeat(np.cumsum(per_doc) - per_doc, per_doc)
+                sizes = np.minimum(simple8b.BLOCK, np.repeat(n[a:b], per_doc) - number * simple8b.BLOCK)
+                flat = simple8b.unpack(np.frombuffer(b"".join(words[a:b]), "<u8"), int(n[a:b].sum()), starts, sizes).astype("<u4")
                 edge = np.concatenate([[0], np.cumsum(n[a:b])])
                 for i in range(a, b):
                     crc[i] = zlib.crc32(flat[edge[i - a] : edge[i - a + 1]].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), batch.column("n_tokens"), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return table.select("doc_id", "start", "n_tokens", "words").mapInArrow(check, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return table.select("doc_id", "start", "n_tokens", "blocks", "words").mapInArrow(check, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def encode_and_check(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFrame:

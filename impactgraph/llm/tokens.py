@@ -1,27 +1,33 @@
-"""Token ids of whole texts by a public tokenizer, and their counts.
+"""Token ids of whole texts by a public tokenizer, and their counts by overlap resynchronisation.
 
-Both encoders hand the library pieces of a text, cut where its pre-tokenizer provably cuts too, and remember the pieces
-in a bounded table, as words repeat. Tests hold the results against whole texts given to the library.
+Ids: words are encoded by the library's model and remembered in a bounded table, as words repeat, where the tokenizer
+file has the rules that WordIds knows; with any other file, whole texts go to the library.
+
+Counts: a text is cut into chunks that overlap. The library encodes each with offsets, and two neighbours are spliced at a
+stable boundary that both have; where the overlap has none, it is widened. A text of one chunk is a case of this.
+Tests hold the results against whole texts given to the library.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from struct import Struct, pack
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from impactgraph.llm.common import bound_batches, texts_of
+from impactgraph.llm.common import Scratch, keyed, slices, texts_of
 
 #: Pieces that a worker remembers in each of two generations.
 REMEMBERED = 400_000
-#: Characters from which a text is encoded in overlapping chunks, of a chunk, and of its first overlap.
-HUGE, CHUNK, OVERLAP = 1 << 16, 1 << 15, 256
+#: Characters of a chunk without its overlap, and of the first overlap.
+CHUNK, OVERLAP = 1 << 13, 256
 
 
 @lru_cache(maxsize=4)
@@ -76,15 +82,29 @@ _PIECE_PARTS = re.compile(rb"%b+|[0-9]+|%b+|\n" % (_L, _M))
 _LITTLE = [Struct("<%dI" % n).pack for n in range(32)]
 
 
+#: The rules of tokenizer files whose ids are those of the words, one by one.
+_WORD_RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+    "post_processor": None,
+}
+
+
 class WordIds:
     """Ids of texts by a tokenizer whose pre-tokenizer drops white space, lower-cases, and cuts letters from marks.
 
-    White space parts pre-tokens there, so that the ids of a text are those of its ASCII-white-space words in turn.
+    White space parts pre-tokens there, so that the ids of a text are those of its ASCII-white-space words in turn. A file
+    of other rules than those gets whole texts.
     """
 
     def __init__(self, path: str):
-        lib = tokenizer(path)
+        lib = self.lib = tokenizer(path)
         model = lib.model
+        rules = json.loads(lib.to_str())
+        self.by_word = all(rules.get(k) == v for k, v in _WORD_RULES.items()) and all(t["content"].strip() == t["content"] and " " not in t["content"] for t in rules["added_tokens"])
 
         def encode(word: bytes) -> bytes:
             if word.isalpha():  # ASCII letters stand for themselves
@@ -110,52 +130,12 @@ class WordIds:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers."""
+        if not self.by_word:
+            return [pack(f"<{len(e.ids)}I", *e.ids) for e in self.lib.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
         get = self.words.__getitem__
         return [b"".join(map(get, t.split())) for t in texts]
 
 
-#: A space with white space beside it, or at an end; non-ASCII white space is told by its first or last byte.
-_ODD = re.compile(rb"\A | \Z| [\s\x1c-\x1f\xc2\xe1\xe2\xe3]|[\s\x1c-\x1f\x80\x81\x82\x83\x84\x85\x86\x87\x88\x89\x8a\x9f\xa0\xa8\xa9\xaf] ")
-_CUT = re.compile(r"(?<=\S)(?= \S)")
-
-
-class PieceCounts:
-    """Numbers of tokens by a byte-level tokenizer whose pre-tokens take one space in front.
-
-    A space between two characters that aren't white space begins a pre-token, so that a text falls into pieces there.
-    """
-
-    def __init__(self, path: str):
-        lib = tokenizer(path)
-        model, space = lib.model, _LETTERS[32]
-
-        def count(piece: bytes) -> int:
-            if piece.isalpha():
-                return len(model.tokenize(space + piece.decode()))
-            if _PIECE.fullmatch(piece):
-                head, *parts = _PIECE_PARTS.findall(piece)
-                return sum(len(model.tokenize(p.decode("latin-1").translate(_LETTERS))) for p in (b" " + head, *parts))
-            return len(lib.encode(" " + piece.decode(), add_special_tokens=False))
-
-        self.lib = lib
-        self.rest = Memory(count)
-
-    @staticmethod
-    def pieces(text: bytes) -> list[bytes]:
-        """The first piece, then the others without the space that begins each."""
-        if not _ODD.search(text):
-            return text.split(b" ")
-        head, *rest = _CUT.split(text.decode())
-        return [head.encode(), *(r[1:].encode() for r in rest)]
-
-    def count(self, texts: list[bytes]) -> list[int]:
-        get, out = self.rest.__getitem__, []
-        for t in texts:
-            head, *rest = self.pieces(t)
-            out.append(len(self.lib.encode(head.decode(), add_special_tokens=False)) + sum(map(get, rest)))
-        return out
-
-
 def boundaries(lib, text: str) -> tuple[list[tuple[int, int]], int]:
     """((character, number of tokens before it) at the start of each pre-token), and the number of tokens."""
     e = lib.encode(text, add_special_tokens=False)
@@ -209,81 +189,92 @@ def count_spliced(lib, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) ->
     return total + size - done
 
 
+def summary(lib, chunk: str, start: int, head: int, tail: int) -> tuple[int, list[tuple[int, int]], list[tuple[int, int]], int]:
+    """(tokens, boundaries in the first `head` characters, those from character `tail` on, the last boundary).
+
+    Boundaries as `boundaries` has them, in characters of the whole text; tokens are looked at one by one from either end.
+    """
+    e = lib.encode(chunk, add_special_tokens=False)
+    n, ids = len(e), e.word_ids
+    new = lambda k: k == 0 or ids[k] is None or ids[k - 1] is None or ids[k] != ids[k - 1]
+    place = lambda k: e.token_to_chars(k)[0]
+    front, back, last = [], [], start
+    for k in range(n):
+        if place(k) >= head:
+            break
+        if new(k):
+            front.append((start + place(k), k))
+    for k in range(n - 1, -1, -1):
+        at = place(k)
+        if new(k):
+            last = max(last, start + at)
+            if at >= tail:
+                back.append((start + at, k))
+        if at < tail and last > start:
+            break
+    return n, front, back[::-1], last
+
+
 _COUNT_SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
+_LONG = "row_key long, s long, chunk string"
+_SUMMARY = "row_key long, s long, e long, tokens long, head array<struct<at:long,k:long>>, tail array<struct<at:long,k:long>>, last long"
 
 
 def counts(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every document; null text is empty, rows are judged one by one.
 
-    No shuffle for common texts. Texts of over HUGE characters are dealt out again as overlapping chunks, so that one
-    of them keeps many tasks busy; summaries of the overlaps alone return, to be spliced per document.
+    A text of one chunk is encoded where it is read. Chunks of longer texts are rows that Spark deals out, so that one text
+    keeps many tasks busy; summaries of their overlaps alone return, to be spliced per document.
     """
-
-    bound_batches(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession, "token-counts")
+    docs = keyed(docs, scratch)
+    long = F.char_length("text") > CHUNK
+    names = [x.split()[0] for x in _COUNT_SCHEMA.split(", ")]
 
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PieceCounts(path)  # for this task alone, so that idle workers hold no pieces
+        lib = tokenizer(path)
         for batch in batches:
             texts = texts_of(batch.column("text"))
-            n = counter.count(texts) if texts else []
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(len, texts), pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
-
-    text = F.coalesce("text", F.lit(""))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    common = docs.where(F.octet_length("text") <= HUGE).mapInArrow(plain, _COUNT_SCHEMA)
-    return common.unionByName(_huge_counts(docs.where(F.octet_length("text") > HUGE), path, limit))
-
+            n = [len(e) for a, b in slices(texts) for e in lib.encode_batch_fast([t.decode() for t in texts[a:b]], add_special_tokens=False)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(len, texts), pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], names=names)
 
-def _huge_counts(docs: DataFrame, path: str, limit: int) -> DataFrame:
-    """Chunks overlap by OVERLAP characters; each gives its boundaries inside the two overlaps and its token count.
-
-    The rows of one document are few numbers each, so that splicing them in order needs little memory. A pair of chunks
-    without a stable common boundary sends the document's text itself through count_spliced, which widens overlaps.
-    """
-    n = F.char_length("text")
-    # The rows of a document share its text's hash and id; equal rows give equal counts and are parted by their number.
-    key = F.xxhash64("text")
-    rows = docs.groupBy("doc_id", key.alias("key")).agg(F.count("*").alias("copies"), F.first("text").alias("text"))
-    starts = F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1, F.lit(CHUNK).cast("long"))).alias("s")
-    cut = rows.select("doc_id", "key", "copies", F.octet_length("text").cast("long").alias("n_bytes"), n.cast("long").alias("n"), "text", starts)
-    cut = cut.select("doc_id", "key", "copies", "n_bytes", "n", "s", F.substring("text", F.col("s") + 1, F.lit(CHUNK + OVERLAP)).alias("chunk")).repartition("doc_id", "key", "s")
-    summary = "doc_id long, key long, copies long, n_bytes long, n long, s long, e long, tokens long, head array<struct<at:long,k:long>>, tail array<struct<at:long,k:long>>, last long"
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, text in zip(batch.column("row_key").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                at = range(0, len(text), CHUNK)
+                for a in range(0, len(at), 64):
+                    some = at[a : a + 64]
+                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(some), pa.int64()), pa.array(some, pa.int64()), pa.array([text[s : s + CHUNK + OVERLAP] for s in some])], names=["row_key", "s", "chunk"])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lib = tokenizer(path)
         for batch in batches:
             out = []
-            for r in batch.to_pylist():
-                chunk = r.pop("chunk")
-                marks, tokens = boundaries(lib, chunk)
-                s = r["s"]
-                e = s + len(chunk)
-                r |= {"e": e, "tokens": tokens, "head": [{"at": s + c, "k": k} for c, k in marks if c < OVERLAP], "tail": [{"at": s + c, "k": k} for c, k in marks if c >= CHUNK], "last": s + marks[-1][0] if marks else s}
-                out.append(r)
-            yield pa.RecordBatch.from_pylist(out, schema=batch.schema.remove(batch.schema.get_field_index("chunk")).append(pa.field("e", pa.int64())).append(pa.field("tokens", pa.int64())).append(pa.field("head", _MARKS)).append(pa.field("tail", _MARKS)).append(pa.field("last", pa.int64())))
-
-    parts = cut.mapInArrow(encode, summary)
-    per_doc = parts.groupBy("doc_id", "key", "copies", "n_bytes", "n").agg(F.sort_array(F.collect_list(F.struct("s", "e", "tokens", "head", "tail", "last"))).alias("parts"))
+            for key, s, chunk in zip(*(batch.column(c).to_pylist() for c in ("row_key", "s", "chunk")), strict=True):
+                n, front, back, last = summary(lib, chunk, s, OVERLAP, CHUNK)
+                out.append((key, s, s + len(chunk), n, *([{"at": at, "k": k} for at, k in x] for x in (front, back)), last))
+            types = (*[pa.int64()] * 4, _MARKS, _MARKS, pa.int64())
+            cols = zip(*out, strict=True) if out else [()] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["row_key", "s", "e", "tokens", "head", "tail", "last"])
 
     @F.pandas_udf("long")
-    def spliced(column):
-        import pandas as pd
-
+    def spliced(column: pd.Series) -> pd.Series:
         return pd.Series([_splice_parts(p) for p in column], dtype="Int64")
 
-    found = per_doc.select("doc_id", "key", "copies", "n_bytes", spliced("parts").alias("n_tokens"))
-
     @F.pandas_udf("long")
-    def widened(column):
-        import pandas as pd
-
-        return pd.Series([count_spliced(tokenizer(path), t, overlap=2 * OVERLAP) for t in column], dtype="int64")
-
-    failed = found.where("n_tokens IS NULL")
-    again = rows.join(failed.select("doc_id", "key"), [rows.doc_id.eqNullSafe(failed.doc_id), rows.key == failed.key], "left_semi").select("doc_id", "key", "copies", F.octet_length("text").cast("long").alias("n_bytes"), widened("text").alias("n_tokens"))
-    done = found.where("n_tokens IS NOT NULL").unionByName(again)
-    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
-    return done.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), copies.alias("copy")).drop("copy")
+    def widened(column: pd.Series) -> pd.Series:
+        return pd.Series([count_spliced(tokenizer(path), t, CHUNK, 2 * OVERLAP) for t in column], dtype="int64")
+
+    one = docs.where(~long).select("doc_id", "text").mapInArrow(plain, _COUNT_SCHEMA)
+    parts = docs.where(long).select("row_key", "text").mapInArrow(cut, _LONG).repartition("row_key", "s").mapInArrow(encode, _SUMMARY)
+    per_doc = parts.groupBy("row_key").agg(F.sort_array(F.collect_list(F.struct("s", "e", "tokens", "head", "tail", "last"))).alias("parts"))
+    found = scratch.write(per_doc.select("row_key", spliced("parts").alias("n_tokens")), "spliced")
+    # A pair of chunks without a stable common boundary sends its text through wider overlaps.
+    failed = scratch.write(docs.join(found.where("n_tokens IS NULL").select("row_key"), "row_key", "left_semi").select("row_key", widened("text").alias("n_tokens")), "widened")
+    many = found.where("n_tokens IS NOT NULL").unionByName(failed)
+    sized = docs.where(long).select("row_key", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"))
+    many = sized.join(many, "row_key").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    return one.unionByName(many)
 
 
 _MARKS = pa.list_(pa.struct([("at", pa.int64()), ("k", pa.int64())]))

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from impactgraph.llm import components, decontaminate, exact_dedup, language, line_dedup, mixture, ngram_join, runs, substring_dedup, suffix_dedup, token_files, tokens
 from impactgraph.llm.common import Scratch
 
+from tests.llm.test_units import thue_morse
+
 P = pytest.importorskip("public_tokenizers")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, n_tokens string"
 
@@ -62,7 +64,30 @@ def test_exact_dedup(spark):
         groups[t].append(d)
     assert got == sorted((d, min(groups[t]), len(groups[t]), d == min(groups[t]), hashlib.sha256(t).hexdigest()) for d, t in norm.items())
     assert exact_dedup.classes(table(spark, EMPTY)).count() == 0
-    assert exact_dedup.dedup(table(spark, rows)).count() == len(groups)
+    kept = exact_dedup.dedup(table(spark, rows))
+    assert kept.columns == SCHEMA.replace(",", "").split()[::2] and kept.count() == len(groups)
+
+
+def test_rows_of_one_id_go_by_their_texts(spark):
+    rows = [(7, "a b"), (7, "a  b"), (8, "c"), (7, "other words"), (None, "a b"), (None, "d"), (None, "d"), (9, None), (10, ""), (None, None)]
+    got = exact_dedup.dedup(table(spark, rows)).collect()
+    assert sorted((exact_dedup.normalise((x.text or "").encode()), x.doc_id) for x in got if x.text != "d") == [(b"", 9), (b"a b", 7), (b"c", 8), (b"other words", 7)]
+    assert [x.doc_id for x in got if x.text == "d"] == [None] and exact_dedup.dedup(table(spark, EMPTY)).count() == 0
+    t, u = "one two three four five six", "seven eight nine ten eleven twelve"
+    got = ngram_join.keep_one(table(spark, [(3, t), (7, t), (7, u), (7, u), (None, u), (None, t + " x"), (None, ""), (4, None)])).collect()
+    assert sorted(((x.doc_id or 0), x.text or "") for x in got) == [(0, ""), (0, t + " x"), (3, t), (4, ""), (7, u)]
+    assert ngram_join.keep_one(table(spark, EMPTY)).count() == 0
+
+
+def test_long_texts_are_hashed_by_chunks(spark, monkeypatch):
+    r = random.Random(3)
+    text = " \n".join(words(r, ["aa", "bbb", "é"], 60_000))
+    rows = [(1, text), (2, text.replace("\n", "\t")), (3, text + "x"), (4, text[:-1] + "~"), (5, "short")]
+    got = sorted(map(tuple, exact_dedup.classes(table(spark, rows)).collect()))
+    sha = [hashlib.sha256(exact_dedup.normalise(t.encode())).hexdigest() for _, t in rows]
+    assert got == [(1, 1, 2, True, sha[0]), (2, 1, 2, False, sha[1]), (3, 3, 1, True, sha[2]), (4, 4, 1, True, sha[3]), (5, 5, 1, True, sha[4])]
+    prints = {x.doc_id: (x.n_bytes, x.fp) for x in exact_dedup._prints(table(spark, rows).select(F.col("doc_id").alias("row_key"), "doc_id", "text")).collect()}
+    assert prints == {d: (f.length, f.word) for d, t in rows for f in [exact_dedup.fingerprint(exact_dedup.normalise(t.encode()))]}
 
 
 def test_exact_dedup_separates_collisions(spark, monkeypatch):
@@ -98,7 +123,6 @@ def test_token_files(spark):
 
 def test_token_counts(spark, monkeypatch):
     path = P.path("byte_bpe_50k.json")
-    monkeypatch.setattr(tokens, "HUGE", 900)
     monkeypatch.setattr(tokens, "CHUNK", 400)
     monkeypatch.setattr(tokens, "OVERLAP", 60)
     rows = corpus() + [(900, "word " * 2000), (901, "x" * 3000), (902, " " * 2500 + "é"), (903, "y" * 3000), (903, "y" * 3000), (None, "z " * 900)]
@@ -112,7 +136,7 @@ def test_token_counts(spark, monkeypatch):
 def near(a, b):
     if a == b:
         return True
-    if min(len(a), len(b)) < line_dedup.MIN_WORDS or abs(len(a) - len(b)) > 1:
+    if min(len(a), len(b)) // line_dedup.EACH < 1 or abs(len(a) - len(b)) > 1:
         return False
     i = 0
     while i < min(len(a), len(b)) and a[i] == b[i]:
@@ -120,8 +144,9 @@ def near(a, b):
     return a[i + (len(a) >= len(b)) :] == b[i + (len(b) >= len(a)) :]
 
 
-def test_line_dedup(spark, monkeypatch):
-    monkeypatch.setattr(line_dedup, "SEGMENT", 20)
+@pytest.mark.parametrize("block", [256, 20])
+def test_line_dedup(spark, monkeypatch, block):
+    monkeypatch.setattr(line_dedup, "BLOCK", block)
     r = random.Random(2)
     voc = [f"a{i}" for i in range(50)]
     base = [words(r, voc, r.randint(1, 30)) for _ in range(30)]
@@ -137,24 +162,16 @@ def test_line_dedup(spark, monkeypatch):
         rows.append((d, "\n".join(lines)))
     seen, want = [], []
     for d, t in sorted(rows):
-        out, gone = [], 0
-        for line in (t or "").split("\n"):
+        out, lines = [], (t or "").split("\n")
+        for line in lines:
             w = line.split(" ")
-            keep = []
-            for part in (w[i : i + 20] for i in range(0, len(w), 20)):
-                if not " ".join(part).strip():
-                    keep.append(part)
-                    continue
-                if any(near(part, s) for s in seen):
-                    gone += 1
-                else:
-                    keep.append(part)
-                seen.append(part)
-            if keep:
-                out.append(" ".join(x for p in keep for x in p))
-        want.append((d, None if t is None else "\n".join(out), gone))
+            if not line.strip() or not any(near(w, s) for s in seen):
+                out.append(line)
+            if line.strip():
+                seen.append(w)
+        want.append((d, None if t is None else "\n".join(out), 0 if t is None else len(lines), len(lines) - len(out)))
     got = line_dedup.dedup(table(spark, rows))
-    assert sorted((r.doc_id, r.text, r.n_removed) for r in got.collect()) == want
+    assert sorted((r.doc_id, r.text, r.n_units, r.n_removed) for r in got.collect()) == want
     assert line_dedup.dedup(table(spark, EMPTY)).count() == 0
 
 
@@ -247,7 +264,7 @@ def test_ngram_join(spark):
     r = random.Random(1)
     voc = [f"w{i}" for i in range(400)]
     bases = [words(r, voc, r.randint(3, 120)) for _ in range(12)]
-    rows = [(5000, None), (5001, ""), (5002, "A b"), (5003, "a B"), (5007, "words of one and of another row"), (5008, "Words of one and of another row")]
+    rows = [(5000, None), (5001, ""), (5002, "A b"), (5003, "a B"), (5007, "words of one and of another row"), (5008, "Words of one and of another row"), *((5010 + i, t) for i, t in enumerate(thue_morse(1024)))]
     for d in range(260):
         w = list(r.choice(bases[: r.choice((4, 12))]))
         for _ in range(r.choice([0, 0, 1, 1, 2, 3, 5])):
@@ -257,8 +274,8 @@ def test_ngram_join(spark):
         rows.append((d, " ".join(w)))
     df = table(spark, rows)
     want = linked(rows)
-    assert sorted(map(tuple, ngram_join.linked(df).collect())) == want
-    kept = ngram_join.keep_one(df)
+    assert sorted(map(tuple, ngram_join.linked(df, 4, 85).collect())) == want
+    kept = ngram_join.keep_one(df, 4, 85)
     assert kept.columns == df.columns and {x.doc_id for x in kept.collect()} == {d for d, _, c in want if c == d}
 
 

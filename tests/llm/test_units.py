@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from impactgraph.llm import decontaminate, exact_dedup, hashing, language, ngram_join, runs, simple8b, suffix_dedup, tokens
+from impactgraph.llm import decontaminate, exact_dedup, hashing, language, ngram_join, runs, simple8b, suffix_dedup, token_files, tokens
 
 P = pytest.importorskip("public_tokenizers")
 
@@ -38,6 +38,17 @@ def test_simple8b_of_many():
             at += size
 
 
+def test_blocks_are_decoded_from_their_offsets():
+    v = np.random.default_rng(3).integers(0, 2**62, 3000).astype(np.uint64)
+    words, offsets = simple8b.pack(v)
+    blocks, sizes = offsets[:-1], np.array([1024, 1024, 952])
+    assert (simple8b.unpack(words, 3000, blocks, sizes) == v).all()
+    assert (token_files.ids(blocks, words.tobytes(), 3000, 1, 2) == v[1024:2048].astype("<u4")).all() and len(token_files.ids(blocks, words.tobytes(), 3000, 3)) == 0
+    for wrong in (blocks + [0, 1, 0], blocks + [0, 0, 2], blocks * 0, blocks + [1, 0, 0], blocks + [0, 0, 10**6]):
+        with pytest.raises(ValueError):
+            simple8b.unpack(words, 3000, wrong, sizes)
+
+
 def test_small_ids_are_packed_densely():
     words, _ = simple8b.pack(np.zeros(1024, np.uint64))
     assert len(words) == 18 and len(simple8b.pack(np.full(1024, 2**15 - 1, np.uint64))[0]) == 256
@@ -75,11 +86,21 @@ def test_word_ids_are_the_library_s():
     assert encoder.encode([t.encode() for t in texts]) == want
 
 
-def test_piece_counts_are_the_library_s():
+def test_other_tokenizers_get_whole_texts():
     path = P.path("byte_bpe_50k.json")
-    texts = odd_texts(3000, 4)
-    want = [len(e) for e in tokens.tokenizer(path).encode_batch(texts, add_special_tokens=False)]
-    assert tokens.PieceCounts(path).count([t.encode() for t in texts]) == want
+    texts = odd_texts(300, 4)
+    want = [np.array(tokens.tokenizer(path).encode(t, add_special_tokens=False).ids, np.uint32).tobytes() for t in texts]
+    assert tokens.WordIds(path).encode([t.encode() for t in texts]) == want
+
+
+def test_summaries_are_those_of_all_boundaries():
+    lib, r = tokens.tokenizer(P.path("byte_bpe_50k.json")), random.Random(6)
+    for t in odd_texts(300, 7):
+        head, tail = r.randint(1, 20), r.randint(5, 40)
+        marks, n = tokens.boundaries(lib, t)
+        got = tokens.summary(lib, t, 100, head, tail)
+        last = 100 + max((c for c, _ in marks), default=0)
+        assert got == (n, [(100 + c, k) for c, k in marks if c < head], [(100 + c, k) for c, k in marks if c >= tail], last), t
 
 
 def test_spliced_counts():
@@ -137,14 +158,51 @@ def test_language_model_separates_and_abstains():
     assert [g[0] for g in got] == ["aa", "bb", "und", "und", "und"] and all(0 <= g[1] <= 1 for g in got) and got[0][1] > m.threshold
 
 
-def test_similarity_bound():
-    a, b = np.arange(100, dtype=np.uint64), np.arange(8, 108, dtype=np.uint64)
-    assert ngram_join.similar(a, b, 85) and not ngram_join.similar(a, b + np.uint64(1), 85) and not ngram_join.similar(a[:0], a[:0], 85)
+def thue_morse(n, a="a", b="b"):
+    """A string and its complement, which polynomials modulo 2^64 can't tell apart from 1,024 characters on."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join((a, b)[x] for x in bits), "".join((b, a)[x] for x in bits)
+
+
+def test_words_of_any_shape_are_told_apart():
+    x, y = (t.encode() for t in thue_morse(1024))
+    assert len(set(hashing.word_hashes(x + b" " + y).tolist())) == 2 and hashing.digest(x) != hashing.digest(y)
+    assert not ngram_join.similar(x, y, 4, 85)
+    a, b = (hashing.word_hashes(" ".join(t).encode()) for t in thue_morse(64))
+    assert hashing.sequences(a, 50)[0] != hashing.sequences(b, 50)[0]
+
+
+def test_words_of_long_texts():
+    text = (b"x" * 700 + b" \n") * 4000 + b"y" * (3 << 20) + b" end"
+    assert hashing.word_hashes(text).tolist() == [hashing.word_hashes(w)[0] for w in text.split()]
+
+
+def shingles(words, n):
+    return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} or ({tuple(words)} if words else set())
+
+
+def test_similarity_of_words_and_its_bound():
+    r = random.Random(8)
+    seen = set()
+    for _ in range(400):
+        a = [r.choice("abcdefgh") * r.randint(1, 3) for _ in range(r.randint(0, 60))]
+        b = list(a) if r.random() < 0.8 else a[: r.randint(0, 5)]
+        for _ in range(r.randint(0, 3)):
+            i = r.randint(0, len(b))
+            b[i : i + r.randint(0, 2)] = [r.choice("xyz")] * r.randint(0, 2)
+        for n, percent in ((4, 85), (5, 80), (1, 50)):
+            x, y = shingles(a, n), shingles(b, n)
+            want = bool(x & y) and 100 * len(x & y) >= percent * len(x | y)
+            p, q = (next(ngram_join.sets([" ".join(w).upper().encode()], n)) for w in (a, b))
+            assert ngram_join.similar(" ".join(a).encode(), "  ".join(b).upper().encode(), n, percent) == want and (len(p), len(q)) == (len(x), len(y))
+            assert ngram_join.differ(ngram_join.bitmap(p), ngram_join.bitmap(q)) <= len(x ^ y)
+            seen.add(want)
+    assert seen == {True, False}
 
 
 def test_decontamination_windows():
     g = decontaminate.grams([("i1", " ".join(f"w{i}" for i in range(15))), ("i2", "Short ITEM"), ("i3", "..."), (None, "x"), ("i4", None)])
     text = "x " + ", ".join(f"W{i}" for i in range(14)) + " y short-item"
     (n, mask, items), (m, none, _) = decontaminate.scan([text.encode(), b""], g)
-    assert (n, mask.tolist(), [g.items[i] for i in items]) == (18, [False] + [True] * 14 + [False, True, True], ["i1", "i2"]) and (m, len(none)) == (0, 0)
+    assert (n, mask.tolist(), [g.items[i] for i in items]) == (18, [True] * 15 + [False, True, True], ["i1", "i2", None]) and (m, len(none)) == (0, 0)
     assert [decontaminate.contaminated(20, 1), decontaminate.contaminated(21, 1), decontaminate.contaminated(0, 0)] == [True, False, False]
