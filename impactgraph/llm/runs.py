@@ -4,9 +4,8 @@ A window is K consecutive units (bytes or words). The least hash of its q-grams
 anchors, and consecutive windows with one anchor form a run. Over a corpus there is a run for about every
 (K - q + 2) / 2 windows, so that runs can be shuffled where windows can't. A run has two keys: `q`, its anchor, and
 `c`, the hash of all that its windows cover. Windows whose run shares `q` with no other are unique. Runs with equal `c`
-have the same windows. What remains are distinct contexts of one anchor: their windows are compared, inside a task for
-groups of up to LOCAL contexts, and as rows that Spark aggregates for larger ones: rows of blocks of windows first, then
-of the windows of those blocks that are neither repeated as a whole nor unique. Both ways are exact.
+have the same windows. What remains are distinct contexts of one anchor, of at most 2 K - q units each, whose windows are
+compared by the operators.
 """
 
 from __future__ import annotations
@@ -21,26 +20,26 @@ from pyspark.sql import functions as F
 from impactgraph.llm import hashing
 from impactgraph.llm.common import Scratch, few
 
-#: Contexts of one anchor that a single task compares; larger groups are compared as rows.
-LOCAL = 256
-
-
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def find(p: np.ndarray, first: int, last: int, k: int, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs among units [first, last) of prefix sums p: anchors, context hashes, first and last window of each."""
+def find(p: np.ndarray, first: int, last: int, k: int, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs among units [first, last) of prefix sums p: anchors, first and last window of each."""
     if last - first < k:
         none = np.zeros(0, np.int64)
-        return none.astype(np.uint64), none.astype(np.uint64), none, none
+        return none.astype(np.uint64), none, none
     h = hashing.windows(p, q, first, last)
     m = hashing.slide_min(h, k - q + 1)
     # A run ends where the least hash changes, and behind a window that begins with it: the next one's is another place.
     cut = np.flatnonzero((m[1:] != m[:-1]) | (h[: len(m) - 1] == m[:-1])) + 1
     s, e = np.concatenate([[0], cut]), np.concatenate([cut, [len(m)]]) - 1
-    c = hashing.mix(hashing.spans(p, first + s, first + e + k) ^ hashing.mix((e - s).astype(np.uint64)))
-    return m[s], c, s, e
+    return m[s], s, e
+
+
+def contexts(data: bytes, s: np.ndarray, e: np.ndarray, k: int, width: int = 1) -> list[int]:
+    """Hash of all that the windows of each run cover; data has `width` bytes a unit."""
+    return [hashing.digest(data[a:b]) for a, b in zip((s * width).tolist(), ((e + k) * width).tolist(), strict=True)]
 
 
 def shared(scratch: Scratch, runs: DataFrame) -> DataFrame:
@@ -55,9 +54,8 @@ def shared(scratch: Scratch, runs: DataFrame) -> DataFrame:
 
 def with_texts(docs: DataFrame, wanted: DataFrame, cut: Callable, schema: str) -> DataFrame:
     """cut() over each document that `wanted` names, with its list of wanted rows; texts of others don't move."""
-    keys = wanted.select("row_key").distinct()
-    if few(keys):
-        docs = docs.join(F.broadcast(keys), "row_key", "left_semi")
+    if few(wanted):
+        docs = docs.join(F.broadcast(wanted.select("row_key").distinct()), "row_key", "left_semi")
     fields = [c for c in wanted.columns if c != "row_key"]
     per_doc = wanted.groupBy("row_key").agg(F.collect_list(F.struct(*fields)).alias("wanted"))
     return docs.select("row_key", "text").join(per_doc, "row_key").mapInArrow(cut, schema)
@@ -94,25 +92,6 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str, size: str, most: i
         yield from ready(True)
 
 
-def blocks(p: np.ndarray, anchor: int, k: int, q: int, size: int) -> Iterator[tuple[int, int, int, int, np.ndarray]]:
-    """Windows of one context in blocks of `size` by their distance to its anchor, so that contexts of one anchor agree.
-
-    For each block: (number, core, span, first window, window hashes). The core is what all windows of a whole block cover
-    and lies within any of them; where the core occurs once, so do they. Where a block's span, all that its windows
-    cover, occurs twice, so do they.
-    """
-    h = hashing.windows(p, k)
-    last = len(h) - 1
-    least = hashing.windows(p, q)[last:]
-    a = last + int(np.flatnonzero(least.view(np.int64) == anchor)[0])
-    for j in range((a - last) // size, a // size + 1):
-        lo, hi = max(0, a - (j * size + size - 1)), min(last, a - j * size)
-        whole = np.array([a - j * size, lo])
-        core, span = hashing.spans(p, whole, np.array([a - (j * size + size - 1) + k, hi + k]))
-        mark = hashing.mix(np.array([j << 20 | (hi - lo) << 10 | (a - hi)], np.uint64))
-        yield j, int(core.view(np.int64)), int((span ^ mark[0]).view(np.int64)), lo, h[lo : hi + 1].view(np.int64)
-
-
 def covered(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     """Mask of n units that some [start, end) covers."""
     step = np.zeros(n + 1, np.int32)
@@ -121,7 +100,7 @@ def covered(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def apply(docs: DataFrame, marks: DataFrame, digest: Callable[[bytes, np.ndarray, np.ndarray], tuple], schema: str) -> DataFrame:
+def apply(scratch: Scratch, docs: DataFrame, marks: DataFrame, digest: Callable[[bytes, np.ndarray, np.ndarray], tuple], schema: str) -> DataFrame:
     """digest(text, starts, ends) of every document; marks: (row_key, s, e). Unmarked texts aren't shuffled if they can
     be told by a broadcast of checked size."""
     names = [x.split()[0] for x in schema.split(", ")]
@@ -137,7 +116,7 @@ def apply(docs: DataFrame, marks: DataFrame, digest: Callable[[bytes, np.ndarray
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c) if out else pa.array([], t) for c, t in zip(cols, _types(schema)[1:], strict=True))], names=names)
 
     per_doc = marks.groupBy("row_key").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    keys = marks.select("row_key").distinct()
+    keys = scratch.write(marks.select("row_key").distinct(), "marked")
     none = F.array().cast("array<struct<s:bigint,e:bigint>>").alias("spans")
     if few(keys):
         keys = F.broadcast(keys)

@@ -1,8 +1,11 @@
-"""Substring deduplication over words by hashed windows, in place of relative Lempel-Ziv parsing.
+"""Substring deduplication over words by relative Lempel-Ziv parsing.
 
-Each distinct context of every document has an anchor (see `runs`). All windows of K words of the contexts of one anchor
-are matched by hash, and those whose least rank is that of an earlier document are hits. Consecutive hits of a context
-are one factor. Nothing is parsed greedily or extended against a block; no window is skipped.
+The reference blocks are the contexts (see `runs`) of all documents, each of at most 2 K - q words; every window of K words
+of every block is in the index, under its anchor, at the place of its earliest document. A document's context is
+factored greedily: at the cursor the index names a block of an earlier document that holds the window there; the factor is
+extended along that block as far as the words agree; the cursor then moves to the first window that crosses the factor's
+end, which the index is asked for again. So every window is looked up, but for those inside a factor. Factors are checked
+word by word, and those of K words or more become spans. A context that an earlier document has as a whole is one factor.
 
 Words are runs of characters other than ASCII white space, unchanged. Every word covered by a window of K words whose
 word sequence also starts in a document with a smaller doc_id is removed; windows are judged on the input. Null texts
@@ -24,9 +27,6 @@ from impactgraph.llm.common import Scratch, keyed, slices, texts_of
 
 #: Words of a window and of an anchor.
 K, Q = 50, 8
-#: Windows of a block.
-BLOCK = 8
-
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
@@ -41,7 +41,9 @@ def _runs(k: int, q: int):
                 got = [runs.find(p, lo, hi, k, q) for lo, hi in zip(w.first, w.first[1:], strict=False)]
                 size = [len(g[0]) for g in got]
                 cols = [np.concatenate(x) for x in zip(*got, strict=True)]
-                yield pa.RecordBatch.from_arrays([runs.signed(cols[0]), runs.signed(cols[1]), pa.array(np.repeat(keys[a:b], size)), pa.array(np.repeat(ranks[a:b], size)), pa.array(cols[2].astype(np.int32)), pa.array(cols[3].astype(np.int32))], names=["q", "c", "row_key", "rank", "p0", "p1"])
+                lo = np.repeat(w.first[:-1], size)
+                c = runs.contexts(w.hash.tobytes(), cols[1] + lo, cols[2] + lo, k, 8)
+                yield pa.RecordBatch.from_arrays([runs.signed(cols[0]), pa.array(c, pa.int64()), pa.array(np.repeat(keys[a:b], size)), pa.array(np.repeat(ranks[a:b], size)), pa.array(cols[1].astype(np.int32)), pa.array(cols[2].astype(np.int32))], names=["q", "c", "row_key", "rank", "p0", "p1"])
 
     return rows
 
@@ -51,81 +53,76 @@ def _contexts(k: int):
         for batch in batches:
             for text, wanted in zip(texts_of(batch.column("text")), batch.column("wanted").to_pylist(), strict=True):
                 w = text.split()
-                yield pa.RecordBatch.from_arrays([pa.array([x["q"] for x in wanted]), pa.array([x["c"] for x in wanted]), pa.array([x["rank"] for x in wanted]), pa.array([x["contexts"] for x in wanted]), pa.array([b" ".join(w[x["p0"] : x["p1"] + k]) for x in wanted], pa.binary())], names=["q", "c", "rank", "contexts", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array([x["q"] for x in wanted]), pa.array([x["c"] for x in wanted]), pa.array([x["rank"] for x in wanted]), pa.array([b" ".join(w[x["p0"] : x["p1"] + k]) for x in wanted], pa.binary())], names=["q", "c", "rank", "words"])
 
     return rows
 
 
-_CONTEXT = "q long, c long, rank long, contexts long, words binary"
+_CONTEXT = "q long, c long, rank long, words binary"
 _FACTOR = "q long, c long, s long, e long"
 
 
-def _windows(table: pa.Table | pa.RecordBatch, k: int):
-    """Of all contexts: window hashes, the context of each, and its place there."""
-    w = hashing.Words(table.column("words").to_pylist())
-    h = hashing.windows(hashing.prefix(w.hash), k)
-    at = np.flatnonzero(w.of[: len(h)] == w.of[k - 1 :])
-    of = w.of[at]
-    return h[at], of, at - w.first[of]
-
-
-def _factors(k: int):
-    """Factors of each context against all earlier contexts of its anchor."""
+def _windows(k: int):
+    """(q, c, rank, at, h) of every window of each block."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in runs.whole_groups(batches, "q", "words"):
-            q, c, rank = (t.column(x).to_numpy() for x in ("q", "c", "rank"))
-            h, of, at = _windows(t, k)
-            order = np.lexsort((rank[of], h, q[of]))
-            same = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (q[of][order][1:] != q[of][order][:-1])])
-            earliest = np.empty(len(h), np.int64)
-            earliest[order] = rank[of][order][np.flatnonzero(same)][np.cumsum(same) - 1]
-            hit = np.flatnonzero(earliest < rank[of])
-            yield _joined(q, c, of[hit], at[hit], k)
+        for batch in batches:
+            texts = batch.column("words").to_pylist()
+            for a, b in slices(texts):
+                per = [hashing.word_hashes(t).tobytes() for t in texts[a:b]]
+                size = np.array([len(p) // 8 - k + 1 for p in per])
+                h = [hashing.digest(p[8 * i : 8 * (i + k)]) for p, n in zip(per, size, strict=True) for i in range(n)]
+                own = [pa.array(np.repeat(np.asarray(batch.column(x))[a:b], size)) for x in ("q", "c", "rank")]
+                at = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
+                yield pa.RecordBatch.from_arrays([*own, pa.array(at.astype(np.int32)), pa.array(h, pa.int64())], names=["q", "c", "rank", "at", "h"])
 
     return rows
 
 
-def _joined(q: np.ndarray, c: np.ndarray, of: np.ndarray, at: np.ndarray, k: int) -> pa.RecordBatch:
-    """Consecutive windows of one context as one factor."""
-    new = np.concatenate([[True], (of[1:] != of[:-1]) | (at[1:] != at[:-1] + 1)]) if len(of) else np.zeros(0, bool)
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(of))[: len(first)] - 1
-    return pa.RecordBatch.from_arrays([pa.array(q[of[first]]), pa.array(c[of[first]]), pa.array(at[first].astype(np.int64)), pa.array((at[last] + k).astype(np.int64))], names=["q", "c", "s", "e"])
-
-
-_BLOCK = "q long, c long, rank long, j int, core long, span long, at long, hs array<long>"
+def parse(words: list[bytes], found: list[tuple[int, int, list[bytes]]], k: int) -> Iterator[tuple[int, int]]:
+    """Factors [s, e) of a context. found: (place, place in the block, the block's words) as the index has them."""
+    blocks = {at: (to, block) for at, to, block in found}
+    cursor = 0
+    while cursor + k <= len(words):
+        to, block = blocks.get(cursor, (0, ()))
+        n = 0
+        while cursor + n < len(words) and to + n < len(block) and words[cursor + n] == block[to + n]:
+            n += 1
+        if n >= k:
+            yield cursor, cursor + n
+            cursor += n - k + 1
+        else:
+            cursor += 1
 
 
-def _block_rows(k: int, gram: int):
+def _factors(k: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for batch in batches:
             out = []
-            for q, c, rank, words in zip(*(b.column(x).to_pylist() for x in ("q", "c", "rank", "words")), strict=True):
-                p = hashing.prefix(hashing.Words([words]).hash)
-                out += [(q, c, rank, *block) for block in runs.blocks(p, q, k, gram, BLOCK)]
-            if out:
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names=["q", "c", "rank", "j", "core", "span", "at", "hs"])
+            for q, c, words, found, blocks in zip(*(batch.column(x).to_pylist() for x in ("q", "c", "words", "found", "blocks")), strict=True):
+                held = {x["rc"]: x["block"].split() for x in blocks}
+                own = [(x["at"] + i, x["to"] + i, held[x["rc"]]) for x in found for i in range(x["n"])]
+                out += [(q, c, s, e) for s, e in parse(words.split(), own, k)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out, strict=True) if out else [()] * 4)], names=["q", "c", "s", "e"])
 
     return rows
 
 
-def _large(scratch: Scratch, texts: DataFrame, k: int, q: int) -> DataFrame:
-    """Factors among the contexts of large groups, from blocks' cores to their spans to single windows."""
-    rows = scratch.write(texts.repartition("c").mapInArrow(_block_rows(k, q), _BLOCK), "blocks")
-    ends = F.min("rank").alias("least"), F.max("rank").alias("most")
-    cores = rows.groupBy("q", "j", "core").agg(*ends).where("least < most").select("q", "j", "core")
-    cores = scratch.write(cores, "core-keys")
-    rows = scratch.write(rows.join(cores, ["q", "j", "core"]), "cores")
-    spans = scratch.write(rows.groupBy("q", "span").agg(F.min("rank").alias("least")), "span-keys")
-    rows = scratch.write(rows.join(spans, ["q", "span"]), "spans")
-    whole = rows.where("least < rank").select("q", "c", F.col("at").alias("s"), (F.col("at") + F.size("hs") - 1 + k).alias("e"))
-    # Of equal blocks the earliest document's one is compared further: it has what others could be copied from.
-    single = rows.where("least = rank").select("q", "c", "rank", "at", F.posexplode("hs").alias("i", "h"))
-    least = single.groupBy("q", "h").agg(*ends).where("least < most").select("q", "h", "least")
-    part = single.join(least, ["q", "h"]).where("least < rank").select("q", "c", (F.col("at") + F.col("i")).alias("s"), (F.col("at") + F.col("i") + k).alias("e"))
-    return whole.unionByName(part)
+def _parsed(scratch: Scratch, texts: DataFrame, k: int) -> DataFrame:
+    """Factors of all contexts. What is gathered for one of them is bounded by the windows that it has."""
+    windows = scratch.write(texts.mapInArrow(_windows(k), "q long, c long, rank long, at int, h long"), "windows")
+    index = windows.groupBy("q", "h").agg(F.min(F.struct("rank", "c", "at")).alias("x"), F.max("rank").alias("most")).where("x.rank < most")
+    index = scratch.write(index.select("q", "h", F.col("x.rank").alias("least"), F.col("x.c").alias("rc"), F.col("x.at").alias("to")), "index")
+    hits = windows.join(index, ["q", "h"]).where("least < rank").select("q", "c", "at", "rc", "to")
+    # Windows that stand side by side in a context and in its block are one row.
+    diagonal = hits.groupBy("q", "c", "rc", (F.col("to") - F.col("at")).alias("shift")).agg(F.array_sort(F.collect_list("at")).alias("ats"))
+    steps = F.transform("ats", lambda at, i: F.struct((at - i).alias("run"), at.alias("at")))
+    runs_ = F.transform(F.array_distinct(F.transform(steps, lambda x: x["run"])), lambda r: F.struct(F.array_min(F.transform(F.filter(steps, lambda x: x["run"] == r), lambda x: x["at"])).alias("at"), F.size(F.filter(steps, lambda x: x["run"] == r)).alias("n")))
+    found = scratch.write(diagonal.select("q", "c", "rc", F.transform(runs_, lambda x: F.struct(x["at"].alias("at"), (x["at"] + F.col("shift")).alias("to"), x["n"].alias("n"), F.col("rc").alias("rc"))).alias("found")), "found")
+    scratch.drop("windows", "index")
+    block = texts.select("q", F.col("c").alias("rc"), F.col("words").alias("block"))
+    per = found.join(block, ["q", "rc"]).groupBy("q", "c").agg(F.flatten(F.collect_list("found")).alias("found"), F.collect_set(F.struct("rc", "block")).alias("blocks"))
+    return per.join(texts.select("q", "c", "words"), ["q", "c"]).select("q", "c", "words", "found", "blocks").mapInArrow(_factors(k), _FACTOR)
 
 
 def marks(scratch: Scratch, docs: DataFrame, k: int = K, q: int = Q) -> DataFrame:
@@ -136,13 +133,10 @@ def marks(scratch: Scratch, docs: DataFrame, k: int = K, q: int = Q) -> DataFram
     scratch.drop("runs")
     same = found.groupBy("q", "c").agg(F.min(F.struct("rank", "row_key", "p0", "p1")).alias("first"))
     same = scratch.write(same.select("q", "c", "first.*"), "contexts")
-    groups = same.groupBy("q").agg(F.count("*").alias("contexts")).where("contexts > 1")
-    groups = scratch.write(groups, "groups")
-    wanted = same.join(groups, "q")
+    groups = scratch.write(same.groupBy("q").agg(F.count("*").alias("contexts")).where("contexts > 1").select("q"), "groups")
+    wanted = scratch.write(same.join(groups, "q"), "wanted")
     texts = scratch.write(runs.with_texts(docs, wanted, _contexts(k), _CONTEXT), "texts")
-    small = texts.where(F.col("contexts") <= runs.LOCAL).repartition("q").sortWithinPartitions("q").mapInArrow(_factors(k), _FACTOR)
-    large = _large(scratch, texts.where(F.col("contexts") > runs.LOCAL), k, q)
-    factors = scratch.write(small.unionByName(large), "factors")
+    factors = scratch.write(_parsed(scratch, texts, k), "factors")
     earliest = same.select("q", "c", F.col("rank").alias("least"))
     later = found.join(earliest, ["q", "c"])
     whole = later.where("rank > least").select("row_key", F.col("p0").cast("long").alias("s"), (F.col("p1") + k).cast("long").alias("e"))
@@ -162,4 +156,4 @@ def removed(docs: DataFrame, k: int = K, q: int = Q) -> DataFrame:
         gone = runs.covered(s, e, len(words))
         return len(words), int(gone.sum()), hashlib.sha256(b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])).hexdigest()
 
-    return runs.apply(docs, marks(scratch, docs, k, q), digest, SCHEMA)
+    return runs.apply(scratch, docs, marks(scratch, docs, k, q), digest, SCHEMA)

@@ -2,9 +2,11 @@
 
 Suffixes are put into buckets of equal q-grams, and a bucket is refined by the bucket identifiers at later offsets:
 positions with equal identifiers at p and at p + d share the next d bytes too. Positions alone in their bucket drop out
-before each round, and a round's identifiers are those that the next one reuses. Here the first buckets are those of
-anchors (see `runs`), over the whole corpus; their contexts are refined from 50 to 100 to 200 bytes. Buckets of more
-than `runs.LOCAL` distinct contexts are refined by Spark's own aggregation.
+before each round, and a round's identifiers are those that the next one reuses. Here suffixes are first parted by anchors
+(see `runs`), over the whole corpus. Within an anchor the first buckets are of GRAM bytes, as they are, and are refined
+from 8 to 16 to 32 bytes and so on, without hashes. Anchors of more than LOCAL distinct contexts don't fit one task:
+Spark aggregates rows of blocks of windows for them, and then of the windows of those blocks that are neither repeated
+as a whole nor unique. Both ways give the same strings.
 
 Every byte covered by a string of K bytes that also starts anywhere else, in the same document or another, is removed;
 overlaps count, and strings are judged on the input. Strings never cross documents. Null text is empty. Repeated rows
@@ -26,8 +28,8 @@ from impactgraph.llm.common import Scratch, keyed, texts_of
 
 #: Bytes of a string, and of an anchor.
 K, Q = 200, 32
-#: Windows of a block.
-BLOCK = 20
+#: Bytes of the first buckets; contexts of one anchor that a single task compares; windows of a block.
+GRAM, LOCAL, BLOCK = 8, 256, 20
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -43,12 +45,12 @@ def _runs(k: int, q: int):
                 for at in range(0, max(1, len(text) - k + 1), PIECE):  # a piece has the windows that start in it
                     piece = text[at : at + PIECE + k - 1]
                     if len(piece) >= k:
-                        a, c, s, e = runs.find(hashing.byte_prefix(piece), 0, len(piece), k, q)
-                        got.append((a, c, s + at, e + at))
+                        a, s, e = runs.find(hashing.byte_prefix(piece), 0, len(piece), k, q)
+                        got.append((a, np.array(runs.contexts(piece, s, e, k)), s + at, e + at))
                         of.append(np.full(len(a), key))
             if got:
                 a, c, s, e = (np.concatenate(x) for x in zip(*got, strict=True))
-                yield pa.RecordBatch.from_arrays([runs.signed(a), runs.signed(c), pa.array(np.concatenate(of)), pa.array(s), pa.array(e)], names=["q", "c", "row_key", "p0", "p1"])
+                yield pa.RecordBatch.from_arrays([runs.signed(a), pa.array(c), pa.array(np.concatenate(of)), pa.array(s), pa.array(e)], names=["q", "c", "row_key", "p0", "p1"])
 
     return rows
 
@@ -71,12 +73,14 @@ def refine(group: np.ndarray, texts: list[bytes], k: int) -> tuple[np.ndarray, n
     size = np.fromiter(map(len, texts), np.int64, len(texts))
     base = np.concatenate([[0], np.cumsum(size)])
     span = np.repeat(np.arange(len(texts)), size)
-    have = k
-    while have % 2 == 0 and have > 50:
-        have //= 2
-    h = hashing.windows(hashing.byte_prefix(b"".join(texts)), have)
-    pos = np.flatnonzero(span[: len(h)] == span[have - 1 :])
-    key = hashing.mix(h[pos] ^ hashing.mix(group[span[pos]].view(np.uint64)))
+    data = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint64)
+    have = min(GRAM, k)
+    key = np.zeros(max(0, len(data) - have + 1), np.uint64)
+    for j in range(have):
+        key = key << np.uint64(8) | data[j : j + len(key)]
+    pos = np.flatnonzero(span[: len(key)] == span[have - 1 :])
+    gram = np.unique(key[pos], return_inverse=True)[1]
+    key = np.unique(group, return_inverse=True)[1][span[pos]] * np.int64(len(pos) + 1) + gram
     while True:
         _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
         many = count[inverse] > 1  # a string alone in its bucket is in no larger bucket either
@@ -85,10 +89,11 @@ def refine(group: np.ndarray, texts: list[bytes], k: int) -> tuple[np.ndarray, n
         bucket[pos] = inverse[many]
         if have == k:
             return span[pos], pos - base[span[pos]]
-        pos = pos[pos + have < len(span)]
-        pos = pos[(bucket[pos + have] >= 0) & (span[pos + have] == span[pos])]
-        key = bucket[pos] * np.int64(len(count) + 1) + bucket[pos + have]
-        have *= 2
+        step = min(have, k - have)  # the last step may overlap
+        pos = pos[pos + step + have <= len(span)]
+        pos = pos[(bucket[pos + step] >= 0) & (span[pos + step + have - 1] == span[pos])]
+        key = bucket[pos] * np.int64(len(count) + 1) + bucket[pos + step]
+        have += step
 
 
 def _joined(rows: np.ndarray, p0: np.ndarray, of: np.ndarray, at: np.ndarray, k: int) -> pa.RecordBatch:
@@ -109,6 +114,23 @@ def _spans(k: int):
     return rows
 
 
+def blocks(text: bytes, anchor: int, k: int, q: int, size: int) -> Iterator[tuple[int, int, int, int, list[int]]]:
+    """Windows of one context in blocks of `size` by their distance to its anchor, so that contexts of one anchor agree.
+
+    For each block: (number, core, span, first window, window hashes). The core is what all windows of a whole block cover
+    and lies within any of them; where the core occurs once, so do they. Where a block's span, all that its windows
+    cover, occurs twice, so do they.
+    """
+    last = len(text) - k
+    least = hashing.windows(hashing.byte_prefix(text), q)[last:]
+    a = last + int(np.flatnonzero(least.view(np.int64) == anchor)[0])
+    for j in range((a - last) // size, a // size + 1):
+        lo, hi = max(0, a - (j * size + size - 1)), min(last, a - j * size)
+        core = hashing.digest(text[a - j * size : a - (j * size + size - 1) + k])
+        span = hashing.digest(b"%d %d %d " % (j, hi - lo, a - hi) + text[lo : hi + k])
+        yield j, core, span, lo, [hashing.digest(text[i : i + k]) for i in range(lo, hi + 1)]
+
+
 _BLOCK = "q long, n long, row_key long, j int, core long, span long, at long, hs array<long>"
 
 
@@ -117,7 +139,7 @@ def _block_rows(k: int, gram: int):
         for b in batches:
             out = []
             for q, n, key, p0, text in zip(*(b.column(x).to_pylist() for x in ("q", "n", "row_key", "p0", "bytes")), strict=True):
-                out += [(q, n, key, j, core, span, p0 + at, hs) for j, core, span, at, hs in runs.blocks(hashing.byte_prefix(text), q, k, gram, BLOCK)]
+                out += [(q, n, key, j, core, span, p0 + at, hs) for j, core, span, at, hs in blocks(text, q, k, gram, BLOCK)]
             if out:
                 types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["q", "n", "row_key", "j", "core", "span", "at", "hs"])
@@ -152,10 +174,10 @@ def marks(scratch: Scratch, docs: DataFrame, k: int = K, q: int = Q) -> DataFram
     same = scratch.write(same.select("q", "c", "n", "first.*"), "contexts")
     groups = same.groupBy("q").agg(F.count("*").alias("contexts"), F.min("n").alias("least")).where("contexts > 1 AND least = 1").drop("least")
     groups = scratch.write(groups, "groups")
-    wanted = same.join(groups, "q").drop("c")
+    wanted = scratch.write(same.join(groups, "q").drop("c"), "wanted")
     texts = scratch.write(runs.with_texts(docs, wanted, _contexts(k), _CONTEXT), "texts")
-    small = texts.where(F.col("contexts") <= runs.LOCAL).repartition("q").sortWithinPartitions("q").mapInArrow(_spans(k), _SPAN)
-    large = _large(scratch, texts.where(F.col("contexts") > runs.LOCAL), k, q)
+    small = texts.where(F.col("contexts") <= LOCAL).repartition("q").sortWithinPartitions("q").mapInArrow(_spans(k), _SPAN)
+    large = _large(scratch, texts.where(F.col("contexts") > LOCAL), k, q)
     whole = found.join(same.where("n > 1").select("q", "c"), ["q", "c"]).select("row_key", F.col("p0").alias("s"), (F.col("p1") + k).alias("e"))
     return scratch.write(small.unionByName(large).unionByName(whole), "marks")
 
@@ -173,4 +195,4 @@ def removed(docs: DataFrame, k: int = K, q: int = Q) -> DataFrame:
         n_spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
         return len(text), int(gone.sum()), n_spans, hashlib.sha256(kept).hexdigest()
 
-    return runs.apply(docs, marks(scratch, docs, k, q), digest, SCHEMA)
+    return runs.apply(scratch, docs, marks(scratch, docs, k, q), digest, SCHEMA)

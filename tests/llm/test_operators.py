@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from impactgraph.llm import components, decontaminate, exact_dedup, language, line_dedup, mixture, ngram_join, runs, substring_dedup, suffix_dedup, token_files, tokens
+from impactgraph.llm import components, decontaminate, exact_dedup, language, line_dedup, mixture, ngram_join, substring_dedup, suffix_dedup, token_files, tokens
 from impactgraph.llm.common import Scratch
 
 from tests.llm.test_units import thue_morse
@@ -207,8 +207,8 @@ def removed_words(rows, k):
 
 @pytest.mark.parametrize("local", [256, 3])
 def test_suffix_and_substring_dedup(spark, monkeypatch, local):
-    monkeypatch.setattr(runs, "LOCAL", local)
-    rows = corpus() + [(3, "repeated id " * 40), (3, "repeated id " * 40)]
+    monkeypatch.setattr(suffix_dedup, "LOCAL", local)
+    rows = corpus() + [(3, "repeated id " * 40), (3, "repeated id " * 40)] + [(5010 + i, t + " w" * 50 + f" {i}") for i, t in enumerate(thue_morse(1024))]
     df = table(spark, rows)
     assert sorted(map(tuple, suffix_dedup.removed(df).collect())) == removed_bytes(rows, 200)
     assert sorted(map(tuple, substring_dedup.removed(df).collect())) == removed_words(rows, 50)

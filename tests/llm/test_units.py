@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from impactgraph.llm import decontaminate, exact_dedup, hashing, language, ngram_join, runs, simple8b, suffix_dedup, token_files, tokens
+from impactgraph.llm import decontaminate, exact_dedup, hashing, language, ngram_join, runs, simple8b, substring_dedup, suffix_dedup, token_files, tokens
 
 P = pytest.importorskip("public_tokenizers")
 
@@ -131,7 +131,7 @@ def test_slide_min():
 def test_runs_cover_every_window_once():
     r = random.Random(2)
     for text in (r.randbytes(3000), b"ab" * 400, b"a" * 500, b"x" * 199, b"x" * 200):
-        _, _, s, e = runs.find(hashing.byte_prefix(text), 0, len(text), 200, 32)
+        _, s, e = runs.find(hashing.byte_prefix(text), 0, len(text), 200, 32)
         assert [p for a, b in zip(s, e, strict=True) for p in range(a, b + 1)] == list(range(max(0, len(text) - 199)))
         assert len(s) == 0 or (e - s).max() < 200 - 32 + 1
 
@@ -142,6 +142,27 @@ def test_refinement():
     assert sorted(zip(of.tolist(), at.tolist(), strict=True)) == [(0, i) for i in range(30, 35)] + [(1, i) for i in range(5, 10)]
 
 
+def test_refinement_at_any_length():
+    r = random.Random(4)
+    for k in (1, 5, 8, 9, 24, 50, 200):
+        texts = [bytes(r.choices(b"ab", k=r.randint(0, 40))) * r.randint(1, 12) for _ in range(12)]
+        group = np.array([i % 2 for i in range(12)], np.int64)
+        times = {}
+        for i, t in enumerate(texts):
+            for p in range(len(t) - k + 1):
+                times.setdefault((group[i], t[p : p + k]), []).append((i, p))
+        of, at = suffix_dedup.refine(group, texts, k)
+        assert sorted(zip(of.tolist(), at.tolist(), strict=True)) == sorted(x for xs in times.values() if len(xs) > 1 for x in xs)
+
+
+def test_parsing():
+    block, other = [b"%d" % i for i in range(12)], [b"9", b"10", b"11", b"x", b"y"]
+    words = [b"q", *block[2:12], b"x", b"y", b"z"]
+    found = [(i, i + 1, block) for i in range(1, 9)] + [(i, i - 8, other) for i in range(8, 11)]
+    assert list(substring_dedup.parse(words, found, 3)) == [(1, 11), (9, 13)]
+    assert list(substring_dedup.parse(words, [(0, 0, block), (4, 9, block)], 3)) == []  # what the words don't bear out
+
+
 def test_language_model_separates_and_abstains():
     r = random.Random(1)
     make = lambda ws: " ".join(r.choice(ws) for _ in range(30))
