@@ -29,7 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: Rows and bytes of an Arrow batch at most. A batch stands in the JVM and in its Python worker at the same time.
-BATCH_ROWS, BATCH_BYTES = 2048, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 512, 2 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:

@@ -37,6 +37,8 @@ from impactgraph.llm.components import components
 N, PERCENT = 5, 80
 #: Buckets of shingles that are counted over the whole corpus for the order, and of one row of counts.
 BUCKETS, CHUNK = 1 << 21, 1 << 15
+#: Shingles that a task gathers before it adds them to its counts.
+HELD = 1 << 19
 
 _TABLE = hashing.lower_ascii()
 
@@ -88,14 +90,16 @@ def _ranks(docs: DataFrame, n: int) -> np.ndarray:
         def add() -> None:
             nonlocal held, size
             if held:
-                total[:] += np.bincount(np.concatenate(held), minlength=BUCKETS).astype(np.uint32)
+                own = np.sort(np.concatenate(held))
+                first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, int)
+                total[own[first]] += np.diff(np.append(first, len(own))).astype(np.uint32)
                 held, size = [], 0
 
         for batch in batches:
             for x in sets(texts_of(batch.column("text")), n):
                 held.append(_bucket(x))
                 size += len(x)
-                if size >= BUCKETS:
+                if size >= HELD:
                     add()
         add()
         for at in range(0, BUCKETS, CHUNK):
