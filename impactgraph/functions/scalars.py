@@ -240,6 +240,18 @@ def context_window(model: Column) -> Column:
 LANGUAGE_TAGS = {"go": (".go",), "python": (".py",), "typescript": (".ts", ".tsx"), "javascript": (".js", ".jsx", ".mjs", ".cjs"), "java": (".java",), "ruby": (".rb",), "rust": (".rs",), "c": (".c", ".h"), "cpp": (".cc", ".cpp", ".hpp"), "csharp": (".cs",), "php": (".php",), "bash": (".sh",)}
 
 
+# What begins a line comment, by extension; elsewhere nothing does.
+COMMENTS = {"//": (".go", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".java", ".rs", ".c", ".h", ".cc", ".cpp", ".hpp", ".cs", ".php", ".kt", ".swift", ".scala"), "#": (".py", ".rb", ".sh", ".yaml", ".yml", ".toml"), "--": (".sql", ".lua")}
+
+
+def comment_prefix(path: Column) -> Column:
+    ext = extension(F.lower(base_name(path)))
+    out = F.lit("")
+    for mark, exts in COMMENTS.items():
+        out = F.when(ext.isin(*exts), mark).otherwise(out)
+    return out
+
+
 def language_tag(path: Column) -> Column:
     ext = extension(F.lower(base_name(path)))
     out = F.lit("")

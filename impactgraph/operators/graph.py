@@ -20,7 +20,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="impactgraph-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="impactgraph-"))
     return df.checkpoint()
 
 
@@ -195,10 +198,10 @@ def rename_plan(found: DataFrame, lines: DataFrame, symbols: DataFrame, old: str
 
 def apply_edits(files: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(files with edits applied, applied and skipped counts). An edit applies only if its line still reads as `before`,
-    but for a trailing carriage return, which is kept."""
+    but for a trailing carriage return, which is kept. Of several edits of one line the first by its texts applies."""
     from impactgraph.sources.adapters import split_lines
 
-    one = edits.groupBy("file", "line").agg(F.first("before").alias("before"), F.first("after").alias("after"))
+    one = edits.groupBy("file", "line").agg(F.min(F.struct("before", "after")).alias("x"), (F.count("*") - 1).alias("more")).select("file", "line", "x.*", "more")
     at = split_lines(files).join(one, ["file", "line"], "left")
     bare = F.regexp_replace("text", "\r$", "")
     good = F.col("before").isNotNull() & (bare == F.col("before"))
@@ -206,7 +209,8 @@ def apply_edits(files: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFram
     done = at.select("file", "line", F.when(good, F.concat("after", tail)).otherwise(F.col("text")).alias("text"), good.alias("good"))
     whole = done.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("content"))
     hits = one.join(at.select("file", "line", good.alias("good")), ["file", "line"], "left")
-    counts = hits.agg(F.sum(F.coalesce("good", F.lit(False)).cast("long")).alias("applied"), F.sum((~F.coalesce("good", F.lit(False))).cast("long")).alias("skipped"))
+    fine = F.coalesce("good", F.lit(False)).cast("long")
+    counts = hits.agg(F.coalesce(F.sum(fine), F.lit(0)).alias("applied"), F.coalesce(F.sum(1 - fine + F.col("more")), F.lit(0)).alias("skipped"))
     return whole, counts
 
 

@@ -96,7 +96,7 @@ def graph_distance(ranked: DataFrame) -> DataFrame:
 def cliff(candidates: DataFrame, *keys: str) -> DataFrame:
     """Candidates up to the first whose score is under CLIFF times the best one; in order of score that is a filter."""
     top = candidates.groupBy(*keys).agg(F.max("score").alias("peak"))
-    got = candidates.join(F.broadcast(top), list(keys)) if keys else candidates.join(F.broadcast(top))
+    got = candidates.join(top, list(keys)) if keys else candidates.join(F.broadcast(top))  # without keys it is one row
     return got.where((F.col("peak") <= 0) | (F.col("score") >= F.col("peak") * CLIFF)).drop("peak")
 
 

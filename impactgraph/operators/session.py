@@ -223,11 +223,12 @@ PHASES = {
 
 def phase(text: Column) -> tuple[dict[str, Column], Column]:
     """Votes of each phase, and the winner; ties go to the first phase of PHASES, no vote is `unknown`."""
-    votes = {}
+    # A plain search stands in front of each pattern, which few words then need.
+    low, votes = F.lower(text), {}
     for name, words in PHASES.items():
         total = F.lit(0)
         for w in words:
-            total = total + S.contains_word(text, w).cast("int")
+            total = total + (low.contains(w) & S.contains_word(text, w)).cast("int")
         votes[name] = total
     best = F.greatest(*votes.values())
     out = F.when(best == 0, "unknown")

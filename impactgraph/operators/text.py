@@ -154,7 +154,11 @@ def cached_lines(found: DataFrame, content_hashes: DataFrame, delivered: DataFra
 
 def identifiers(lines: DataFrame) -> DataFrame:
     """(file, line, word): identifiers in code, outside line comments and double-quoted strings."""
-    code = F.regexp_replace(F.regexp_replace("text", r'"(?:[^"\\]|\\.)*"', '""'), r"(//|#|--).*$", "")
+    bare = F.regexp_replace("text", r'"(?:[^"\\]|\\.)*"', '""')
+    mark = S.comment_prefix(F.col("file"))
+    code = F.when(mark == "", bare).otherwise(F.substring_index(bare, "#", 1))
+    for m in ("//", "--"):
+        code = F.when(mark == m, F.substring_index(bare, m, 1)).otherwise(code)
     return lines.select("file", "line", F.explode(F.split(code, r"[^\p{L}\p{N}_]+")).alias("word")).where("word <> ''")
 
 

@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from impactgraph.functions import scalars as S
 
@@ -55,16 +56,48 @@ def seeds(diff: DataFrame, symbols: DataFrame) -> DataFrame:
 def missed(required: DataFrame, calls: DataFrame, changed: DataFrame) -> DataFrame:
     """(symbol, file, line, detail): required sites that the change doesn't touch.
 
-    required: seed (name), symbol, file, start, end. calls: symbol, callee, line. Where a required symbol calls the seed by
-    name, each such line must be touched; where no such call is known, its span must be.
+    required: seed (name), symbol, file, start, end, and seed_file, seed_start where the seed is declared, if known. calls:
+    symbol, callee, line. Where a required symbol calls the seed by name, each such line must be touched; where no such call
+    is known, its span must be. The seed's own declaration isn't asked about. Two seeds missed at one line are two rows.
     """
+    if {"seed_file", "seed_start"} <= set(required.columns):
+        required = required.where(~(F.col("file").eqNullSafe(F.col("seed_file")) & F.col("start").eqNullSafe(F.col("seed_start"))))
     hit = F.col("callee").eqNullSafe(F.col("seed")) | F.endswith("callee", F.concat(F.lit("."), F.col("seed")))
     sites = required.join(calls, "symbol").where(hit).select("symbol", "seed", "file", F.col("line"))
     c = changed.select(F.col("file").alias("cf"), F.col("start").alias("cs"), F.col("end").alias("ce"))
     exact = sites.join(c, (F.col("file") == F.col("cf")) & F.col("line").between(F.col("cs"), F.col("ce")), "left_anti").withColumn("detail", F.lit("line"))
     loose = required.join(sites.select("symbol", "seed").distinct(), ["symbol", "seed"], "left_anti")
     span = loose.join(c, (F.col("file") == F.col("cf")) & (F.col("start") <= F.col("ce")) & (F.col("end") >= F.col("cs")), "left_anti").select("symbol", "seed", "file", F.col("start").alias("line"), F.lit("span").alias("detail"))
-    return exact.unionByName(span).dropDuplicates(["file", "line", "symbol"])
+    per = exact.unionByName(span).groupBy("file", "line", "seed").agg(F.min(F.struct("detail", "symbol")).alias("x"))
+    return per.select("x.symbol", "seed", "file", "line", "x.detail")
+
+
+def ordered_missed(found: DataFrame) -> DataFrame:
+    return found.orderBy("file", "line", "seed")
+
+
+def required_set(impacted: DataFrame, survivors: DataFrame | None = None) -> DataFrame:
+    """(seed, seed_file, seed_start, symbol, file, start, end): all that the seeds of a change ask to be touched.
+
+    impacted: those columns and `role` of each seed's change set; supers are told and not asked about, nor are test files.
+    survivors: the same columns for members of a removed contract's family that are still there, and their callers.
+    """
+    names = ["seed", "seed_file", "seed_start", "symbol", "file", "start", "end"]
+    own = impacted.where((F.col("role") != "super") & ~S.is_verify_test(F.col("file"))).select(*names)
+    if survivors is not None:
+        own = own.unionByName(survivors.where(~S.is_verify_test(F.col("file"))).select(*names))
+    return own.distinct()
+
+
+def survivors(symbols: DataFrame, edges: DataFrame, seed: DataFrame, most: int = FAMILY_CALLERS) -> DataFrame:
+    """(seed, symbol, file, start, end): family members of removed contracts that are left, and the first `most` callers of
+    each seed's family: a change that removes a contract has to touch both."""
+    family = base_contract_family(symbols, seed).withColumn("seed", F.col("name"))
+    calls = edges.where(F.col("type") == "calls").join(family.select("seed", F.col("id").alias("dst")), "dst").select("seed", F.col("src").alias("id")).distinct()
+    placed = calls.join(symbols.select("id", "file_path", "start", "end"), "id")
+    first = placed.withColumn("rank", F.row_number().over(W.partitionBy("seed").orderBy("file_path", "start", "id"))).where(F.col("rank") <= most)
+    shape = lambda d: d.select("seed", F.col("id").alias("symbol"), F.col("file_path").alias("file"), "start", "end")
+    return shape(family).unionByName(shape(first)).distinct()
 
 
 def new_dependencies(sites: DataFrame, changed: DataFrame) -> DataFrame:

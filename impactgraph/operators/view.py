@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,7 +56,8 @@ def induced(crossed: DataFrame, max_sites: int | None = 5) -> DataFrame:
     kept = sites
     if max_sites is not None:
         kept = sites.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= max_sites)
-    again = F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy")
+    times = F.col("n") if max_sites is None else F.least("n", F.lit(max_sites))
+    again = F.explode(F.sequence(F.lit(1).cast("long"), times)).alias("copy")
     kept = kept.select(*pair, *_SITE, again)
     listed = F.array_sort(F.collect_list(F.struct(*_SITE)))
     if max_sites is not None:
@@ -122,28 +124,17 @@ class Rule:
     dst: str
 
 
-def parse_rule(text: str) -> Rule:
-    """`<from> -> <to>`; what follows # is a comment."""
-    raw = text.split("#", 1)[0].strip()
-    src, arrow, dst = raw.partition("->")
-    if not arrow:
-        raise ValueError(f'rule "{raw}": want "<from> -> <to>"')
-    if not src.strip() or not dst.strip():
-        raise ValueError(f'rule "{raw}": empty side')
-    return Rule(raw, src.strip(), dst.strip())
+_RULE = re.compile(r"\s*(?P<src>[^#]*?)\s*->\s*(?P<dst>[^#]*?)\s*(?:#.*)?", re.DOTALL)
 
 
 def parse_rules(texts: list[str]) -> list[Rule]:
-    """All rules; every bad one is named in the error, as a rule that is skipped would weaken the check."""
-    rules, errors = [], []
-    for t in texts:
-        try:
-            rules.append(parse_rule(t))
-        except ValueError as e:
-            errors.append(str(e))
-    if errors:
-        raise ValueError("; ".join(errors))
-    return rules
+    """Rules of the shape `<from> -> <to>`, with a comment behind # if need be. All bad ones are told in one error: to go
+    on without them would let through what they forbid."""
+    found = [(t, _RULE.fullmatch(t)) for t in texts]
+    bad = [repr(t) for t, m in found if not m or not m["src"] or not m["dst"]]
+    if bad:
+        raise ValueError(f"not of the shape FROM -> TO: {', '.join(bad)}")
+    return [Rule(t.split("#")[0].strip(), m["src"], m["dst"]) for t, m in found]
 
 
 def violations(spark: SparkSession, induced_edges: DataFrame, rules: list[Rule]) -> DataFrame:

@@ -220,7 +220,7 @@ def merged_seeds(spark, sf):
 
 
 @query(A.with_tables("lines") + r"""SELECT file, count(*) AS count, count(DISTINCT line) AS n_lines FROM (
-        SELECT file, line, unnest(string_split_regex(regexp_replace(regexp_replace(text, '"(?:[^"\\]|\\.)*"', '""', 'g'), '(//|#|--).*$', '', 'g'), '[^\p{L}\p{N}_]+')) AS word FROM lines) WHERE word = 'the' GROUP BY file""")
+        SELECT file, line, unnest(string_split_regex(regexp_replace(text, '"(?:[^"\\]|\\.)*"', '""', 'g'), '[^\p{L}\p{N}_]+')) AS word FROM lines) WHERE word = 'the' GROUP BY file""")
 def reference_counts(spark, sf):
     none = spark.createDataFrame([], "file string, line int, name string")
     return text.references(A.lines(spark, sf), TERM, none).select("file", "count", F.size("lines").cast("long").alias("n_lines"))
@@ -369,7 +369,7 @@ def _missed(spark, sf):
 
 @query(_CALLS + "SELECT * FROM missed")
 def missed_sites(spark, sf):
-    return _missed(spark, sf).select("symbol", "file", F.col("line").cast("long").alias("line"), "detail")
+    return verify.ordered_missed(_missed(spark, sf)).select("symbol", "file", F.col("line").cast("long").alias("line"), "detail")
 
 
 @query(_CALLS + """SELECT (SELECT count(*) FROM changed) AS changes, (SELECT count(*) FROM missed) AS missed, 0::BIGINT AS unverified, 0::BIGINT AS arch_fail, 0::BIGINT AS arch_review,

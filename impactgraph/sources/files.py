@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import time
 from dataclasses import dataclass, field
 from pathlib import PurePosixPath
 
@@ -29,7 +31,7 @@ def tree(spark: SparkSession, root: str, exclude: tuple[str, ...] = EXCLUDED, ig
     files = files.withColumn("file", rel).where(~F.arrays_overlap(parts, F.array(*map(F.lit, (*exclude, *ignored)))))
     head = F.hex(F.substring("content", 1, BINARY_HEAD))
     binary = F.regexp_like(head, F.lit("^(?:..)*?00"))
-    return files.where(~binary).select("file", F.decode("content", F.lit("UTF-8")).alias("content"))
+    return files.where(~binary).select("file", F.decode("content", "UTF-8").alias("content"))
 
 
 def inside(root: str, path: str) -> str | None:
@@ -48,15 +50,26 @@ def inside(root: str, path: str) -> str | None:
     return "/".join(out)
 
 
+_HUNK = re.compile(r"@@ -\d+(?:,(\d+))? \+\d+(?:,(\d+))? @@")
+
+
 def diff_lines(spark: SparkSession, text: str) -> DataFrame:
-    """(file, line, text) of a unified diff: each hunk header with the file it changes."""
-    file, rows = "", []
+    """(file, line, text, deleted) of a unified diff: each hunk header with the file it changes, by its old path where the
+    diff deletes it. Lines of a hunk are counted, so that no body line is read as a header."""
+    old, file, rows, left = "", "", [], [0, 0]
     for i, line in enumerate(text.split("\n")):
-        if line.startswith("+++ "):
+        if max(left) > 0:  # "\\ No newline" is on neither side
+            left[0] -= line[:1] in ("-", " ", "")
+            left[1] -= line[:1] in ("+", " ", "")
+        elif line.startswith("--- "):
+            old = line[4:].removeprefix("a/").strip()
+        elif line.startswith("+++ "):
             file = line[4:].removeprefix("b/").strip()
-        elif line.startswith("@@"):
-            rows.append((file, i, line))
-    return spark.createDataFrame(rows, "file string, line int, text string")
+        elif m := _HUNK.match(line):
+            gone = file == "/dev/null"
+            rows.append((old if gone else file, i, line, gone))
+            left = [int(n if n is not None else 1) for n in m.groups()]
+    return spark.createDataFrame(rows, "file string, line int, text string, deleted boolean")
 
 
 def touches(spark: SparkSession, log: str) -> DataFrame:
@@ -110,17 +123,26 @@ def settings(text: str) -> Settings:
 
 
 def save(table: DataFrame, path: str, kind: str = "parquet") -> None:
-    """A snapshot of a ledger or of learned weights, which replaces the last one when it is complete."""
-    table.write.mode("overwrite").format(kind).save(path)
+    """A snapshot of a ledger or of learned weights: a folder of its own below path. Readers take the latest one that has
+    its _SUCCESS file, so that one that is cut off replaces nothing; older ones are deleted then."""
+    at, fs = _hadoop(table.sparkSession, path)
+    before = [s.getPath() for s in fs.listStatus(at)] if fs.exists(at) else []
+    table.write.format(kind).save(f"{path}/{time.time_ns():020d}")
+    for p in before:
+        fs.delete(p, True)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def load(spark: SparkSession, path: str, schema: str, kind: str = "parquet") -> DataFrame:
     """A saved snapshot; without one, an empty table of the schema."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).format(kind).load(path)
+    at, fs = _hadoop(spark, path)
+    names = sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
+    done = [n for n in names if fs.exists(_hadoop(spark, f"{path}/{n}/_SUCCESS")[0])]
+    return spark.read.schema(schema).format(kind).load(f"{path}/{done[-1]}") if done else spark.createDataFrame([], schema)
 
 
 def indexed(symbols: DataFrame) -> bool:

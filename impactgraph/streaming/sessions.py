@@ -32,11 +32,12 @@ STRATEGY = "session long, file string, seq long, count int, same boolean, strate
 _STATE = "hash long, count int"
 
 
-def read_strategies(reads: DataFrame, timeout_ms: int = 24 * 3600 * 1000) -> DataFrame:
+def read_strategies(reads: DataFrame, timeout_ms: int = 24 * 3600 * 1000, late: str = "1 hour") -> DataFrame:
     """Strategies of a stream of reads (session, file, content_hash, ts, seq, confidence), keyed by session and file.
 
-    State is the last content and the number of reads; a key that stays silent for timeout_ms is forgotten, as the tracker
-    forgets its oldest files. Within a batch reads are taken in order of time.
+    State is the last content and the number of reads; a key that stays silent for timeout_ms of event time is forgotten,
+    as the tracker forgets its oldest files. Within a batch reads are taken in order of time. The timeout is one of event
+    time, so that a stream without new rows comes to rest.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -51,10 +52,11 @@ def read_strategies(reads: DataFrame, timeout_ms: int = 24 * 3600 * 1000) -> Dat
                 out.append((key[0], key[1], seq, count, same, _strategy(count, same, sure)))
                 last, count = h, count + 1
             state.update((last, count))
-            state.setTimeoutDuration(timeout_ms)
+            at = max(int(rows["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs())
+            state.setTimeoutTimestamp(at + timeout_ms)
             yield pd.DataFrame(out, columns=["session", "file", "seq", "count", "same", "strategy"])
 
-    return reads.groupBy("session", "file").applyInPandasWithState(step, STRATEGY, _STATE, "append", "ProcessingTimeTimeout")
+    return reads.withWatermark("ts", late).groupBy("session", "file").applyInPandasWithState(step, STRATEGY, _STATE, "append", "EventTimeTimeout")
 
 
 def _strategy(count: int, same: bool, sure: str) -> str:

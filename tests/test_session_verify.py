@@ -192,3 +192,8 @@ def test_file_sources(spark, tmp_path):
     assert files.load(spark, path, "tool string, calls long").isEmpty()
     files.save(spark.createDataFrame([("t", 2)], "tool string, calls long"), path)
     assert tuple(files.load(spark, path, "tool string, calls long").first()) == ("t", 2)
+    files.save(spark.createDataFrame([("u", 3)], "tool string, calls long"), path)
+    (tmp_path / "ledger" / "99999999999999999999").mkdir()  # begun, not finished
+    assert [tuple(r) for r in files.load(spark, path, "tool string, calls long").collect()] == [("u", 3)]
+    diff = "--- a/x\n+++ b/x\n@@ -1 +1,2 @@\n-a\n+++ b\n+c\n--- a/y\n+++ /dev/null\n@@ -1,2 +0,0 @@\n-p\n-q\n"
+    assert [tuple(r) for r in files.diff_lines(spark, diff).select("file", "text", "deleted").collect()] == [("x", "@@ -1 +1,2 @@", False), ("y", "@@ -1,2 +0,0 @@", True)]

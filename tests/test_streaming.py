@@ -34,6 +34,6 @@ def test_ledger_stream(spark, tmp_path):
 def test_read_strategies_stream(spark, tmp_path):
     rows = [(1, "f", 7, i, "low") for i in range(4)] + [(1, "f", 8, 4, "low"), (2, "f", 7, 0, "high")]
     schema = "session long, file string, content_hash long, seq long, confidence string"
-    df = stream(spark, tmp_path, rows, schema).withColumn("ts", F.timestamp_seconds("seq"))
+    df = stream(spark, tmp_path, rows, schema).withColumn("ts", F.timestamp_seconds(F.col("seq") + 1000))
     got = drain(spark, sessions.read_strategies(df), "strategies")
     assert [r.strategy for r in got.where("session = 1").orderBy("seq").collect()] == ["full-fresh", "sha-pointer", "full-fresh", "escalated-full", "full-fresh"]
