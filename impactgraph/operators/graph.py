@@ -149,7 +149,7 @@ def change_impact(symbols: DataFrame, edges: DataFrame, type_name: str | None, m
 
 def total_sites(found: DataFrame) -> DataFrame:
     """Sites that a change touches; supers are told, not counted."""
-    return found.agg(F.sum((F.col("role") != "super").cast("long")).alias("total_sites"))
+    return found.agg(F.coalesce(F.sum((F.col("role") != "super").cast("long")), F.lit(0)).alias("total_sites"))
 
 
 def completeness(symbols: DataFrame, edges: DataFrame, found: DataFrame) -> DataFrame:
