@@ -172,6 +172,11 @@ def symbol_drift(base: DataFrame, head: DataFrame) -> DataFrame:
     return out.select("file", "name", change.alias("change"), F.coalesce(signature, F.lit(False)).alias("signature_changed"), F.coalesce(body, F.lit(False)).alias("body_changed"), (change.isin("removed", "renamed") | F.coalesce(signature, F.lit(False))).alias("breaking"), "renamed_from")
 
 
+def drift_order(drift: DataFrame) -> DataFrame:
+    """Drift of symbols by kind of change, then by name."""
+    return drift.orderBy("change", "name", "file")
+
+
 def sha_drift(before: DataFrame, now: DataFrame) -> DataFrame:
     """The same without structure: (file, key, change) from symbol hashes of two states."""
     both = before.select("file", "key", F.col("sha").alias("a")).join(now.select("file", "key", F.col("sha").alias("b")), ["file", "key"], "full_outer")

@@ -93,6 +93,11 @@ def components(symbols: DataFrame, edges: DataFrame, depth: int = 0, tests: bool
     return stats.join(into, "comp", "left").join(out, "comp", "left").fillna(0, ["fan_in", "fan_out"])
 
 
+def component_order(stats: DataFrame) -> DataFrame:
+    """Components by name."""
+    return stats.orderBy("comp")
+
+
 def excluded_tests(symbols: DataFrame) -> DataFrame:
     """How many test files the view leaves out."""
     return symbols.where((F.col("kind") != "document") & S.is_view_test(F.col("file_path"))).agg(F.countDistinct("file_path").alias("test_files"))
