@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from impactgraph.llm.common import Scratch, few, keyed
+from impactgraph.llm.common import Scratch, keyed
 
 #: Edits allowed at most, and the words of a unit for each.
 BOUND, EACH = 1, 8
@@ -116,27 +116,21 @@ def removed(docs: DataFrame, scratch: Scratch) -> DataFrame:
     copies = scratch.write(copies, "copies")
     scratch.drop("units")
 
-    # Of each distinct unit that may have an edit the first place; those that share a half with another.
+    # Of each distinct unit that may have an edit the first place; those that share a half with another. These joins always
+    # shuffle, as both sides grow with the corpus.
     half = first.where("halves IS NOT NULL").select("row_key", "u", F.explode("halves").alias("h"))
     met = scratch.write(half.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "met")
-    open_ = scratch.write(half.join(F.broadcast(met) if few(met) else met, "h").select("row_key", "u").distinct(), "open")
-    scratch.drop("first")
-    names = open_.select("row_key").distinct()
-    if few(open_):
-        near = units(docs.join(F.broadcast(names), "row_key", "left_semi")).join(F.broadcast(open_), ["row_key", "u"])
-    else:
-        near = units(docs.join(names, "row_key", "left_semi")).join(open_, ["row_key", "u"])
+    open_ = scratch.write(half.join(met, "h").select("row_key", "u").distinct(), "open")
+    scratch.drop("first", "met")
+    near = units(docs.join(open_.select("row_key").distinct(), "row_key", "left_semi")).join(open_, ["row_key", "u"])
     near = scratch.write(near.select("row_key", "rank", "u", F.split("unit", " ", -1).alias("words")), "near")
 
     # Keys: without word i as a replaced word, at its place; without word i against shorter units; and the unit itself.
-    n = F.size("words")
-    kinds = near.where(n <= BLOCK).select("rank", "row_key", "u", n.alias("n"), F.explode(F.sequence(F.lit(0), n)).alias("i"), "words")
-    rest = F.when(F.col("i") == 0, F.xxhash64("words")).otherwise(F.xxhash64(F.slice("words", 1, F.col("i") - 1), F.slice("words", F.col("i") + 1, n)))
     # A sequence of BLOCK words is what a longer unit may become by a deletion, so it has their kind of hash.
-    short = kinds.where(f"n < {BLOCK} OR i > 0").select("rank", "row_key", "u", "n", "i", rest.alias("key"))
-    edge = near.where(n == BLOCK).select("rank", "row_key", "u", n.alias("n"), F.posexplode(_long_keys(F.col("words"), False)).alias("i", "key"))
-    more = near.where(n > BLOCK).select("rank", "row_key", "u", n.alias("n"), F.posexplode(_long_keys(F.col("words"), True)).alias("i", "key"))
-    keys = scratch.write(short.unionByName(edge).unionByName(more), "keys")
+    n, words = F.size("words"), F.col("words")
+    without = F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.slice(words, 1, i - 1), F.slice(words, i + 1, n)))
+    variants = F.when(n < BLOCK, F.concat(F.array(F.xxhash64(words)), without)).when(n == BLOCK, F.concat(_long_keys(words, False), without)).otherwise(_long_keys(words, True))
+    keys = scratch.write(near.select("rank", "row_key", "u", n.alias("n"), F.posexplode(variants).alias("i", "key")), "keys")
     swap = keys.where("i > 0").groupBy("n", "i", "key").agg(F.min(_pos()).alias("least"), F.max(_pos()).alias("most")).where("least < most").select("n", "i", "key", "least")
     swap = scratch.write(swap, "swap")
     swapped = keys.join(swap, ["n", "i", "key"]).where(_pos() > F.col("least")).select(_pos().alias("x"), "i", F.col("least").alias("y"), F.lit("swap").alias("kind"))
@@ -171,7 +165,6 @@ def dedup(docs: DataFrame) -> DataFrame:
     keys = gone.select("row_key")
     lines = F.split("text", "\n", -1)
     n_units = F.size(lines).cast("long").alias("n_units")
-    keys = F.broadcast(keys) if few(gone) else keys
     same = docs.join(keys, "row_key", "left_anti").select("doc_id", "text", n_units, none.alias("n_removed"))
     less = docs.join(keys, "row_key", "left_semi").join(gone, "row_key")
     kept = F.filter(F.transform(lines, lambda line, u: F.when(~F.array_contains("gone", u), line)), lambda x: x.isNotNull())
