@@ -5,7 +5,8 @@ of `n` consecutive words; an item of fewer words, but not none, is one window. A
 a window is hit.
 
 Null texts have no words. Items without words are never found. Repeated items count once, and so do all items without an id
-together, which the digest of ids leaves out; repeated documents are judged one by one. An empty benchmark hits nothing.
+together, which the digest of ids leaves out; repeated documents are judged one by one. An empty benchmark hits nothing, an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from impactgraph.llm import hashing
-from impactgraph.llm.common import bound_batches, slices, texts_of
+from impactgraph.llm.common import FEW, Scratch, few, keyed, numbered, slices, texts_of
 
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
@@ -31,7 +32,7 @@ WINDOW, SHARE = 13, 20
 #: Letters of ASCII to lower case; every other ASCII character but digits to a space.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
-#: The largest benchmark that is broadcast, in bytes of text; a larger one is matched part by part.
+#: Benchmark text that is broadcast at a time; a larger benchmark is matched part by part, each in a pass of its own.
 BROADCAST_BYTES = 64 << 20
 
 
@@ -99,44 +100,86 @@ def contaminated(n_words: int, n_hit: int) -> bool:
     return n_hit > 0 and SHARE * n_hit >= n_words
 
 
-def _parts(benchmark: DataFrame, item_id: str, n: int) -> list[Grams]:
-    """The benchmark as hash sets of at most BROADCAST_BYTES of text each; test sets have a few parts at most."""
-    parts, rows, size = [], [], 0
+def _parts(benchmark: DataFrame, item_id: str, n: int) -> Iterator[Grams]:
+    """The benchmark as hash sets of at most BROADCAST_BYTES of text each, one at a time; test sets are one part mostly."""
+    rows, size, some = [], 0, False
     for r in benchmark.select(F.col(item_id).alias("i"), F.col("text").alias("t")).distinct().toLocalIterator():
         rows.append((r.i, r.t))
-        size += len(r.t or "")
+        size += len((r.t or "").encode())
         if size > BROADCAST_BYTES:
-            parts.append(grams(rows, n))
-            rows, size = [], 0
-    return [*parts, grams(rows, n)] if rows or not parts else parts
+            yield grams(rows, n)
+            rows, size, some = [], 0, True
+    if rows or not some:
+        yield grams(rows, n)
 
 
 def _digest(items: Iterable[str | None]) -> str:
     return hashlib.sha256(",".join(sorted(x for x in items if x is not None)).encode()).hexdigest()
 
 
+_HITS = "row_key long, spans array<struct<s:int,e:int>>, items array<string>, unnamed boolean"
+
+
+def _hits(scratch: Scratch, docs: DataFrame, benchmark: DataFrame, n: int) -> DataFrame:
+    """(row_key, spans of hit words, items found, whether one without an id is): a row for each document and part that meet.
+
+    docs: (row_key, text). Each part is broadcast, matched in one pass that shuffles nothing, and given up before the next.
+    """
+    found = None
+    for at, part in enumerate(_parts(benchmark, "item_id", n)):
+        sent = docs.sparkSession.sparkContext.broadcast(part)
+
+        def rows(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            g, types = sent.value, (pa.int64(), pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])), pa.list_(pa.string()), pa.bool_())
+            for batch in batches:
+                texts, keys = texts_of(batch.column("text")), batch.column("row_key").to_pylist()
+                out = []
+                for a, b in slices(texts):
+                    for i, (_, mask, items) in enumerate(scan(texts[a:b], g)):
+                        if items:
+                            names = [g.items[x] for x in items]
+                            out.append((keys[a + i], [{"s": s, "e": e} for s, e in _runs(mask)], [x for x in names if x is not None], None in names))
+                cols = zip(*out, strict=True) if out else [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["row_key", "spans", "items", "unnamed"])
+
+        table = scratch.write(docs.mapInArrow(rows, _HITS), f"hits{at}")
+        sent.unpersist()
+        found = table if found is None else found.unionByName(table)
+    return found
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame, n: int, scratch: Scratch) -> DataFrame:
+    """docs (row_key and others, with text) with `spans`, `items` and `unnamed` of all parts; null where nothing is hit."""
+    hits = _hits(scratch, docs.select("row_key", "text"), benchmark, n)
+    per = hits.groupBy("row_key").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.bool_or("unnamed").alias("unnamed"))
+    per = scratch.write(per, "per-document")
+    return docs.join(F.broadcast(per) if few(per, FEW // 8) else per, "row_key", "left")
+
+
+def _mask(n_words: int, spans: list[dict] | None) -> np.ndarray:
+    step = np.zeros(n_words + 1, np.int32)
+    for x in spans or ():
+        step[x["s"]] += 1
+        step[x["e"]] -= 1
+    return np.cumsum(step[:-1]) > 0
+
+
 def report(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
-    """One row per document, as SCHEMA has it. No shuffle: each task scans its own texts against the broadcast set."""
-    bound_batches(docs.sparkSession)
-    sc = docs.sparkSession.sparkContext
-    sets = [sc.broadcast(g) for g in _parts(benchmark, "item_id", n)]
+    """One row per document, as SCHEMA has it."""
+    scratch = Scratch(docs.sparkSession, "decontaminate")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
         for batch in batches:
-            texts = texts_of(batch.column("text"))
-            for a, b in slices(texts):
-                per_set = [(s.value, scan(texts[a:b], s.value)) for s in sets]
-                out = []
-                for i in range(b - a):
-                    n_words = per_set[0][1][i][0]
-                    mask = np.logical_or.reduce([r[i][1] for _, r in per_set])
-                    items = {g.items[x] for g, r in per_set for x in r[i][2]}
-                    n_hit = int(mask.sum())
-                    out.append((n_words, n_hit, len(items), _digest(items), contaminated(n_words, n_hit)))
-                cols = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a).cast(pa.int64()), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()), strict=True))], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+            out = []
+            for text, spans, items, unnamed in zip(texts_of(batch.column("text")), *(batch.column(c).to_pylist() for c in ("spans", "items", "unnamed")), strict=True):
+                n_words = len(text.translate(TABLE).split())
+                n_hit = int(_mask(n_words, spans).sum()) if spans else 0
+                out.append((n_words, n_hit, len(items or ()) + bool(unnamed), _digest(items or ()), contaminated(n_words, n_hit)))
+            cols = zip(*out, strict=True) if out else [()] * len(types)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
-    return docs.select("doc_id", "text").mapInArrow(rows, SCHEMA)
+    return _judged(keyed(docs, scratch), benchmark, n, scratch).select("doc_id", "text", "spans", "items", "unnamed").mapInArrow(rows, SCHEMA)
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, spans: bool = False) -> DataFrame:
@@ -144,37 +187,35 @@ def remove(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, spans: bool =
 
     Columns, their order and all other rows stay as they are.
     """
-    bound_batches(docs.sparkSession)
-    sc = docs.sparkSession.sparkContext
-    sets = [sc.broadcast(g) for g in _parts(benchmark, "item_id", n)]
-
-    def judged(column: pd.Series) -> Iterator[tuple[bytes, hashing.Words, np.ndarray]]:
-        texts = [(t or "").encode() for t in column]
-        for a, b in slices(texts):
-            masks = [scan(texts[a:b], s.value) for s in sets]
-            w = hashing.Words(texts[a:b], TABLE)
-            for i in range(b - a):
-                yield texts[a + i], w, i, np.logical_or.reduce([m[i][1] for m in masks])
+    scratch = Scratch(docs.sparkSession, "decontaminate")
+    rows = numbered(docs, scratch)
 
     @F.pandas_udf("boolean")
-    def clean(column: pd.Series) -> pd.Series:
-        return pd.Series([not contaminated(len(mask), int(mask.sum())) for *_, mask in judged(column)], dtype=bool)
+    def clean(text: pd.Series, found: pd.Series) -> pd.Series:
+        size = [len((t or "").encode().translate(TABLE).split()) for t in text]
+        return pd.Series([not contaminated(k, int(_mask(k, f).sum())) for k, f in zip(size, found, strict=True)], dtype=bool)
 
     @F.pandas_udf("string")
-    def cut(column: pd.Series) -> pd.Series:
+    def cut(text: pd.Series, found: pd.Series) -> pd.Series:
         out = []
-        for text, w, i, mask in judged(column):
-            if not mask.any():
-                out.append(text.decode())
-                continue
-            lo = w.first[i]
-            drop = np.zeros(len(text), bool)
-            edges = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
-            for s, e in zip(edges[::2], edges[1::2], strict=True):
-                drop[w.start[lo + s] - w.offset[i] : w.end[lo + e - 1] - w.offset[i]] = True
-            out.append(np.frombuffer(text, np.uint8)[~drop].tobytes().decode())
-        return pd.Series(out, index=column.index, dtype=object)
-
+        for t, f in zip(text, found, strict=True):
+            b = t.encode()
+            w = hashing.Words([b], TABLE)
+            drop = np.zeros(len(b), bool)
+            for s, e in _runs(_mask(len(w), f)):
+                drop[w.start[s] : w.end[e - 1]] = True
+            out.append(np.frombuffer(b, np.uint8)[~drop].tobytes().decode())
+        return pd.Series(out, index=text.index, dtype=object)
+
+    got = _judged(rows.select("row_key", "doc", F.col("doc.text").alias("text")), benchmark, n, scratch)
+    hit = F.col("spans").isNotNull()
     if not spans:
-        return docs.where(clean(F.col("text")))
-    return docs.withColumn("text", F.when(F.col("text").isNotNull(), cut(F.col("text"))))
+        keep = got.where(~hit).select("doc").unionByName(got.where(hit).where(clean("text", "spans")).select("doc"))
+        return keep.select("doc.*")
+    same, less = got.where(~hit).select("doc"), got.where(hit).select("doc", cut("text", "spans").alias("text"))
+    return same.unionByName(less.select(F.col("doc").withField("text", F.col("text")).alias("doc"))).select("doc.*")
+
+
+def _runs(mask: np.ndarray) -> Iterator[tuple[int, int]]:
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]]))).tolist()
+    return zip(edge[::2], edge[1::2], strict=True)

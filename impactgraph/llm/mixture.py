@@ -15,18 +15,20 @@ for a null or empty text, else 1 at least. Rows with one id are drawn one by one
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from impactgraph.llm.common import Scratch, few
+from impactgraph.llm.common import Scratch, few, numbered
 
 STEPS_BITS = 12
 LEVELS = ("__domain", "__lang", "__source")
 
 
 def domain(source: Column) -> Column:
-    """The domain of a source by its last character: the production mapping."""
+    """A mapping of sources to domains for corpora whose sources are numbered: by the last character. Others pass their own."""
     last = F.substring(F.coalesce(source, F.lit("")), -1, 1)
     return F.when(last.isin("0", "1", "2"), "web").when(last.isin("3", "4", "5"), "books").otherwise("other")
 
@@ -81,15 +83,20 @@ def budgets(leaves: DataFrame, share: float, epochs: int, weights: dict[str, dic
     return nodes.select(*LEVELS, "tokens", F.floor("budget").cast("long").alias("budget"))
 
 
-def copies(docs: DataFrame, share: float = SHARE, epochs: int = EPOCHS, seed: int = SEED, weights: dict = WEIGHTS) -> DataFrame:
-    """docs with LEVELS, __tokens and __copies: how often each document is drawn."""
+def copies(docs: DataFrame, share: float = SHARE, epochs: int = EPOCHS, seed: int = SEED, weights: dict = WEIGHTS, domain_of: Callable[[Column], Column] = domain) -> DataFrame:
+    """(doc, LEVELS, __tokens, __copies): how often each document is drawn; doc has all columns of docs, whatever their names.
+
+    domain_of gives a source's domain. Documents are ordered row by row without their texts, in the one range of each leaf
+    in which its prefix ends.
+    """
     scratch = Scratch(docs.sparkSession, "mixture")
-    size = F.octet_length(F.coalesce("text", F.lit("")))
-    docs = docs.withColumns({
-        "__domain": domain(F.col("source")), "__lang": F.coalesce("lang", F.lit("")), "__source": F.coalesce("source", F.lit("")), "__id": F.col("doc_id"),
-        "__tokens": F.when(size == 0, 0).otherwise(F.greatest(F.lit(1), F.floor(size / 4))).cast("long"),
-    })
-    slim = scratch.write(docs.select(*LEVELS, "__id", "__tokens"), "sizes")
+    text = F.coalesce("doc.text", F.lit(""))
+    size = F.octet_length(text)
+    rows = numbered(docs, scratch).select(
+        "row_key", "doc", domain_of(F.col("doc.source")).alias("__domain"), F.coalesce("doc.lang", F.lit("")).alias("__lang"), F.coalesce("doc.source", F.lit("")).alias("__source"), F.col("doc.doc_id").alias("__id"),
+        F.when(size == 0, 0).otherwise(F.greatest(F.lit(1), F.floor(size / 4))).cast("long").alias("__tokens"),
+    )
+    slim = scratch.write(rows.select(*LEVELS, "__id", "__tokens"), "sizes")
     leaves = slim.groupBy(*LEVELS).agg(F.sum("__tokens").alias("tokens"))
     plan = budgets(leaves, share, epochs, weights).withColumn("__full", F.floor(F.col("budget") / F.col("tokens")).cast("long"))
     plan = scratch.write(plan.select(*LEVELS, "__full", (F.col("budget") - F.col("__full") * F.col("tokens")).alias("__rest")), "plan")
@@ -102,17 +109,20 @@ def copies(docs: DataFrame, share: float = SHARE, epochs: int = EPOCHS, seed: in
     ends = steps.withColumn("sum", F.sum("t").over(by)).where(F.col("sum") > F.col("__rest")).groupBy(*LEVELS).agg(F.min("__step").alias("__end"), F.min_by(F.col("__rest") - F.col("sum") + F.col("t"), "__step").alias("__left"))
     cut = scratch.write(plan.select(*LEVELS, "__full").join(ends, list(LEVELS), "left"), "cut")
     cut = F.broadcast(cut) if small else cut
-    drawn = docs.join(cut, list(LEVELS), "left").withColumn("__at", _order(F.coalesce("__full", F.lit(0)), seed)).withColumn("__step", step)
+    drawn = rows.join(cut, list(LEVELS), "left").withColumn("__at", _order(F.coalesce("__full", F.lit(0)), seed)).withColumn("__step", step)
     inside = F.coalesce(F.col("__step") == F.col("__end"), F.lit(False))
-    far = drawn.where(~inside).withColumn("__copies", F.coalesce("__full", F.lit(0)) + F.when(F.col("__full").isNotNull() & (F.col("__end").isNull() | (F.col("__step") < F.col("__end"))), 1).otherwise(0))
-    near = drawn.where(inside).withColumn("__sum", F.sum("__tokens").over(W.partitionBy(*LEVELS).orderBy("__at", "__id", F.md5(F.coalesce("text", F.lit(""))), "__tokens").rowsBetween(W.unboundedPreceding, 0)))
-    near = near.withColumn("__copies", F.col("__full") + F.when(F.col("__sum") <= F.col("__left"), 1).otherwise(0)).drop("__sum")
-    gone = ("__id", "__full", "__end", "__left", "__at", "__step")
-    return far.drop(*gone).unionByName(near.drop(*gone)).withColumn("__copies", F.col("__copies").cast("long"))
+    out = ["doc", *LEVELS, "__tokens"]
+    more = F.col("__full").isNotNull() & (F.col("__end").isNull() | (F.col("__step") < F.col("__end")))
+    far = drawn.where(~inside).select(*out, (F.coalesce("__full", F.lit(0)) + F.when(more, 1).otherwise(0)).alias("__copies"))
+    close = drawn.where(inside)
+    ids = close.select("row_key", *LEVELS, "__at", "__id", F.md5(text).alias("__tie"), "__tokens", "__left", "__full")
+    order = W.partitionBy(*LEVELS).orderBy("__at", "__id", "__tie", "__tokens").rowsBetween(W.unboundedPreceding, 0)
+    near = scratch.write(ids.select("row_key", (F.col("__full") + F.when(F.sum("__tokens").over(order) <= F.col("__left"), 1).otherwise(0)).alias("__copies")), "near")
+    near = close.join(F.broadcast(near) if few(near) else near, "row_key").select(*out, "__copies")
+    return far.unionByName(near).withColumn("__copies", F.col("__copies").cast("long"))
 
 
 def mixed(docs: DataFrame, **settings) -> DataFrame:
     """The drawn rows, one for each copy, with the columns of docs."""
     got = copies(docs, **settings).where("__copies > 0")
-    again = F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))).alias("__copy")
-    return got.select(*[F.col(f"`{c}`") for c in docs.columns], again).drop("__copy")
+    return got.select("doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))).alias("copy")).select("doc.*")

@@ -47,7 +47,7 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = mixture.copies(table(spark, sf_dir, "documents"))
-    return got.select("doc_id", F.col("__domain").alias("domain"), F.col("__tokens").alias("n_tokens"), F.col("__copies").alias("copies"))
+    return got.select("doc.doc_id", F.col("__domain").alias("domain"), F.col("__tokens").alias("n_tokens"), F.col("__copies").alias("copies"))
 
 
 #: Documents that the language model must not learn from.
@@ -92,6 +92,18 @@ ORACLES: dict[str, str] = {
         kept AS (SELECT l.doc_id, count(*) FILTER (gone.u IS NOT NULL) AS n_removed, string_agg(line, chr(10) ORDER BY l.u) FILTER (gone.u IS NULL) AS text FROM l LEFT JOIN gone USING (doc_id, u) GROUP BY l.doc_id)
         SELECT s.doc_id, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_units, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
         FROM s LEFT JOIN kept USING (doc_id)""",
+    "op5_suffix_dedup": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, '')) AS n FROM documents),
+        g AS (SELECT doc_id, i, md5(substr(x, 2 * i + 1, 400)) AS h FROM (SELECT doc_id, x, unnest(range(0, n - 199)) AS i FROM d WHERE n >= 200)),
+        m AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY h) AS times FROM g) WHERE times > 1),
+        o AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 0 ELSE 1 END AS new FROM m),
+        k AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS island FROM o),
+        sp AS (SELECT doc_id, min(i) AS s, max(i) + 200 AS e FROM k GROUP BY doc_id, island),
+        q AS (SELECT doc_id, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS before FROM sp),
+        r AS (SELECT q.doc_id, count(*) AS n_spans, sum(e - s) AS n_removed, string_agg(substr(x, 2 * before + 1, 2 * (s - before)), '' ORDER BY s) AS head, max(e) AS last FROM q JOIN d USING (doc_id) GROUP BY q.doc_id)
+        SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+               sha256(unhex(CASE WHEN last IS NULL THEN x ELSE coalesce(head, '') || substr(x, 2 * last + 1) END)) AS kept_sha256
+        FROM d LEFT JOIN r USING (doc_id)""",
     "op6_substring_dedup": r"""
         WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
         g AS (SELECT doc_id, i, sha256(array_to_string(list_slice(w, i, i + 49), ' ')) AS h
@@ -123,6 +135,19 @@ ORACLES: dict[str, str] = {
         o AS (SELECT d.*, budget // tokens AS whole, budget % tokens AS rest, md5('11:' || (budget // tokens) || ':' || coalesce(doc_id::VARCHAR, '')) AS h FROM d LEFT JOIN b3 USING (domain, lang, source))
         SELECT doc_id, domain, n_tokens, CAST(coalesce(whole + CASE WHEN sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY substr(h, 1, 15), doc_id, md5(coalesce(text, '')) ROWS UNBOUNDED PRECEDING) <= rest THEN 1 ELSE 0 END, 0) AS BIGINT) AS copies
         FROM o""",
+    "op9_ngram_join": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+            FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + least(4, len(w)) - 1), ' ') AS g
+              FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(4, len(w)) + 2)) AS i FROM d WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_ FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+        l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both_ >= 85 * (x.n + y.n - both_)),
+        e AS (SELECT a AS u, b AS v FROM l UNION SELECT b, a FROM l),
+        r AS (SELECT u AS x, u AS y FROM e UNION SELECT r.x, e.v FROM r JOIN e ON r.y = e.u),
+        c AS (SELECT x, min(y) AS least_ FROM r GROUP BY x)
+        SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(least_, d.doc_id) AS component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.x = d.doc_id""",
     "op10_decontaminate": r"""
         WITH dw AS (
             SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w

@@ -341,7 +341,7 @@ def test_mixture(spark):
     r = random.Random(3)
     rows = [(d, None if d % 50 == 0 else "w" * r.randint(0, 400), r.choice(["en", "de", None]), r.choice(["src0", "src4", "src9", None])) for d in range(400)]
     df = spark.createDataFrame([(d, t, k, s, 1, True, "x") for d, t, k, s in rows], SCHEMA).repartition(3)
-    got = {x.doc_id: x for x in mixture.copies(df, share=0.7).collect()}
+    got = {x.doc.doc_id: x for x in mixture.copies(df, share=0.7).collect()}
     plan = {tuple(x)[:3]: (x.tokens, x.budget) for x in mixture.budgets(mixture.copies(df, share=0.7).groupBy(*mixture.LEVELS).agg(F.sum("__tokens").alias("tokens")), 0.7, 2, mixture.WEIGHTS).collect()}
     by_leaf = collections.defaultdict(list)
     for x in got.values():
@@ -350,13 +350,16 @@ def test_mixture(spark):
         total, budget = plan[leaf]
         full, rest = divmod(budget, total)
         used = 0
-        key = lambda x, full=full: hashlib.md5(f"11:{full}:{x.doc_id}".encode()).hexdigest()[:15]
-        for x in sorted(xs, key=lambda x: (key(x), x.doc_id)):
+        key = lambda x, full=full: hashlib.md5(f"11:{full}:{x.doc.doc_id}".encode()).hexdigest()[:15]
+        for x in sorted(xs, key=lambda x: (key(x), x.doc.doc_id)):
             used += x["__tokens"]
             assert x["__copies"] == full + (used <= rest)
     out = mixture.mixed(df, share=0.7)
     assert out.columns == df.columns and out.count() == sum(x["__copies"] for x in got.values())
-    assert mixture.copies(table(spark, EMPTY)).count() == 0 and {x["__copies"] for x in mixture.copies(df, share=0.0).collect()} <= {0, 1}
+    odd = df.withColumns({"__domain": F.lit("d"), "__tokens": F.lit("t"), "doc": F.lit(1), "row_key": F.lit(2), "copy": F.lit(3)})
+    same = mixture.mixed(odd, share=0.7)
+    assert same.columns == odd.columns and sorted(x.doc_id for x in same.collect()) == sorted(x.doc_id for x in out.collect())
+    assert mixture.copies(table(spark, EMPTY)).count() == 0 and mixture.mixed(table(spark, EMPTY)).columns == df.columns and {x["__copies"] for x in mixture.copies(df, share=0.0).collect()} <= {0, 1}
 
 
 def test_pipeline(spark, tmp_path):
