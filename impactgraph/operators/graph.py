@@ -96,15 +96,36 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, reve
     return seen
 
 
-def closure(pairs: DataFrame) -> DataFrame:
-    """(a, b): all pairs with a path from a to b. For quotient graphs, which are small; path lengths double each round."""
-    known = cut_lineage(pairs.select("a", "b").distinct())
+def cycles(pairs: DataFrame) -> DataFrame:
+    """(id, cycle) of all nodes that lie on a cycle of pairs (a, b); a strongly connected set is named by its least node.
+
+    By forward and backward colouring: every node takes the least node that reaches it; what reaches that root within its
+    colour is the root's set. Sets and roots go, the rest is coloured again. Rows are as many as the pairs, never all pairs
+    that reach each other; rounds follow the length of paths.
+    """
+    edges = cut_lineage(pairs.select("a", "b").where("a <> b").distinct())
+    found = None
     while True:
-        longer = known.join(known.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b"))
-        new = cut_lineage(longer.distinct().join(known, ["a", "b"], "left_anti"))
-        if new.isEmpty():
-            return known
-        known = cut_lineage(known.unionByName(new))
+        into, out = edges.select(F.col("b").alias("a")).distinct(), edges.select(F.col("a").alias("b")).distinct()
+        edges = cut_lineage(edges.join(into, "a", "left_semi").join(out, "b", "left_semi"))  # ends of paths lie on no cycle
+        if edges.isEmpty():
+            break
+        colour = cut_lineage(edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct().withColumn("c", F.col("id")))
+        while True:
+            sent = edges.join(colour.select(F.col("id").alias("a"), "c"), "a").groupBy(F.col("b").alias("id")).agg(F.min("c").alias("new"))
+            step = cut_lineage(colour.join(sent, "id", "left").select("id", F.least("c", F.coalesce("new", "c")).alias("c"), (F.col("new") < F.col("c")).alias("moved")))
+            colour = step.select("id", "c")
+            if step.where("moved").isEmpty():
+                break
+        one, two = (colour.select(F.col("id").alias(x), F.col("c").alias("c" + x)) for x in "ab")
+        own = edges.join(one, "a").join(two, "b").where("ca = cb").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+        back = reach(own, colour.where("id = c").select("id"), reverse=True).select("id")
+        members = cut_lineage(back.join(colour, "id").select("id", F.col("c").alias("cycle")))
+        found = members if found is None else found.unionByName(members)
+        edges = edges.join(members.select(F.col("id").alias("a")), "a", "left_anti").join(members.select(F.col("id").alias("b")), "b", "left_anti")
+    if found is None:
+        return pairs.select(F.col("a").alias("id"), F.col("a").alias("cycle")).limit(0)
+    return found.join(found.groupBy("cycle").agg(F.count("*").alias("n")).where("n > 1").select("cycle"), "cycle").select("id", "cycle")
 
 
 def impact(edges: DataFrame, seeds: DataFrame, max_depth: int = 4) -> DataFrame:

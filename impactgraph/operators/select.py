@@ -58,20 +58,32 @@ def apply_learned(profiles: DataFrame, learned: DataFrame) -> DataFrame:
     return got.select("name", *[F.when(F.col("d_" + n).isNull(), F.col(n)).otherwise(S.clamp(F.col(n) + F.col("d_" + n), LEAST_WEIGHT, 1.0)).alias(n) for n in names])
 
 
-def learn(outcomes: DataFrame) -> DataFrame:
+def learn(outcomes: DataFrame, run: int = 1 << 16) -> DataFrame:
     """Learned changes by profile from outcomes in order: (name, seq, cited, uncited, missing_tests).
 
-    Each outcome is added and clamped before the next, so that the order counts: a fold over each profile's outcomes.
-    Low ratings bring outcomes without paths, which change nothing.
+    Each outcome is added and clamped before the next, so that the order counts. Such a step is a function of the shape
+    x -> clamp(x + a, l, h), and so are several in a row: outcomes are folded into one by runs of `run` numbers of seq, and
+    the runs of a profile then into one. Low ratings bring outcomes without paths, which change nothing.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("seq", "cited", "uncited", "missing_tests")))
-    zero = F.struct(F.lit(0.0).alias("g"), F.lit(0.0).alias("t"))
-    step = lambda a, o: F.struct(
-        S.clamp(a["g"] + (o["cited"] * RATE - o["uncited"] * (RATE * 0.5)), -MOST_LEARNED, MOST_LEARNED).alias("g"),
-        S.clamp(a["t"] + F.when(o["missing_tests"], RATE * 2).otherwise(0.0), -MOST_LEARNED, MOST_LEARNED).alias("t"),
-    )
-    folded = outcomes.groupBy("name").agg(F.aggregate(ordered, zero, step).alias("x"))
-    return folded.select("name", F.col("x.g").alias("graph_distance"), F.lit(0.0).alias("recency"), F.col("x.t").alias("test_relevance"), F.lit(0.0).alias("edit_frequency"))
+    steps = outcomes.select("name", "seq", F.floor(F.col("seq") / run).alias("part"), (F.col("cited") * RATE - F.col("uncited") * (RATE * 0.5)).alias("g"), F.when(F.col("missing_tests"), RATE * 2).otherwise(0.0).alias("t"))
+    shape = lambda a, low, high: F.struct(a.alias("a"), low.alias("l"), high.alias("h"))
+    nothing = shape(F.lit(0.0), F.lit(-1e18), F.lit(1e18))
+
+    def folded(rows: str, then) -> Column:
+        def step(x: Column, row: Column) -> Column:
+            a, low, high = then(row)
+            inside = lambda v: F.greatest(low, F.least(high, v + a))
+            return shape(x["a"] + a, inside(x["l"]), inside(x["h"]))
+
+        return F.aggregate(rows, nothing, step)
+
+    most = F.lit(MOST_LEARNED)
+    parts = steps.groupBy("name", "part").agg(F.array_sort(F.collect_list(F.struct("seq", "g", "t"))).alias("rows"))
+    parts = parts.select("name", "part", *[folded("rows", lambda r, k=k: (r[k], -most, most)).alias(k) for k in "gt"])
+    whole = parts.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("part", "g", "t"))).alias("rows"))
+    whole = whole.select("name", *[folded("rows", lambda r, k=k: (r[k]["a"], r[k]["l"], r[k]["h"])).alias(k) for k in "gt"])
+    at = lambda k: F.greatest(F.col(k)["l"], F.least(F.col(k)["h"], F.col(k)["a"]))
+    return whole.select("name", at("g").alias("graph_distance"), F.lit(0.0).alias("recency"), at("t").alias("test_relevance"), F.lit(0.0).alias("edit_frequency"))
 
 
 def feedback_outcomes(feedback: DataFrame) -> DataFrame:

@@ -14,6 +14,9 @@ EXHAUSTIVE_HITS, EXHAUSTIVE_PER_FILE = 100_000, 10_000
 SHOWN_FILES, SHOWN_PER_FILE = 10, 5
 MAX_TERMS = 10
 
+#: Lines of a stretch of a file, by which hits meet spans.
+STRETCH = 64
+
 
 def in_scope(path: Column, scope: list[str] | None) -> Column:
     """Paths at or below those requested. A request of which nothing is valid lets nothing in, never everything."""
@@ -70,11 +73,14 @@ def with_context(lines: DataFrame, found: DataFrame, n: int = 2) -> DataFrame:
 
 
 def innermost(found: DataFrame, spans: DataFrame) -> DataFrame:
-    """Each hit with the smallest symbol around it: a left range join with the file as equi-key.
+    """Each hit with the smallest symbol around it: a range join whose equi-keys are the file and a stretch of STRETCH lines,
+    so that a hit meets the spans of its neighbourhood only.
 
     spans: file, id, start, end. Of equally small spans the first by start, then id, wins.
     """
-    around = found.join(spans, "file", "left").where(F.col("id").isNull() | F.col("line").between(F.col("start"), F.col("end")))
+    stretch = lambda c: F.floor(F.col(c) / STRETCH).alias("stretch")
+    near = spans.where("start <= end").select("file", "id", "start", "end", F.explode(F.sequence(stretch("start"), stretch("end"))).alias("stretch"))
+    around = found.select("file", "line", stretch("line")).distinct().join(near, ["file", "stretch"]).where(F.col("line").between(F.col("start"), F.col("end")))
     best = around.groupBy("file", "line").agg(F.min(F.struct((F.col("end") - F.col("start")).alias("width"), "start", "id")).alias("best"))
     return found.join(best, ["file", "line"], "left").withColumn("symbol", F.col("best.id")).drop("best")
 

@@ -110,9 +110,7 @@ def expand(crossed: DataFrame, src: str, dst: str) -> DataFrame:
 
 def cycles(pairs: DataFrame) -> DataFrame:
     """(component, cycle): members of each set of components that reach each other; a cycle is named by its least member."""
-    reach = graph.closure(pairs.select(F.col("src_comp").alias("a"), F.col("dst_comp").alias("b")))
-    mutual = reach.join(reach.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"]).where("a <> b")
-    return mutual.groupBy(F.col("a").alias("component")).agg(F.least(F.min("b"), F.col("component")).alias("cycle"))
+    return graph.cycles(pairs.select(F.col("src_comp").alias("a"), F.col("dst_comp").alias("b"))).withColumnRenamed("id", "component")
 
 
 def cycle_edges(pairs: DataFrame, members: DataFrame) -> DataFrame:

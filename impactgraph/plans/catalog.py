@@ -448,7 +448,7 @@ def debounced_batches(spark, sf):
     return got.select("user_id", "events", F.unix_micros("first").alias("first_us"), F.unix_micros("last").alias("last_us"))
 
 
-@query()
+@query(A.with_tables("lines") + "SELECT file, sha256(string_agg(CASE WHEN contains(lower(text), 'license') THEN regexp_replace(text, 'license', 'licence', 'gi') ELSE text END, chr(10) ORDER BY line)) AS sha FROM lines GROUP BY file")
 def rename_applied(spark, sf):
     files = A.files(spark, sf)
     edits = text.hits(A.split_lines(files), "license").select("file", "line", F.regexp_replace("text", "\r$", "").alias("before"), F.regexp_replace("text", "(?i)license", "licence").alias("after"))
@@ -456,7 +456,11 @@ def rename_applied(spark, sf):
     return whole.select("file", F.sha2("content", 256).alias("sha"))
 
 
-@query()
+@query(A.with_tables("lines", "blocks") + """, sh AS (SELECT b.file, b.id, b."start", b."end", sha256(string_agg(l.text, chr(10) ORDER BY l.line)) AS sha, bool_or(l.line % 13 = 5) AS moved FROM blocks b JOIN lines l ON l.file = b.file AND l.line BETWEEN b."start" AND b."end" WHERE b.id NOT LIKE '%::all' GROUP BY ALL),
+    same AS (SELECT * FROM sh WHERE NOT moved),
+    rows_ AS (SELECT l.file, l.line, CASE WHEN s.id IS NULL THEN l.text WHEN l.line = s."start" THEN '… [' || s.id || ' unchanged, sha ' || left(s.sha, 8) || '] …' END AS t, (s.id IS NOT NULL AND l.line = s."start")::INT AS p
+        FROM lines l LEFT JOIN same s ON s.file = l.file AND l.line BETWEEN s."start" AND s."end" WHERE l.file IN (SELECT file FROM same))
+    SELECT file, CAST(sum(p) AS BIGINT) AS pointers, sha256(string_agg(t, chr(10) ORDER BY line)) AS sha FROM rows_ WHERE t IS NOT NULL GROUP BY file""")
 def semantic_delta(spark, sf):
     lines = A.lines(spark, sf)
     spans = A.blocks(lines).where(~F.col("id").endswith("::all")).withColumnRenamed("id", "key")
