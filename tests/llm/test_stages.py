@@ -38,3 +38,21 @@ def test_near_duplicates_stage_links_from_four_fifths_of_five_words(spark):
     assert gap > 10
     got = corpus_pipeline.near_duplicates_stage(spark, table(spark, [(d, " ".join(w)) for d, w in docs.items()]), "")
     assert sorted(x.doc_id for x in got.collect()) == sorted(d for d in docs if root[d] == d)
+
+
+def test_stages_on_nothing_and_on_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row_key string, __domain string, spans int"
+    spark.createDataFrame([("b", "never seen words")], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    none = spark.createDataFrame([], schema)
+    odd = spark.createDataFrame([(None, None, None, None, None, None, None, None), (1, "", "", "", 0, "k", "d", 1), (1, "", "", "", 0, "k", "d", 1), (None, "a  b", "en", None, 3, None, None, None)], schema)
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, none, str(tmp_path))
+        assert got.count() == 0, name
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert got.columns == none.columns and stage(spark, odd, str(tmp_path)).columns == none.columns, name
+    ids = lambda df: sorted((x.doc_id or 0, x.text or "") for x in df.collect())
+    assert ids(corpus_pipeline.near_duplicates_stage(spark, odd, "")) == ids(odd)  # texts without words are no copies
+    assert ids(corpus_pipeline.benchmark_stage(spark, odd, str(tmp_path))) == ids(odd)
+    assert corpus_pipeline.tokens_stage(spark, odd, str(tmp_path)).count() == 4
