@@ -58,14 +58,15 @@ def diff_lines(spark: SparkSession, text: str) -> DataFrame:
     diff deletes it. Lines of a hunk are counted, so that no body line is read as a header."""
     old, file, rows, left = "", "", [], [0, 0]
     for i, line in enumerate(text.split("\n")):
-        if max(left) > 0:  # "\\ No newline" is on neither side
+        m = _HUNK.match(line)  # no body line begins like that, as each has a mark in front
+        if max(left) > 0 and not m:  # "\\ No newline" is on neither side
             left[0] -= line[:1] in ("-", " ", "")
             left[1] -= line[:1] in ("+", " ", "")
         elif line.startswith("--- "):
             old = line[4:].removeprefix("a/").strip()
         elif line.startswith("+++ "):
             file = line[4:].removeprefix("b/").strip()
-        elif m := _HUNK.match(line):
+        elif m:
             gone = file == "/dev/null"
             rows.append((old if gone else file, i, line, gone))
             left = [int(n if n is not None else 1) for n in m.groups()]

@@ -140,7 +140,7 @@ def test_verdicts(spark):
 
 
 def test_diff_ranges_and_seeds(spark):
-    diff = files.diff_lines(spark, "+++ b/x.go\n@@ -1,2 +3,4 @@ f\n+a\n@@ -9 +12 @@\n@@ -20,3 +19,0 @@\n+++ b/y.go\n@@ -1 +0,0 @@")
+    diff = files.diff_lines(spark, "--- a/x.go\n+++ b/x.go\n@@ -1,2 +3,4 @@ f\n-p\n-q\n+a\n+b\n+c\n+d\n@@ -9 +12 @@\n-r\n+s\n@@ -20,3 +19,0 @@\n-t\n-u\n-v\n--- a/y.go\n+++ b/y.go\n@@ -1 +0,0 @@\n-w")
     assert sorted(map(tuple, verify.ranges(diff).collect())) == [("x.go", 3, 6), ("x.go", 12, 12), ("x.go", 19, 19), ("y.go", 1, 1)]
     spans = spark.createDataFrame([("x.go", "a", 1, 3), ("x.go", "b", 7, 11)], "file string, key string, start int, end int")
     assert [r.key for r in verify.touched_spans(spans, verify.ranges(diff)).collect()] == ["a"]
