@@ -52,10 +52,11 @@ def shared(scratch: Scratch, runs: DataFrame) -> DataFrame:
     return scratch.write(runs.join(twice, "q"), "shared")
 
 
-def with_texts(docs: DataFrame, wanted: DataFrame, cut: Callable, schema: str) -> DataFrame:
+def with_texts(scratch: Scratch, docs: DataFrame, wanted: DataFrame, cut: Callable, schema: str) -> DataFrame:
     """cut() over each document that `wanted` names, with its list of wanted rows; texts of others don't move."""
-    if few(wanted):
-        docs = docs.join(F.broadcast(wanted.select("row_key").distinct()), "row_key", "left_semi")
+    keys = scratch.write(wanted.select("row_key").distinct(), "wanted-keys")
+    if few(keys):
+        docs = docs.join(F.broadcast(keys), "row_key", "left_semi")
     fields = [c for c in wanted.columns if c != "row_key"]
     per_doc = wanted.groupBy("row_key").agg(F.collect_list(F.struct(*fields)).alias("wanted"))
     return docs.select("row_key", "text").join(per_doc, "row_key").mapInArrow(cut, schema)

@@ -135,7 +135,8 @@ def marks(scratch: Scratch, docs: DataFrame, k: int = K, q: int = Q) -> DataFram
     same = scratch.write(same.select("q", "c", "first.*"), "contexts")
     groups = scratch.write(same.groupBy("q").agg(F.count("*").alias("contexts")).where("contexts > 1").select("q"), "groups")
     wanted = scratch.write(same.join(groups, "q"), "wanted")
-    texts = scratch.write(runs.with_texts(docs, wanted, _contexts(k), _CONTEXT), "texts")
+    texts = scratch.write(runs.with_texts(scratch, docs, wanted, _contexts(k), _CONTEXT), "texts")
+    scratch.drop("wanted", "wanted-keys")
     factors = scratch.write(_parsed(scratch, texts, k), "factors")
     earliest = same.select("q", "c", F.col("rank").alias("least"))
     later = found.join(earliest, ["q", "c"])

@@ -175,7 +175,8 @@ def marks(scratch: Scratch, docs: DataFrame, k: int = K, q: int = Q) -> DataFram
     groups = same.groupBy("q").agg(F.count("*").alias("contexts"), F.min("n").alias("least")).where("contexts > 1 AND least = 1").drop("least")
     groups = scratch.write(groups, "groups")
     wanted = scratch.write(same.join(groups, "q").drop("c"), "wanted")
-    texts = scratch.write(runs.with_texts(docs, wanted, _contexts(k), _CONTEXT), "texts")
+    texts = scratch.write(runs.with_texts(scratch, docs, wanted, _contexts(k), _CONTEXT), "texts")
+    scratch.drop("wanted", "wanted-keys")
     small = texts.where(F.col("contexts") <= LOCAL).repartition("q").sortWithinPartitions("q").mapInArrow(_spans(k), _SPAN)
     large = _large(scratch, texts.where(F.col("contexts") > LOCAL), k, q)
     whole = found.join(same.where("n > 1").select("q", "c"), ["q", "c"]).select("row_key", F.col("p0").alias("s"), (F.col("p1") + k).alias("e"))
