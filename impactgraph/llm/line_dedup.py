@@ -22,12 +22,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from impactgraph.llm.common import Scratch, keyed
+from impactgraph.llm.common import Scratch, few, keyed
 
 #: Edits allowed at most, and the words of a unit for each.
 BOUND, EACH = 1, 8
 #: Words whose sums are appended to one list; variants of as many words are hashed by sums.
 BLOCK = 256
+#: Single numbers that may be broadcast as keys: 8 MB.
+KEYS = 1_000_000
 
 #: Primes and bases of the hashes of long sequences; products stay below 2^63.
 _PRIMES, _BASES = (2147483647, 2147483629), (1103515245, 1664525)
@@ -116,13 +118,14 @@ def removed(docs: DataFrame, scratch: Scratch) -> DataFrame:
     copies = scratch.write(copies, "copies")
     scratch.drop("units")
 
-    # Of each distinct unit that may have an edit the first place; those that share a half with another. These joins always
-    # shuffle, as both sides grow with the corpus.
+    # Of each distinct unit that may have an edit the first place; those that share a half with another.
     half = first.where("halves IS NOT NULL").select("row_key", "u", F.explode("halves").alias("h"))
     met = scratch.write(half.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "met")
-    open_ = scratch.write(half.join(met, "h").select("row_key", "u").distinct(), "open")
+    open_ = scratch.write(half.join(F.broadcast(met) if few(met, KEYS) else met, "h").select("row_key", "u").distinct(), "open")
     scratch.drop("first", "met")
-    near = units(docs.join(open_.select("row_key").distinct(), "row_key", "left_semi")).join(open_, ["row_key", "u"])
+    names = scratch.write(open_.select("row_key").distinct(), "names")
+    own = docs.join(F.broadcast(names) if few(names, KEYS) else names, "row_key", "left_semi")
+    near = units(own).join(F.broadcast(open_) if few(open_) else open_, ["row_key", "u"])
     near = scratch.write(near.select("row_key", "rank", "u", F.split("unit", " ", -1).alias("words")), "near")
 
     # Keys: without word i as a replaced word, at its place; without word i against shorter units; and the unit itself.
@@ -165,6 +168,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     keys = gone.select("row_key")
     lines = F.split("text", "\n", -1)
     n_units = F.size(lines).cast("long").alias("n_units")
+    keys = F.broadcast(keys) if few(gone, KEYS) else keys
     same = docs.join(keys, "row_key", "left_anti").select("doc_id", "text", n_units, none.alias("n_removed"))
     less = docs.join(keys, "row_key", "left_semi").join(gone, "row_key")
     kept = F.filter(F.transform(lines, lambda line, u: F.when(~F.array_contains("gone", u), line)), lambda x: x.isNotNull())
