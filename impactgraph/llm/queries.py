@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from impactgraph.llm import decontaminate, exact_dedup, language, line_dedup, mixture, ngram_join, substring_dedup, suffix_dedup, token_files, tokens
+from impactgraph.llm import decontaminate, exact_dedup, filter_audit, hard_negatives, language, line_dedup, mixture, ngram_join, substring_dedup, suffix_dedup, telephony, token_files, tokens
+from impactgraph.llm.common import Scratch
 
 
 def tokenizer_path(name: str) -> str:
@@ -67,7 +68,21 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_binary, op2_exact_dedup, op3_token_counts, op4_line_dedup, op5_suffix_dedup, op6_substring_dedup, op7_mixture, op8_language, op9_ngram_join, op10_decontaminate)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    got = hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label=label)
+    return got.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
+def op13_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return telephony.features(telephony.stored(table(spark, sf_dir, "documents"), Scratch(spark, "telephony")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_binary, op2_exact_dedup, op3_token_counts, op4_line_dedup, op5_suffix_dedup, op6_substring_dedup, op7_mixture, op8_language, op9_ngram_join, op10_decontaminate, op11_filter_audit, op12_hard_negatives, op13_telephony)}
 
 _WHITE = r"[\x20\x09-\x0D]+"
 
@@ -169,4 +184,40 @@ ORACLES: dict[str, str] = {
         SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
                coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM dw LEFT JOIN n USING (doc_id) LEFT JOIN it USING (doc_id)""",
+    "op11_filter_audit": r"""
+        WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        l AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+        d AS (
+            SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+                   (len(w) < 100)::INT + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::INT + 4 * (100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * len(text))::INT
+                   + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)::INT AS mask
+            FROM t LEFT JOIN l USING (doc_id)),
+        f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS name, unnest([1, 2, 4, 8, 16]) AS bit),
+        o AS (
+            SELECT a.name || b.name || c.name || d.name || e.name AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+            FROM f a JOIN f b ON b.bit <> a.bit JOIN f c ON c.bit NOT IN (a.bit, b.bit) JOIN f d ON d.bit NOT IN (a.bit, b.bit, c.bit) JOIN f e ON e.bit NOT IN (a.bit, b.bit, c.bit, d.bit)),
+        s AS (SELECT filter_order, i AS step, bits[i] AS bit, coalesce(list_sum(list_slice(bits, 1, i - 1)), 0)::INT AS earlier FROM (SELECT *, unnest(range(1, 6)) AS i FROM o)),
+        m AS (SELECT part, mask, good, toxic, count(*) AS n FROM d GROUP BY ALL),
+        r AS (
+            SELECT part, filter_order, step, bit,
+                   coalesce(sum(n) FILTER (mask & (bit | earlier) = 0), 0) AS kept,
+                   coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & earlier = 0), 0) AS removed,
+                   coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & earlier <> 0), 0) AS redundant,
+                   coalesce(sum(n) FILTER (mask = bit), 0) AS unique_fails,
+                   coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & earlier = 0 AND good), 0) AS good_lost,
+                   coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & earlier = 0 AND toxic), 0) AS toxic_lost
+            FROM m CROSS JOIN s GROUP BY part, filter_order, step, bit)
+        SELECT part, filter_order, step::INT AS step, substr(filter_order, step, 1) AS filter, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+               good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+        FROM r""",
+    "op12_hard_negatives": """
+        WITH e AS (
+            SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+            FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT a.id AS anchor_id, b.id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score FROM e a JOIN e b ON a.id % 100 = 0 AND a.id <> b.id),
+        p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+        n AS (
+            SELECT p.*, s.id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.id) AS rank
+            FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score)
+        SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10""",
 }
