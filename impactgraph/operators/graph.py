@@ -252,13 +252,22 @@ def dead_code(symbols: DataFrame, edges: DataFrame, words: DataFrame, extra_root
     return unreached.unionByName(loose)
 
 
-def wider_anchor(sizes: DataFrame, seed: str, most: int = 8) -> DataFrame:
-    """Of same-named real symbols with a closed family, the one with strictly more sites than the seed's.
+def wider_anchors(sizes: DataFrame, seeds: DataFrame, most: int = 8) -> DataFrame:
+    """(seed, id, sites, own): for each seed (id), the symbol of its name with a closed family and the most sites, if that is
+    strictly more than its own; the first by pos of equal ones.
 
-    sizes: (id, leaf, sites, closed, test_double, pos); three candidates are needed, `most` are looked at.
+    sizes: (id, leaf, sites, closed, test_double, pos). A name that fewer than three symbols share is left out, the seed
+    and test doubles among them; the first `most` others that aren't doubles are looked at.
     """
-    own = sizes.where(F.col("id") == seed).select("leaf", F.col("sites").alias("own"))
-    rest = sizes.join(F.broadcast(own), "leaf").where((F.col("id") != seed) & ~F.col("test_double"))
-    first = rest.withColumn("rank", F.row_number().over(W.partitionBy("leaf").orderBy("pos"))).where(F.col("rank") <= most)
-    enough = first.withColumn("n", F.count("*").over(W.partitionBy("leaf"))).where("n >= 2 AND closed AND sites > own")
-    return enough.withColumn("best", F.row_number().over(W.partitionBy("leaf").orderBy(F.desc("sites"), "pos"))).where("best = 1").select("id", "sites", "own")
+    enough = sizes.groupBy("leaf").agg(F.count("*").alias("n")).where("n >= 3").select("leaf")
+    own = sizes.join(seeds.select("id").distinct(), "id", "left_semi").join(enough, "leaf", "left_semi").select(F.col("id").alias("seed"), "leaf", F.col("sites").alias("own"))
+    # The seed itself may be among the first, so that one more is kept; a name's list is bounded before it meets its seeds.
+    real = sizes.where(~F.col("test_double")).withColumn("rank", F.row_number().over(W.partitionBy("leaf").orderBy("pos", "id"))).where(F.col("rank") <= most + 1)
+    pairs = own.join(real, "leaf").where("id <> seed").withColumn("probe", F.row_number().over(W.partitionBy("seed").orderBy("pos", "id"))).where(F.col("probe") <= most)
+    wider = pairs.where("closed AND sites > own").withColumn("best", F.row_number().over(W.partitionBy("seed").orderBy(F.desc("sites"), "pos", "id")))
+    return wider.where("best = 1").select("seed", "id", "sites", "own")
+
+
+def wider_anchor(sizes: DataFrame, seed: str, most: int = 8) -> DataFrame:
+    """(id, sites, own) of `wider_anchors` for one seed."""
+    return wider_anchors(sizes, sizes.where(F.col("id") == seed), most).drop("seed")

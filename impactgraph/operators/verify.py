@@ -11,8 +11,8 @@ from pyspark.sql import Window as W
 
 from impactgraph.functions import scalars as S
 
-#: Callers of a base contract's family members that are looked at.
-FAMILY_CALLERS = 60
+#: Members of a base contract's family whose callers are looked up.
+FAMILY_PROBES = 60
 
 
 def check_ref(ref: str) -> str:
@@ -83,21 +83,27 @@ def required_set(impacted: DataFrame, survivors: DataFrame | None = None) -> Dat
     survivors: the same columns for members of a removed contract's family that are still there, and their callers.
     """
     names = ["seed", "seed_file", "seed_start", "symbol", "file", "start", "end"]
-    own = impacted.where((F.col("role") != "super") & ~S.is_verify_test(F.col("file"))).select(*names)
+    asked = ~F.coalesce(S.is_verify_test(F.col("file")), F.lit(False))  # a site without a file is asked about
+    own = impacted.where((F.col("role") != "super") & asked).select(*names)
     if survivors is not None:
-        own = own.unionByName(survivors.where(~S.is_verify_test(F.col("file"))).select(*names))
+        own = own.unionByName(survivors.where(asked).select(*names))
     return own.distinct()
 
 
-def survivors(symbols: DataFrame, edges: DataFrame, seed: DataFrame, most: int = FAMILY_CALLERS) -> DataFrame:
-    """(seed, symbol, file, start, end): family members of removed contracts that are left, and the first `most` callers of
-    each seed's family: a change that removes a contract has to touch both."""
-    family = base_contract_family(symbols, seed).withColumn("seed", F.col("name"))
-    calls = edges.where(F.col("type") == "calls").join(family.select("seed", F.col("id").alias("dst")), "dst").select("seed", F.col("src").alias("id")).distinct()
-    placed = calls.join(symbols.select("id", "file_path", "start", "end"), "id")
-    first = placed.withColumn("rank", F.row_number().over(W.partitionBy("seed").orderBy("file_path", "start", "id"))).where(F.col("rank") <= most)
-    shape = lambda d: d.select("seed", F.col("id").alias("symbol"), F.col("file_path").alias("file"), "start", "end")
-    return shape(family).unionByName(shape(first)).distinct()
+def survivors(symbols: DataFrame, edges: DataFrame, seed: DataFrame, most: int = FAMILY_PROBES) -> DataFrame:
+    """(seed, symbol, file, start, end): family members of changed contracts that still have the old parameters, and all
+    callers of the first `most` members of each seed by file and start: a change of the contract has to touch both.
+
+    seed and symbols as in `base_contract_family`. Of several symbols at one place the one of the least id counts.
+    """
+    site = ["seed", "file_path", "start"]
+    family = base_contract_family(symbols, seed).groupBy(*site).agg(F.min("id").alias("id"))
+    by = W.partitionBy("seed").orderBy("file_path", "start")
+    probed = family.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= most)
+    calls = edges.where(F.col("type") == "calls").join(probed.select("seed", F.col("id").alias("dst")), "dst").select("seed", F.col("src").alias("id")).distinct()
+    placed = calls.join(symbols.select("id", "file_path", "start"), "id").groupBy(*site).agg(F.min("id").alias("id")).join(family.select(*site), site, "left_anti")
+    both = family.select("seed", "id").unionByName(placed.select("seed", "id"))
+    return both.join(symbols.select("id", F.col("file_path").alias("file"), "start", "end"), "id").select("seed", F.col("id").alias("symbol"), "file", "start", "end")
 
 
 def new_dependencies(sites: DataFrame, changed: DataFrame) -> DataFrame:
@@ -146,34 +152,47 @@ def parameter_list(declaration: str, name: str) -> str | None:
     return None
 
 
-def parameters(text: str) -> list[str]:
-    """Parameters of a list, split at commas outside brackets."""
-    out, depth, part = [], 0, ""
-    for c in text:
-        depth += (c in "([{<") - (c in ")]}>")
-        if c == "," and depth == 0:
-            out.append(part.strip())
-            part = ""
-        else:
-            part += c
-    return [p for p in (*out, part.strip()) if p]
-
-
-def _type(parameter: str) -> str:
-    if ":" in parameter:
-        return parameter.split(":", 1)[1].split("=")[0].strip()
-    words = parameter.split("=")[0].split()
-    return " ".join(words[:-1]) if len(words) > 1 else parameter
+def parameter_rows(lists: DataFrame) -> DataFrame:
+    """lists: params and language. Adds `arity` and, a row for each, `position`, `param` and `type`; no row for an empty list.
 
-
-def parameters_match(a: str, b: str, variables: frozenset[str] = frozenset("TUVKER")) -> bool:
-    """Equal lists; or as many parameters, each equal, of equal type, or of a type variable."""
-    if a == b:
-        return True
-    x, y = parameters(a), parameters(b)
-    if len(x) != len(y):
-        return False
-    return all(p == q or _type(p) == _type(q) or _type(p) in variables or _type(q) in variables for p, q in zip(x, y, strict=True))
+    Parameters are split at commas outside brackets. A type is what follows a colon; else a Go parameter without its first
+    word, one of a language of the C family without its last, and otherwise the parameter as it is.
+    """
+    part, opened, closed = F.lit(""), ("<", "(", "["), (">", ")", "]")
+    state = F.struct(F.lit(0).alias("depth"), part.alias("part"), F.array().cast("array<string>").alias("done"))
+
+    def step(x, c):
+        cut = (c == ",") & (x["depth"] == 0)
+        depth = x["depth"] + F.when(c.isin(*opened), 1).when(c.isin(*closed), -1).otherwise(0)
+        return F.struct(depth.alias("depth"), F.when(cut, "").otherwise(F.concat(x["part"], c)).alias("part"), F.when(cut, F.array_append(x["done"], x["part"])).otherwise(x["done"]).alias("done"))
+
+    whole = F.aggregate(F.split("params", ""), state, step, lambda x: F.array_append(x["done"], x["part"]))
+    split = lists.withColumn("list", F.when(F.trim("params") == "", F.array().cast("array<string>")).otherwise(F.transform(whole, F.trim)))
+    rows = split.withColumn("arity", F.size("list")).select(*lists.columns, "arity", F.posexplode("list").alias("position", "param"))
+    words, colon = F.split("param", r"\s+"), F.instr("param", ":")
+    n = F.size(words)
+    kind = F.when(colon > 0, F.trim(F.expr("substring(param, instr(param, ':') + 1)"))).when((n >= 2) & (F.col("language") == "go"), F.array_join(F.slice(words, 2, n), " "))
+    kind = kind.when((n >= 2) & F.col("language").isin("java", "kotlin", "csharp", "cpp", "c"), F.array_join(F.slice(words, 1, n - 1), " ")).otherwise(F.col("param"))
+    return rows.withColumn("type", kind)
+
+
+def parameter_matches(pairs: DataFrame) -> DataFrame:
+    """The pairs whose lists are one contract's. pairs: base, params, language, variables (declared type variables of base).
+
+    Lists match when they are equal, or as a relational division: as many parameters on both sides, and at each position
+    equal parameters, equal types, or a base parameter that names a declared type variable; where none is declared, one
+    capital letter by itself is one. An empty list matches itself alone.
+    """
+    keys = ["base", "params", "language", "variables"]
+    all_ = pairs.select(*keys).distinct()
+    base = parameter_rows(all_.select(F.col("base").alias("params"), "language", "variables").distinct())
+    word = F.filter(F.split("param", "[^A-Za-z0-9_]+"), lambda x: x != "")
+    free = F.when(F.size("variables") > 0, F.arrays_overlap(word, "variables")).otherwise(F.exists(word, lambda x: x.rlike("^[A-Z]$")))
+    base = base.select(F.col("params").alias("base"), "language", "variables", F.col("arity").alias("base_arity"), "position", F.col("param").alias("base_param"), F.col("type").alias("base_type"), free.alias("free"))
+    other = parameter_rows(all_.select("params", "language").distinct())
+    met = all_.join(base, ["base", "language", "variables"]).join(other, ["params", "language", "position"]).where("base_arity = arity AND (free OR param = base_param OR type = base_type)")
+    divided = met.groupBy(*keys, "arity").agg(F.count("*").alias("n")).where("n = arity").select(*keys)
+    return divided.unionByName(all_.where("base = params")).distinct()
 
 
 def member_changes(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -192,13 +211,26 @@ def member_changes(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def base_contract_family(symbols: DataFrame, seed: DataFrame) -> DataFrame:
-    """Symbols of a removed contract's name whose parameters match. seed: name, params; symbols: id, name, kind, params."""
-    @F.pandas_udf("boolean")
-    def match(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([parameters_match(x or "", y or "") for x, y in zip(a, b, strict=True)])
+    """(seed, and all columns of symbols): functions, methods and constructors of a changed contract's name whose parameters
+    are still those of its base side.
 
-    own = symbols.where(F.col("kind").isin("function", "method", "constructor"))
-    return own.join(seed.select("name", F.col("params").alias("want")), "name").where(match("params", "want")).drop("want")
+    seed: name and params (the base side's), and, where known, seed (the name, if missing), language, type_parameters,
+    new_params (a seed whose parameters didn't change has no family), file_path and start (the seed itself isn't asked
+    about). A seed without parameters in its base list has no family. symbols: id, name, kind, params.
+    """
+    have = set(seed.columns)
+    of = lambda name, default: F.coalesce(name, default) if name in have else default
+    none = F.array().cast("array<string>")
+    wanted = seed.select(
+        of("seed", F.col("name")).alias("seed"), "name", F.col("params").alias("base"), of("language", F.lit("")).alias("language"), F.array_sort(of("type_parameters", none)).alias("variables"),
+        (F.col("new_params") if "new_params" in have else F.lit(None).cast("string")).alias("now"), (F.col("file_path") if "file_path" in have else F.lit(None).cast("string")).alias("own_file"),
+        (F.col("start") if "start" in have else F.lit(None).cast("long")).alias("own_start"),
+    ).where("base <> '' AND NOT (base <=> now)")
+    own = symbols.where(F.col("kind").isin("function", "method", "constructor")).withColumn("params", F.coalesce("params", F.lit("")))
+    pairs = own.join(wanted, "name").where("NOT (file_path <=> own_file AND start <=> own_start)")
+    # Lists are compared once for each pair of texts, however many symbols have them.
+    keys = ["base", "params", "language", "variables"]
+    return pairs.join(parameter_matches(pairs), keys, "left_semi").select("seed", *symbols.columns).distinct()
 
 
 def nested_scope(lines: list[str], line: int) -> str | None:

@@ -113,7 +113,7 @@ def dead_code_status(spark, sf):
 @query(_TABLES + """sizes AS (SELECT s.id, name AS leaf, count(src) AS sites, "start" % 30 <> 0 AS closed, "start" % 110 = 0 AS double_, "start" AS pos FROM symbols s LEFT JOIN calls ON dst = s.id WHERE kind = 'method' GROUP BY ALL),
     own AS (SELECT leaf, sites AS own FROM sizes WHERE id = 's:7'),
     r AS (SELECT *, row_number() OVER (ORDER BY pos) AS rank FROM sizes JOIN own USING (leaf) WHERE id <> 's:7' AND NOT double_)
-    SELECT id, sites, own FROM r WHERE rank <= 8 AND closed AND sites > own AND (SELECT count(*) FROM r WHERE rank <= 8) >= 2 ORDER BY sites DESC, pos LIMIT 1""")
+    SELECT id, sites, own FROM r WHERE rank <= 8 AND closed AND sites > own AND (SELECT count(*) FROM sizes JOIN own USING (leaf)) >= 3 ORDER BY sites DESC, pos LIMIT 1""")
 def wider_anchor(spark, sf):
     s = symbols(spark, sf).where("kind = 'method'")
     sites = edges(spark, sf).where("type = 'calls'").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("sites"))
@@ -129,12 +129,12 @@ def impact_fallback(spark, sf):
 
 _SEEDS = """seeds AS (SELECT * FROM (VALUES ('op1', 'int x'), ('op4', 'int b, str c'), ('op5', 'T b')) t(name, params)),
     family AS (SELECT s.name AS seed, s.id FROM symbols s JOIN seeds ON s.name = seeds.name WHERE s.kind IN ('function', 'method', 'constructor') AND (seeds.name = 'op5' OR (seeds.name = 'op1' AND s.params LIKE 'int %'))),
-    called AS (SELECT seed, src AS id, row_number() OVER (PARTITION BY seed ORDER BY file_path, "start", symbols.id) AS rank FROM (SELECT DISTINCT seed, src FROM family JOIN calls ON dst = id) c JOIN symbols ON symbols.id = c.src),
-    surv AS (SELECT seed, id FROM family UNION SELECT seed, id FROM called WHERE rank <= 60) """
+    probed AS (SELECT seed, family.id FROM family JOIN symbols USING (id) QUALIFY row_number() OVER (PARTITION BY seed ORDER BY file_path, "start") <= 60),
+    surv AS (SELECT seed, id FROM family UNION SELECT seed, src FROM probed JOIN calls ON dst = id) """
 
 
 def _survivors(spark, sf):
-    seed = spark.createDataFrame([("op1", "int x"), ("op4", "int b, str c"), ("op5", "T b")], "name string, params string")
+    seed = spark.createDataFrame([("op1", "int x", "java"), ("op4", "int b, str c", "java"), ("op5", "T b", "java")], "name string, params string, language string")
     return verify.survivors(symbols(spark, sf), edges(spark, sf), seed)
 
 

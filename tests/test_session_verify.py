@@ -153,13 +153,48 @@ def test_diff_ranges_and_seeds(spark):
 def test_parameters(spark):
     assert verify.parameter_list("func (s S) Do(a int,\n  f func(x int)) error", "Do") == "a int, f func(x int)"
     assert verify.parameter_list("void put(", "put") is None and verify.parameter_list("output(a)", "put") is None
-    assert verify.parameters("a: Map<K, V>, b = (1, 2)") == ["a: Map<K, V>", "b = (1, 2)"]
-    assert verify.parameters_match("int a, T b", "int c, String d") and not verify.parameters_match("int a", "int a, int b") and not verify.parameters_match("int a", "long a")
     side = lambda t: spark.createDataFrame([("f", 1, "put", t)], "file string, line int, name string, text string")
     assert verify.member_changes(side("void put(int a)"), side("void put(int  a);")).isEmpty()
     assert verify.member_changes(side("void put(int a)"), side("void put(long a)")).first().p1 == "long a"
-    s = spark.createDataFrame([("1", "put", "method", "int x"), ("2", "put", "method", "int x, int y"), ("3", "put", "class", "int x")], "id string, name string, kind string, params string")
-    assert [r.id for r in verify.base_contract_family(s, spark.createDataFrame([("put", "int a")], "name string, params string")).collect()] == ["1"]
+
+
+def test_parameter_rows(spark):
+    lists = [("a: Map<K, V>, b = (1, 2)", "ts"), ("ctx Context, f func(a, b int) error", "go"), ("final int x, List<String> y", "java"), ("self, x", "python"), ("  ", ""), ("", "")]
+    rows = verify.parameter_rows(spark.createDataFrame(lists, "params string, language string")).collect()
+    got = {}
+    for r in sorted(rows, key=lambda r: r.position):
+        got.setdefault(r.params, []).append((r.arity, r.param, r.type))
+    assert got == {
+        lists[0][0]: [(2, "a: Map<K, V>", "Map<K, V>"), (2, "b = (1, 2)", "b = (1, 2)")], lists[1][0]: [(2, "ctx Context", "Context"), (2, "f func(a, b int) error", "func(a, b int) error")],
+        lists[2][0]: [(2, "final int x", "final int"), (2, "List<String> y", "List<String>")], lists[3][0]: [(2, "self", "self"), (2, "x", "x")],
+    }
+
+
+MATCHES = [
+    ("int a", "int a", "", [], True), ("int a", "int b", "java", [], True), ("int a", "int b", "", [], False), ("int a", "long a", "java", [], False), ("int a", "int a, int b", "java", [], False), ("int a, int b", "int a", "java", [], False),
+    ("T value, int n", "String s, int n", "java", [], True), ("String s, int n", "T value, int n", "java", [], False), ("List<T> v", "List<String> v", "java", ["T"], True), ("TKey k", "String s", "java", ["TKey"], True),
+    ("TKey k", "String s", "java", [], False), ("T k", "String s", "java", ["TKey"], False), ("x: T", "y: number", "ts", [], True), ("a: A, b", "a: A, c", "python", ["Q"], False), ("int a", "", "java", [], False), ("T1 a", "int b", "java", [], False),
+]
+
+
+def test_parameter_matches(spark):
+    got = verify.parameter_matches(spark.createDataFrame([m[:4] for m in MATCHES], "base string, params string, language string, variables array<string>")).collect()
+    assert {(r.base, r.params, r.language, tuple(r.variables)) for r in got} == {(*m[:3], tuple(m[3])) for m in MATCHES if m[4]}
+
+
+def test_families_and_survivors(spark):
+    """Over 60 members and over 60 callers of one: the first 60 members are looked at, and none of their callers is left out."""
+    members = [(f"m{i:03}", "put", "method", "int x", f"f{i:03}.java", 10, 14) for i in range(100)] + [("two", "put", "method", "int x, int y", "g.java", 1, 2), ("cls", "put", "class", "int x", "g.java", 3, 4), ("nul", "put", "method", None, "g.java", 7, 8), ("self", "put", "method", "long x", "own.java", 5, 9), ("m999", "put", "method", "int z", "f000.java", 10, 14)]
+    callers = [(f"c{i:03}", f"call{i}", "function", "", "c.java", 10 * i, 10 * i + 5) for i in range(150)]
+    symbols = spark.createDataFrame(members + callers, "id string, name string, kind string, params string, file_path string, start int, end int")
+    calls = [(f"c{i:03}", "m000") for i in range(100)] + [(f"c{100 + i:03}", f"m{40 + i:03}") for i in range(50)] + [("m001", "m000"), ("c000", "m000"), ("self", "m002")]
+    edges = spark.createDataFrame([(a, b, "calls") for a, b in calls], "src string, dst string, type string")
+    seed = spark.createDataFrame([("put", "int old", "java", "own.java", 5)], "name string, params string, language string, file_path string, start int")
+    family = {r.id for r in verify.base_contract_family(symbols, seed).collect()}
+    assert family == {f"m{i:03}" for i in range(100)} | {"m999"}
+    got = {r.symbol for r in verify.survivors(symbols, edges, seed).collect()}
+    assert got == {f"m{i:03}" for i in range(100)} | {f"c{i:03}" for i in range(120)} | {"self"}
+    assert verify.survivors(symbols, edges, seed.withColumn("new_params", F.col("params"))).isEmpty() and verify.survivors(symbols.limit(0), edges, seed).isEmpty()
 
 
 def test_nested_scope():
