@@ -39,16 +39,19 @@ def _bit() -> Column:
 
 
 def flood(step: DataFrame, start: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """(id, grp, mask, depth): the bits that reach id first in that round. step: at, next. start: id, grp, mask."""
-    merged = lambda d: d.groupBy("id", "grp").agg(F.bit_or("mask").alias("mask"))
-    step = cut_lineage(step.select("at", "next").distinct())
+    """(id, grp, mask, depth): the bits that reach id first in that round. step: at, next, distinct and cheap to read again,
+    as it is read in each round. start: id, grp, mask.
+
+    Every round has the same plan, so that Spark compiles it once.
+    """
+    merged = lambda d, *more: d.groupBy("id", "grp").agg(F.bit_or("mask").alias("mask"), *more)
     rounds = [cut_lineage(merged(start).withColumn("depth", F.lit(0)))]
     seen = [rounds[0].drop("depth")]
     while max_depth is None or len(rounds) <= max_depth:
-        sent = rounds[-1].join(step, F.col("id") == F.col("at")).select(F.col("next").alias("id"), "grp", "mask")
+        sent = rounds[-1].join(step, F.col("id") == F.col("at")).select(F.col("next").alias("id"), "grp", "mask", (F.col("depth") + 1).alias("depth"))
         old = merged(reduce(DataFrame.unionByName, seen)).withColumnRenamed("mask", "old")
-        new = merged(sent).join(old, ["id", "grp"], "left").select("id", "grp", F.col("mask").bitwiseAND(F.bitwise_not(F.coalesce("old", F.lit(0).cast("long")))).alias("mask"))
-        new = cut_lineage(new.where("mask <> 0").withColumn("depth", F.lit(len(rounds))))
+        new = merged(sent, F.min("depth").alias("depth")).join(old, ["id", "grp"], "left")
+        new = cut_lineage(new.select("id", "grp", F.expr("mask & ~coalesce(old, 0L)").alias("mask"), "depth").where("mask <> 0"))
         if new.isEmpty():
             break
         rounds.append(new)
@@ -61,7 +64,7 @@ def flood(step: DataFrame, start: DataFrame, max_depth: int | None = None) -> Da
 def unpacked(masks: DataFrame, numbers: DataFrame) -> DataFrame:
     """One row for each bit of masks (grp, mask, ...), with the value that has this number."""
     bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit("mask", i) == 1)
-    return masks.withColumn("bit", F.explode(bits)).drop("mask").join(numbers, ["grp", "bit"]).drop("grp", "bit")
+    return masks.withColumn("bit", F.explode(bits)).drop("mask").join(numbers.hint("merge"), ["grp", "bit"]).drop("grp", "bit")
 
 
 def reach_many(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, reverse: bool = False) -> DataFrame:
@@ -69,7 +72,8 @@ def reach_many(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None,
     a, b = ("dst", "src") if reverse else ("src", "dst")
     numbers = numbered(seeds, "seed")
     start = seeds.join(numbers, "seed").select("id", "grp", _bit().alias("mask"))
-    return unpacked(flood(edges.select(F.col(a).alias("at"), F.col(b).alias("next")), start, max_depth), numbers).select("seed", "id", "depth")
+    step = cut_lineage(edges.select(F.col(a).alias("at"), F.col(b).alias("next")).distinct())
+    return unpacked(flood(step, start, max_depth), numbers).select("seed", "id", "depth")
 
 
 def parsed(seeds: DataFrame) -> DataFrame:
@@ -116,7 +120,7 @@ def impacts(symbols: DataFrame, edges: DataFrame, seeds: DataFrame, callers_only
     bear it, and its completeness is `callers-only`.
     """
     targets = cut_lineage(resolved(symbols, parsed(seeds)))
-    up = edges.where(F.col("type").isin("extends", "implements"))
+    up = cut_lineage(edges.where(F.col("type").isin("extends", "implements")).select("src", "dst").distinct())
     typed = targets.where("status = 'typed'")
     numbers = numbered(typed.select("type_id"), "type_id")
     start = numbers.select(F.col("type_id").alias("id"), "grp", _bit().alias("mask"))
@@ -142,17 +146,18 @@ def impacts(symbols: DataFrame, edges: DataFrame, seeds: DataFrame, callers_only
         bearing = symbols.where(F.col("kind").isin(*CALLABLE)).select("id", "name", F.coalesce("params", F.lit("")).alias("has")).join(loose, "name").where("params IS NULL OR params = has")
         asked = asked.unionByName(bearing.select("seed", "id", F.lit(False).alias("known")))
     everyone = numbered(asked, "seed")
-    masks = cut_lineage(asked.join(everyone, "seed").groupBy("id", "grp").agg(F.bit_or(_bit()).alias("mask"), F.bit_or(F.when(F.col("known"), _bit()).otherwise(F.lit(0).cast("long"))).alias("known")))
+    masks = asked.join(everyone, "seed").groupBy("id", "grp").agg(F.bit_or(_bit()).alias("mask"), F.bit_or(F.when(F.col("known"), _bit()).otherwise(F.lit(0).cast("long"))).alias("known"))
     calls = edges.where(F.col("type") == "calls").select("src", "dst").distinct()
-    called = calls.join(masks.select(F.col("id").alias("dst"), "grp", "mask"), "dst").groupBy(F.col("src").alias("id"), "grp").agg(F.bit_or("mask").alias("mask"))
-    called = called.join(masks.select("id", "grp", "known"), ["id", "grp"], "left").withColumn("mask", F.expr("mask & ~coalesce(known, 0L)")).where("mask <> 0").select("id", "grp", "mask")
+    called = calls.join(masks.select(F.col("id").alias("dst"), "grp", "mask").hint("merge"), "dst").groupBy(F.col("src").alias("id"), "grp").agg(F.bit_or("mask").alias("mask"))
+    called = called.join(masks.select("id", "grp", "known").hint("merge"), ["id", "grp"], "left").withColumn("mask", F.expr("mask & ~coalesce(known, 0L)")).where("mask <> 0").select("id", "grp", "mask")
     callers = unpacked(called, everyone).select("seed", F.lit("caller").alias("role"), "id")
     declaring = roles.where("role <> 'super'").join(symbols.select("id", "parent"), "id").where("parent <> ''").select("seed", F.lit("declaring_type").alias("role"), F.col("parent").alias("id")).distinct()
-    found = roles.select("seed", "role", "id").unionByName(callers).unionByName(declaring).join(symbols.select("id"), "id", "left_semi").select("seed", "role", "id")
-    found = cut_lineage(found)
+    known = symbols.select("id")
+    declaring = declaring.join(known, "id", "left_semi").select("seed", "role", "id")
+    found = roles.select("seed", "role", "id").unionByName(callers.join(known, "id", "left_semi").select("seed", "role", "id")).unionByName(declaring)
     outside = up.join(symbols.select(F.col("id").alias("dst")), "dst", "left_anti").select(F.col("src").alias("id")).distinct().withColumn("out", F.lit(True))
-    open_ = found.where("role = 'declaring_type'").join(outside, "id", "left").groupBy("seed").agg(F.max(F.coalesce("out", F.lit(False))).alias("out"))
-    declared = found.where("role IN ('declaration', 'super', 'family')").select("seed").distinct().withColumn("set", F.lit(True))
+    open_ = declaring.join(outside, "id", "left").groupBy("seed").agg(F.max(F.coalesce("out", F.lit(False))).alias("out"))
+    declared = roles.select("seed").distinct().withColumn("set", F.lit(True))
     told = targets.groupBy("seed").agg(F.max(F.col("status") == "ambiguous").alias("several")).join(declared, "seed", "left").join(open_, "seed", "left")
     status = F.when(F.col("set"), "resolved").when(F.col("several"), "ambiguous").otherwise("unknown")
     complete = F.when(F.col("set"), F.when(F.col("out"), "project-local").otherwise("closed")).when(F.col("several") & F.lit(callers_only), "callers-only")

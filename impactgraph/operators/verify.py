@@ -167,7 +167,7 @@ def parameter_rows(lists: DataFrame) -> DataFrame:
         return F.struct(depth.alias("depth"), F.when(cut, "").otherwise(F.concat(x["part"], c)).alias("part"), F.when(cut, F.array_append(x["done"], x["part"])).otherwise(x["done"]).alias("done"))
 
     whole = F.aggregate(F.split("params", ""), state, step, lambda x: F.array_append(x["done"], x["part"]))
-    split = lists.withColumn("list", F.when(F.trim("params") == "", F.array().cast("array<string>")).otherwise(F.transform(whole, F.trim)))
+    split = lists.withColumn("list", F.when(F.trim("params") == "", F.array().cast("array<string>")).otherwise(F.transform(whole, lambda x: F.trim(x))))
     rows = split.withColumn("arity", F.size("list")).select(*lists.columns, "arity", F.posexplode("list").alias("position", "param"))
     words, colon = F.split("param", r"\s+"), F.instr("param", ":")
     n = F.size(words)
