@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from impactgraph.operators import session
 
@@ -59,6 +60,52 @@ def read_strategies(reads: DataFrame, timeout_ms: int = 24 * 3600 * 1000, late:
     return reads.withWatermark("ts", late).groupBy("session", "file").applyInPandasWithState(step, STRATEGY, _STATE, "append", "EventTimeTimeout")
 
 
+class _Tracker(StatefulProcessor):
+    """The files that one session remembers, the least recently read first to go. They are loaded once for a batch of the
+    session's reads, and what changed is written back: at most `capacity` entries, whatever the session's length."""
+
+    def __init__(self, capacity: int, window: int):
+        self.capacity, self.window = capacity, window
+
+    def init(self, handle) -> None:
+        self.files = handle.getMapState("files", "file string", "at long, content_hash long, count int, tokens long")
+        self.totals = handle.getValueState("totals", "reads long, sent long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        reads, sent = self.totals.get() if self.totals.exists() else (0, 0)
+        known = {k[0]: tuple(v) for k, v in sorted(self.files.iterator(), key=lambda x: x[1][0])} if reads else {}
+        before, out = dict(known), []
+        batch = pd.concat(list(rows)).sort_values(["ts", "seq"])
+        for file, content, seq, tokens in zip(batch["file"], batch["content_hash"], batch["seq"], batch["tokens"], strict=True):
+            _, last, count, previous = known.pop(file, (0, None, 0, 0))
+            same, ratio = count > 0 and content == last, (sent - previous) / self.window if self.window > 0 else 1.0
+            sure = "high" if ratio < session.HIGH else "medium" if ratio < session.MEDIUM else "low"
+            out.append((key[0], file, seq, count, same, _strategy(count, same, sure)))
+            known[file] = (reads, content, count + 1, tokens)  # now the last in order
+            if len(known) > self.capacity:
+                known.pop(next(iter(known)))
+            reads, sent = reads + 1, sent + tokens
+        for file in before.keys() - known.keys():
+            self.files.removeKey((file,))
+        for file, entry in known.items():
+            if before.get(file) != entry:
+                self.files.updateValue((file,), entry)
+        self.totals.update((reads, sent))
+        yield pd.DataFrame(out, columns=["session", "file", "seq", "count", "same", "strategy"])
+
+    def close(self) -> None:
+        pass
+
+
+def evicting_strategies(reads: DataFrame, window: int, capacity: int = session.CAPACITY) -> DataFrame:
+    """Strategies of a stream of reads (session, file, content_hash, ts, seq, tokens) by a tracker that remembers `capacity`
+    files of each session, as `reuse.strategies` gives them for a table. A batch's reads are taken in order of time.
+
+    The session needs the RocksDB state store (spark.sql.streaming.stateStore.providerClass).
+    """
+    return reads.groupBy("session").transformWithStateInPandas(_Tracker(capacity, window), STRATEGY, "Append", "None")
+
+
 def _strategy(count: int, same: bool, sure: str) -> str:
     if count == 0 or not same:
         return "full-fresh"
