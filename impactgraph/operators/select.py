@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from impactgraph.functions import scalars as S
+from impactgraph.operators import scan
 
 # Weights of graph distance, recency, test relevance and edit frequency in each profile.
 PROFILES = {
@@ -161,39 +162,42 @@ def seeds_free(seeds: DataFrame) -> DataFrame:
     return seeds.where(F.col("pos") < SEEDS).select("id", F.lit(1.0).alias("score"), F.lit("target").alias("category"), F.lit("full").alias("disclosure"), S.tokens(rendered(F.lit("full"))).alias("cost"))
 
 
-def windows(spans: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(file, start, end): padded line windows around spans, merged where at most GAP lines lie between.
+def windows(spans: DataFrame, sizes: DataFrame, *keys: str) -> DataFrame:
+    """(keys, file, start, end, whole): padded line windows around spans, merged where at most GAP lines lie between.
 
-    spans: file, start, end, full; not-full spans show their head. sizes: file, lines. Small files, and those of which the
-    windows cover most, are one window. Islands are found within a file, whose spans are its selected symbols only.
+    spans: keys, file, start, end, full; not-full spans show their head. sizes: file, lines. Small files, and those of which
+    the windows cover most, are one window. Islands are found within a file, whose spans are its selected symbols only.
     """
     end = F.greatest("start", "end")
     end = F.when(~F.col("full") & (end - F.col("start") + 1 > HEAD), F.col("start") + HEAD - 1).otherwise(end)
-    raw = spans.where("start > 0").select("file", "start", end.alias("end")).join(sizes, "file")
-    raw = raw.select("file", "lines", F.greatest(F.col("start") - PAD, F.lit(1)).alias("start"), F.least(F.col("end") + PAD, "lines").alias("end"))
-    by = W.partitionBy("file").orderBy("start", "end")
+    raw = spans.where("start > 0").select(*keys, "file", "start", end.alias("end")).join(sizes, "file")
+    raw = raw.select(*keys, "file", "lines", F.greatest(F.col("start") - PAD, F.lit(1)).alias("start"), F.least(F.col("end") + PAD, "lines").alias("end"))
+    by = W.partitionBy(*keys, "file").orderBy("start", "end")
     seen = F.max("end").over(by.rowsBetween(W.unboundedPreceding, -1))
     new = F.when(seen.isNull() | (F.col("start") > seen + GAP + 1), 1).otherwise(0)
     island = raw.withColumn("new", new).withColumn("island", F.sum("new").over(by.rowsBetween(W.unboundedPreceding, 0)))
-    merged = island.groupBy("file", "lines", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    covered = merged.withColumn("covered", F.sum(F.col("end") - F.col("start") + 1).over(W.partitionBy("file")))
+    merged = island.groupBy(*keys, "file", "lines", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    covered = merged.withColumn("covered", F.sum(F.col("end") - F.col("start") + 1).over(W.partitionBy(*keys, "file")))
     whole = (F.col("lines") <= SMALL_FILE) | (F.col("covered") >= F.col("lines") * WHOLE_SHARE)
-    out = covered.select("file", F.when(whole, F.lit(1)).otherwise(F.col("start")).cast("int").alias("start"), F.when(whole, F.col("lines")).otherwise(F.col("end")).cast("int").alias("end"), whole.alias("whole"))
+    out = covered.select(*keys, "file", F.when(whole, F.lit(1)).otherwise(F.col("start")).cast("int").alias("start"), F.when(whole, F.col("lines")).otherwise(F.col("end")).cast("int").alias("end"), whole.alias("whole"))
     return out.distinct()
 
 
-def file_order(picked: DataFrame, most: int = MAX_FILES) -> DataFrame:
-    """Files by their best score: rank, and whether they are shown or just listed."""
-    best = picked.groupBy("file").agg(F.max("score").alias("best"), F.min("pos").alias("pos"))
-    ranked = best.withColumn("rank", F.row_number().over(W.orderBy(F.desc("best"), "pos")))
+def file_order(picked: DataFrame, most: int = MAX_FILES, *keys: str) -> DataFrame:
+    """(keys, file, best, pos, rank, shown): files by their best score, and whether they are shown or just listed.
+
+    Ranks are counted block by block, so that the files of no answer are one task.
+    """
+    best = picked.groupBy(*keys, "file").agg(F.max("score").alias("best"), F.min("pos").alias("pos")).withColumn("__all", F.lit(0))
+    ranked = scan.prefix(best, [*keys, "__all"], [F.desc("best"), "pos", "file"], pos="rank").drop("__all").withColumn("rank", F.col("rank") + 1)
     return ranked.withColumn("shown", F.col("rank") <= most)
 
 
 def deliver(sections: DataFrame, budget: int) -> DataFrame:
     """Sections (file, rank, cost) in order until twice the budget is spent; the first is cut rather than left out."""
     hard = 2 * budget
-    spent = F.coalesce(F.sum("cost").over(W.orderBy("rank").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return sections.withColumn("before", spent).withColumn("state", F.when(F.col("before") + F.col("cost") <= hard, "whole").when(F.col("before") == 0, "cut").otherwise("listed"))
+    placed = scan.prefix(sections.withColumn("__all", F.lit(0)), ["__all"], ["rank"], {"before": F.col("cost")}, pos="__at").drop("__all", "__at")
+    return placed.withColumn("state", F.when(F.col("before") + F.col("cost") <= hard, "whole").when(F.col("before") == 0, "cut").otherwise("listed"))
 
 
 def baseline_tokens(picked: DataFrame, sizes: DataFrame, delivered: Column) -> DataFrame:
