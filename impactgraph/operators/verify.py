@@ -195,19 +195,60 @@ def parameter_matches(pairs: DataFrame) -> DataFrame:
     return divided.unionByName(all_.where("base = params")).distinct()
 
 
-def member_changes(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(file, name) of members whose parameter list differs between the two sides of a declaration block.
+def member_changes(before: DataFrame, after: DataFrame, *keys: str) -> DataFrame:
+    """(file, keys, name, p0, p1) of members whose parameter list differs between the two sides of a declaration block.
 
-    Sides: file, line, name, text. Each name's first line counts. Balanced parentheses need Python, on changed lines only.
+    Sides: file, keys, line, name, text. Each name's first line counts. Balanced parentheses need Python, on changed lines only.
     """
     @F.pandas_udf("string")
     def parameter_list_udf(declaration: pd.Series, name: pd.Series) -> pd.Series:
         return pd.Series([parameter_list(d or "", n or "") for d, n in zip(declaration, name, strict=True)], dtype=object)
 
-    first = lambda d, c: d.groupBy("file", "name").agg(F.min(F.struct("line", "text")).alias("x")).select("file", "name", F.col("x.text").alias(c))
-    both = first(before, "t0").join(first(after, "t1"), ["file", "name"]).where("t0 <> t1")
+    own = ["file", *keys, "name"]
+    first = lambda d, c: d.groupBy(*own).agg(F.min(F.struct("line", "text")).alias("x")).select(*own, F.col("x.text").alias(c))
+    both = first(before, "t0").join(first(after, "t1"), own).where("t0 <> t1")
     p = both.withColumn("p0", parameter_list_udf("t0", "name")).withColumn("p1", parameter_list_udf("t1", "name"))
-    return p.where("NOT (p0 <=> p1)").select("file", "name", "p0", "p1")
+    return p.where("NOT (p0 <=> p1)").select(*own, "p0", "p1")
+
+
+#: Kinds of symbols whose bodies are declarations of members.
+BLOCKS = ("interface", "type", "trait", "protocol")
+
+
+def block_lines(lines: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(file, block, line, name, text): lines of declaration blocks (file, block, start, end) that declare a member, white
+    space collapsed; a member's name is the first one right before a parenthesis. Comments are left out."""
+    inside = blocks.where("start <= end").select("file", "block", F.explode(F.sequence("start", "end")).alias("line")).join(lines, ["file", "line"])
+    text = F.trim(F.regexp_replace("text", r"\s+", " "))
+    named = inside.select("file", "block", "line", F.regexp_extract(text, r"([A-Za-z_$][\w$]*)\(", 1).alias("name"), text.alias("text"))
+    return named.where(~F.col("text").rlike(r"^(//|\*|/\*|#)") & (F.col("name") != ""))
+
+
+def block_seeds(before: DataFrame, after: DataFrame, changed: DataFrame) -> DataFrame:
+    """(name, file, block, because, state, params, new_params): what changed declaration blocks (file, block, start0, end0,
+    start1, end1 before and after) ask about. before and after: lines of both sides.
+
+    Each member on both sides whose parameters changed is a method seed, with the old list as its contract. A block of which no
+    member can be told to have changed is unverified. Test files are left out.
+    """
+    own = changed.where(~F.coalesce(S.is_verify_test(F.col("file")), F.lit(False)))
+    side = lambda lines, i: block_lines(lines, own.select("file", "block", F.col(f"start{i}").alias("start"), F.col(f"end{i}").alias("end")))
+    members = member_changes(side(before, 0), side(after, 1), "block").where("coalesce(p0, '') <> ''")
+    seeds = members.select("name", "file", "block", F.lit("member").alias("because"), F.lit("seed").alias("state"), F.col("p0").alias("params"), F.coalesce("p1", F.lit("")).alias("new_params"))
+    none = own.select("file", "block").join(members, ["file", "block"], "left_anti").select(F.col("block").alias("name"), "file", "block", F.lit("block").alias("because"), F.lit("unverified").alias("state"), F.lit("").alias("params"), F.lit("").alias("new_params"))
+    return seeds.unionByName(none)
+
+
+def removed_with_file(base: DataFrame, files: DataFrame) -> DataFrame:
+    """(name, file, because, state) of the symbols that deleted files declared; a removed contract is the strongest change.
+
+    base: name, kind, file of the base side's symbols. files: file, state. A deleted file of which no symbol is known is
+    unverified by its path, so that no deletion reads as verified.
+    """
+    gone = files.where("state = 'deleted'").select("file").distinct()
+    drift = base.join(gone, "file", "left_semi").select("name", "file", "kind", F.lit("removed with file").alias("change"), F.lit(False).alias("signature_changed"))
+    unknown = gone.join(base.select("file"), "file", "left_anti").where(~S.is_verify_test(F.col("file")))
+    return seeds(drift, base).unionByName(unknown.select(F.col("file").alias("name"), "file", F.lit("removed with file").alias("because"), F.lit("unverified").alias("state")))
 
 
 def base_contract_family(symbols: DataFrame, seed: DataFrame) -> DataFrame:
