@@ -124,22 +124,28 @@ def few(df: DataFrame, rows: int = FEW) -> bool:
 SHARE = 4096
 
 
-def attach(rows: DataFrame, key: str, table: DataFrame, spread: str, scratch: Scratch, name: str) -> DataFrame:
+def attach(rows: DataFrame, key: str, table: DataFrame, spread: str, scratch: Scratch, name: str, narrow: DataFrame | None = None) -> DataFrame:
     """rows joined to table (unique by `key`), with a key of more than SHARE rows split by a hash of `spread`.
 
     The table's row of such a key is repeated once for each part, so that no task gets more than about SHARE rows of it.
+    `narrow` is the written table of numbers that rows come from, if they carry more; rows that hold texts or bitmaps are
+    never broadcast, and only numbers are counted.
     """
-    if few(rows):
+    numbers = rows if narrow is None else narrow
+    small = few(numbers)
+    if small and narrow is None:
         return table.join(F.broadcast(rows), key)
-    hot = rows.groupBy(key).agg(F.count("*").alias("__n")).where(f"__n > {SHARE}").select(key, F.ceil(F.col("__n") / SHARE).cast("int").alias("__parts"))
+    hot = numbers.groupBy(key).agg(F.count("*").alias("__n")).where(f"__n > {SHARE}").select(key, F.ceil(F.col("__n") / SHARE).cast("int").alias("__parts"))
     hot = scratch.write(hot, f"{name}-hot")
     if few(hot):
         hot = F.broadcast(hot)
+    if small:
+        table = table.join(F.broadcast(numbers.select(key).distinct()), key, "left_semi")
     part = F.coalesce(F.pmod(F.xxhash64(spread), "__parts"), F.lit(0)).cast("int").alias("__part")
     left = rows.join(hot, key, "left").select(*rows.columns, part)
     parts = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__parts") - 1, F.lit(0)))).alias("__part")
     right = table.join(hot, key, "left").select(*table.columns, parts)
-    return left.join(right, [key, "__part"]).drop("__part")
+    return left.join(right.hint("merge"), [key, "__part"]).drop("__part")
 
 
 def texts_of(column: pa.Array | pa.ChunkedArray) -> list[bytes]:

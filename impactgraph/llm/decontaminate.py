@@ -12,6 +12,7 @@ empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from impactgraph.llm import hashing
-from impactgraph.llm.common import FEW, Scratch, few, keyed, numbered, slices, texts_of
+from impactgraph.llm.common import Scratch, keyed, numbered, slices, texts_of
 
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
@@ -32,45 +33,54 @@ WINDOW, SHARE = 13, 20
 #: Letters of ASCII to lower case; every other ASCII character but digits to a space.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
-#: Benchmark text that is broadcast at a time; a larger benchmark is matched part by part, each in a pass of its own.
-BROADCAST_BYTES = 64 << 20
+#: Bytes of hit documents' rows that may be broadcast.
+HITS_BYTES = 16 << 20
+#: Benchmark text of a part; a larger benchmark is matched part by part, each in a pass of its own. What is built of a part
+#: and broadcast is some 4 bytes for each of its text. An item's text is in one part, however long.
+PART_BYTES = 8 << 20
 
 
 @dataclass
 class Grams:
-    """Test n-grams by length: sorted hashes, the grams' words, and the items that hold each."""
+    """Test n-grams of a part: its words, and by length the sorted hashes of the n-grams and the words that they start at."""
 
     items: list[str | None]
-    by_length: dict[int, tuple[np.ndarray, list[list[bytes]], list[list[list[int]]], np.ndarray]]
+    joined: bytes
+    start: np.ndarray
+    end: np.ndarray
+    owner: np.ndarray
+    by_length: dict[int, tuple[np.ndarray, np.ndarray]]
+
+    def text(self, at: int, k: int) -> bytes:
+        return self.joined[self.start[at] : self.end[at + k - 1]]
 
 
 def grams(benchmark: Iterable[tuple[str | None, str]], n: int = WINDOW) -> Grams:
     """benchmark: (item id, text)."""
-    held: dict[int, dict[bytes, set[int]]] = {}
     items: dict[str | None, int] = {}
+    texts, of = [], []
     for item, text in benchmark:
         words = (text or "").encode().translate(TABLE).split()
-        if not words:
-            continue
-        at, k = items.setdefault(None if item is None else str(item), len(items)), min(n, len(words))
-        for i in range(len(words) - k + 1):
-            held.setdefault(k, {}).setdefault(b" ".join(words[i : i + k]), set()).add(at)
-    out = {}
-    for k, of in held.items():
-        texts = list(of)
-        w = hashing.Words(texts)
-        h = hashing.windows(hashing.prefix(w.hash), k)[w.first[:-1]]
-        keys = np.unique(h)
-        which = np.searchsorted(keys, h)
-        same: list[list[bytes]] = [[] for _ in keys]
-        own: list[list[list[int]]] = [[] for _ in keys]
-        for t, j in zip(texts, which, strict=True):
-            same[j].append(t)
-            own[j].append(sorted(of[t]))
-        seen = np.zeros(1 << 16, bool)
-        seen[keys >> np.uint64(48)] = True
-        out[k] = keys, same, own, seen
-    return Grams(list(items), out)
+        if words:
+            texts.append(b" ".join(words))
+            of.append(items.setdefault(None if item is None else str(item), len(items)))
+    w = hashing.Words(texts or [b""])
+    size = np.diff(w.first)
+    owner = np.repeat(np.array(of, np.int32), size) if texts else np.zeros(0, np.int32)
+    g = Grams(list(items), w.joined, w.start.astype(np.int32), w.end.astype(np.int32), owner, {})
+    p, places = hashing.prefix(w.hash), np.arange(len(w))
+    left = np.repeat(w.first[1:], size) - places  # words to the end of the row
+    for k in sorted({min(n, int(m)) for m in size if m}):
+        at = places[left >= k] if k == n else w.first[:-1][size == k]
+        h = hashing.windows(p, k)[at]
+        order = np.lexsort((at, owner[at], h))
+        h, at = h[order], at[order]
+        # An item's copies of one n-gram are one; equal hashes alone don't make a copy.
+        keep = np.ones(len(h), bool)
+        for i in np.flatnonzero((h[1:] == h[:-1]) & (owner[at[1:]] == owner[at[:-1]])).tolist():
+            keep[i + 1] = g.text(at[i], k) != g.text(at[i + 1], k)
+        g.by_length[k] = h[keep], at[keep].astype(np.int32)
+    return g
 
 
 def scan(texts: list[bytes], g: Grams) -> list[tuple[int, np.ndarray, list[int]]]:
@@ -79,19 +89,21 @@ def scan(texts: list[bytes], g: Grams) -> list[tuple[int, np.ndarray, list[int]]
     hit = np.zeros(len(w) + 1, np.int32)
     found: list[set[int]] = [set() for _ in texts]
     p = hashing.prefix(w.hash)
-    for k, (keys, same, own, seen) in g.by_length.items():
+    for k, (keys, places) in g.by_length.items():
         h = hashing.windows(p, k)
+        seen = np.zeros(1 << 16, bool)
+        seen[keys >> np.uint64(48)] = True
         at = np.flatnonzero(seen[h >> np.uint64(48)])
         at = at[w.of[at] == w.of[at + k - 1]]
-        j = np.minimum(np.searchsorted(keys, h[at]), len(keys) - 1)
-        at, j = at[keys[j] == h[at]], j[keys[j] == h[at]]
-        for i, x in zip(at.tolist(), j.tolist(), strict=True):
+        low, high = np.searchsorted(keys, h[at], "left"), np.searchsorted(keys, h[at], "right")
+        some = low < high
+        for i, a, b in zip(at[some].tolist(), low[some].tolist(), high[some].tolist(), strict=True):
             words = w.text(i, i + k)
-            for t, items in zip(same[x], own[x], strict=True):
-                if t == words:
-                    hit[i] += 1
-                    hit[i + k] -= 1
-                    found[w.of[i]].update(items)
+            same = {int(g.owner[x]) for x in places[a:b].tolist() if g.text(x, k) == words}
+            if same:
+                hit[i] += 1
+                hit[i + k] -= 1
+                found[w.of[i]].update(same)
     mask = np.cumsum(hit[:-1]) > 0
     return [(int(b - a), mask[a:b], sorted(f)) for a, b, f in zip(w.first, w.first[1:], found, strict=False)]
 
@@ -100,17 +112,25 @@ def contaminated(n_words: int, n_hit: int) -> bool:
     return n_hit > 0 and SHARE * n_hit >= n_words
 
 
-def _parts(benchmark: DataFrame, item_id: str, n: int) -> Iterator[Grams]:
-    """The benchmark as hash sets of at most BROADCAST_BYTES of text each, one at a time; test sets are one part mostly."""
-    rows, size, some = [], 0, False
-    for r in benchmark.select(F.col(item_id).alias("i"), F.col("text").alias("t")).distinct().toLocalIterator():
-        rows.append((r.i, r.t))
-        size += len((r.t or "").encode())
-        if size > BROADCAST_BYTES:
-            yield grams(rows, n)
-            rows, size, some = [], 0, True
-    if rows or not some:
-        yield grams(rows, n)
+def _parts(benchmark: DataFrame, item_id: str, n: int, scratch: Scratch) -> Iterator[Grams]:
+    """The benchmark as parts of at most PART_BYTES of text each, built in a task each and fetched one at a time."""
+    rows = benchmark.select(F.col(item_id).cast("string").alias("i"), F.coalesce("text", F.lit("")).alias("t")).distinct()
+    rows = scratch.write(rows.withColumn("at", F.xxhash64("i", "t")), "benchmark")
+    size, most = rows.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)), F.coalesce(F.max(F.octet_length("t")), F.lit(0))).first()
+    parts = max(1, -(-size * 4 // (3 * PART_BYTES)))
+    number = lambda: F.pmod("at", F.lit(parts)).cast("int").alias("part")
+    while (rows.groupBy(number()).agg(F.sum(F.octet_length("t")).alias("b")).agg(F.max("b")).first()[0] or 0) > max(PART_BYTES, most):
+        parts += -(-parts // 4)
+
+    def build(table: pa.Table) -> pa.Table:
+        g = grams(zip(table.column("i").to_pylist(), table.column("t").to_pylist(), strict=True), n)
+        return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "grams": pa.array([pickle.dumps(g)], pa.binary())})
+
+    built = scratch.write(rows.select(number(), "i", "t").groupBy("part").applyInArrow(build, "part int, grams binary"), "parts")
+    for part in range(parts):
+        one = built.where(F.col("part") == part).toArrow()
+        if one.num_rows:
+            yield pickle.loads(one.column("grams")[0].as_py())
 
 
 def _digest(items: Iterable[str | None]) -> str:
@@ -125,8 +145,8 @@ def _hits(scratch: Scratch, docs: DataFrame, benchmark: DataFrame, n: int) -> Da
 
     docs: (row_key, text). Each part is broadcast, matched in one pass that shuffles nothing, and given up before the next.
     """
-    found = None
-    for at, part in enumerate(_parts(benchmark, "item_id", n)):
+    found = docs.sparkSession.createDataFrame([], _HITS)
+    for at, part in enumerate(_parts(benchmark, "item_id", n, scratch)):
         sent = docs.sparkSession.sparkContext.broadcast(part)
 
         def rows(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -144,7 +164,7 @@ def _hits(scratch: Scratch, docs: DataFrame, benchmark: DataFrame, n: int) -> Da
 
         table = scratch.write(docs.mapInArrow(rows, _HITS), f"hits{at}")
         sent.unpersist()
-        found = table if found is None else found.unionByName(table)
+        found = found.unionByName(table)
     return found
 
 
@@ -153,7 +173,9 @@ def _judged(docs: DataFrame, benchmark: DataFrame, n: int, scratch: Scratch) ->
     hits = _hits(scratch, docs.select("row_key", "text"), benchmark, n)
     per = hits.groupBy("row_key").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.bool_or("unnamed").alias("unnamed"))
     per = scratch.write(per, "per-document")
-    return docs.join(F.broadcast(per) if few(per, FEW // 8) else per, "row_key", "left")
+    # A row has as many spans and items as its document; what they take is summed before they are broadcast.
+    size = per.agg(F.coalesce(F.sum(64 + 24 * F.size("spans") + F.octet_length(F.array_join("items", "")) + 24 * F.size("items")), F.lit(0))).first()[0]
+    return docs.join(F.broadcast(per) if size <= HITS_BYTES else per, "row_key", "left")
 
 
 def _mask(n_words: int, spans: list[dict] | None) -> np.ndarray:

@@ -20,13 +20,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from impactgraph.llm import hashing
 from impactgraph.llm.common import bound_batches, texts_of
 
 BUCKETS, GRAMS, WIDTH = 1 << 14, (2, 4), 16
-#: Labelled rows of each language that the fit may see; labels beyond the most common LABELS are not learned.
-PER_LABEL, LABELS = 600, 500
+#: Labelled rows of each language that the fit may see, and of all; with very many languages each has fewer, one at least.
+PER_LABEL, ROWS = 600, 300_000
 #: Texts that the model gets right and would reject, at most, on the rows that set the threshold.
 LOSS = 0.002
 #: Beyond this score nothing is rejected.
@@ -117,16 +118,18 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, labels: list
 
 
 def fit(docs: DataFrame, label: str = "lang", where: str = "TRUE") -> Model:
-    """A model from at most PER_LABEL rows of each label among those that `where` lets in, picked by a hash of doc_id."""
+    """A model from at most PER_LABEL rows of each label, ROWS in all, among those that `where` lets in, picked by a hash of
+    doc_id and text. Without such rows it knows no label, and every text is `und`."""
     bound_batches(docs.sparkSession)
     own = docs.where(where).where(F.col(label).isNotNull() & F.col("text").isNotNull()).select(F.col(label).alias("y"), "doc_id", "text")
-    sizes = {r.y: r["count"] for r in own.groupBy("y").count().orderBy(F.desc("count"), "y").limit(LABELS).collect()}
-    labels = sorted(sizes)
-    if not labels:
-        return Model([], np.zeros((BUCKETS, 1), np.float32), np.zeros((1, 0), np.float32), np.zeros(0, np.float32))
-    part = docs.sparkSession.createDataFrame([(k, min(1.0, 1.2 * PER_LABEL / n)) for k, n in sizes.items()], "y string, part double")
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("draw")
-    picked = own.join(F.broadcast(part), "y").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("part") * (1 << 30)).select("y", "doc_id", draw, "text")
+    sizes = {r.y: r["count"] for r in own.groupBy("y").count().collect()}
+    per = max(1, min(PER_LABEL, ROWS // max(1, len(sizes))))
+    part = docs.sparkSession.createDataFrame([(k, min(1.0, 1.2 * per / n + 20 / n)) for k, n in sizes.items()], "y string, part double")
+    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
+    drawn = own.join(F.broadcast(part), "y").withColumn("draw", draw).where(F.col("draw") < F.col("part") * (1 << 30))
+    # Rows that are equal are drawn together, so that the first of a label's are taken in order.
+    rank = F.row_number().over(W.partitionBy("y").orderBy("draw", "doc_id"))
+    picked = drawn.withColumn("rank", rank).where(F.col("rank") <= per).select("y", "doc_id", "draw", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,9 +141,10 @@ def fit(docs: DataFrame, label: str = "lang", where: str = "TRUE") -> Model:
                 n.append(f[nz].astype("<f4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("y"), batch.column("doc_id").cast(pa.int64()), batch.column("draw"), pa.array(at, pa.binary()), pa.array(n, pa.binary())], names=["y", "doc_id", "draw", "at", "n"])
 
-    rows = picked.mapInArrow(count, "y string, doc_id long, draw long, at binary, n binary").limit(2 * PER_LABEL * len(labels)).toPandas()
-    rows = rows.sort_values(["y", "draw", "doc_id"]).groupby("y").head(PER_LABEL)
-    rows = rows.sort_values(["draw", "y", "doc_id"])
+    rows = picked.mapInArrow(count, "y string, doc_id long, draw long, at binary, n binary").toPandas().sort_values(["draw", "y", "doc_id"])
+    labels = sorted(set(rows["y"]))
+    if not labels:
+        return Model([], np.zeros((BUCKETS, 1), np.float32), np.zeros((1, 0), np.float32), np.zeros(0, np.float32))
     pairs = [(np.frombuffer(a, "<u2").astype(np.int64), np.frombuffer(n, "<f4")) for a, n in zip(rows["at"], rows["n"], strict=True)]
     return train(pairs, rows["y"].map({k: i for i, k in enumerate(labels)}).to_numpy(), labels)
 

@@ -186,13 +186,13 @@ def _verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, scratch: Scrat
         return pd.Series([similar(x.encode(), y.encode(), n, percent) for x, y in zip(ta, tb, strict=True)], dtype=bool)
 
     one, two = (rows.select(F.col("row_key").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("bits").alias(f"b{x}")) for x in "ab")
-    met = attach(attach(pairs, "a", one, "b", scratch, f"{name}-1"), "b", two, "a", scratch, f"{name}-2")
+    met = attach(attach(pairs, "a", one, "b", scratch, f"{name}-1"), "b", two, "a", scratch, f"{name}-2", pairs)
     met = scratch.write(met.where(near("na", "nb", "ba", "bb")).select("a", "b"), f"{name}-near")
     names = met.select("a").union(met.select("b")).distinct()
     texts = docs.select("row_key", "text").join(F.broadcast(names) if few(met) else names, F.col("row_key") == F.col("a"), "left_semi")
     texts = scratch.write(texts, f"{name}-texts")
     one, two = (texts.select(F.col("row_key").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
-    both = attach(attach(met, "a", one, "b", scratch, f"{name}-3"), "b", two, "a", scratch, f"{name}-4")
+    both = attach(attach(met, "a", one, "b", scratch, f"{name}-3"), "b", two, "a", scratch, f"{name}-4", met)
     found = scratch.write(both.where(same("ta", "tb")).select("a", "b"), f"{name}-links")
     scratch.drop(f"{name}-texts", f"{name}-near")
     return found
