@@ -8,7 +8,7 @@ import sys
 import duckdb
 import pytest
 
-from impactgraph.plans import catalog, contracts, diffs, indexed, rules, seeds, sessions  # noqa: F401
+from impactgraph.plans import catalog, contracts, diffs, increments, indexed, rules, seeds, sessions  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
