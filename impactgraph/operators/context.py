@@ -11,6 +11,9 @@ from pyspark.sql import types as T
 from impactgraph.functions import scalars as S
 from impactgraph.operators import graph, lookup, select, text
 
+#: Symbols that terms and hits put forward at most, of which the best are chosen: a top-k report.
+MOST = 200
+
 
 def file_symbols(symbols: DataFrame, path: str) -> DataFrame:
     """Symbols of exactly this file; the predicate reaches the scan."""
@@ -27,7 +30,7 @@ def without_generated(symbols: DataFrame, always: list[str], marked: list[str],
 def candidates(symbols: DataFrame, edges: DataFrame, lines: DataFrame, terms: DataFrame) -> DataFrame:
     """(id, pos, seed, neighbor): symbols that terms name, those that hits lie in, and their call neighbours.
 
-    Seeds by name come first, confirmed ones ahead; then symbols that text hits promote, then one hop of calls.
+    Seeds by name come first, confirmed ones ahead; then symbols that text hits promote, MOST in all; then one hop of calls.
     """
     named = graph.cut_lineage(lookup.term_seeds(symbols, terms))
     found = text.merged(lines.join(F.broadcast(terms), F.contains(F.lower("text"), F.lower("term"))))
@@ -36,7 +39,7 @@ def candidates(symbols: DataFrame, edges: DataFrame, lines: DataFrame, terms: Da
     confirmed = classes.where("class = 'confirmed'").select(F.col("symbol").alias("id"))
     first = text.confirmed_first(named, confirmed).select("id", F.when(F.col("confirmed"), F.col("pos")).otherwise(F.col("pos") + 100_000).alias("pos"))
     promoted = classes.where("class = 'promoted'").select(F.col("symbol").alias("id"), F.lit(200_000).alias("pos"))
-    merged = lookup.first_by_id(first.unionByName(promoted)).orderBy("pos", "id").limit(200)
+    merged = lookup.first_by_id(first.unionByName(promoted)).orderBy("pos", "id").limit(MOST)
     ranked = merged.withColumn("rank", F.row_number().over(select.W.orderBy("pos", "id")) - 1).select("id", F.col("rank").alias("pos"), (F.col("rank") < select.SEEDS).alias("seed"))
     ranked = graph.cut_lineage(ranked)
     near = graph.call_neighbors(edges, symbols, ranked.where("seed").select("id")).select(F.col("neighbor").alias("id")).distinct().withColumn("neighbor", F.lit(True))

@@ -105,11 +105,16 @@ def rollup(found: DataFrame, spans: DataFrame, files: int = 20, symbols: int = 1
 
 
 def term_list(spark: SparkSession, terms: list[str]) -> DataFrame:
-    """(pos, term): the first MAX_TERMS distinct terms."""
+    """(pos, term): the first MAX_TERMS distinct terms; `terms_left_out` has the others."""
     unique = list(dict.fromkeys(t for t in terms if t))
     return spark.createDataFrame(list(enumerate(unique[:MAX_TERMS])), "pos int, term string")
 
 
+def terms_left_out(terms: list[str]) -> list[str]:
+    """Distinct terms beyond the first MAX_TERMS, to be told beside an answer of `term_list`."""
+    return list(dict.fromkeys(t for t in terms if t))[MAX_TERMS:]
+
+
 def multi(lines: DataFrame, terms: DataFrame, per_term: int = 40) -> DataFrame:
     """Hits of several terms in one scan, grouped by term: the first per_term of each, and the true total.
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from impactgraph.functions import scalars as S
+from impactgraph.operators import sweep
 
 #: Members of a base contract's family whose callers are looked up.
 FAMILY_PROBES = 60
@@ -35,9 +36,8 @@ def ranges(diff: DataFrame) -> DataFrame:
 
 
 def touched_spans(spans: DataFrame, changed: DataFrame) -> DataFrame:
-    """Spans that a changed range overlaps: an interval join within a file."""
-    c = changed.select(F.col("file").alias("cf"), F.col("start").alias("cs"), F.col("end").alias("ce"))
-    return spans.join(c, (F.col("file") == F.col("cf")) & (F.col("start") <= F.col("ce")) & (F.col("end") >= F.col("cs")), "left_semi")
+    """Spans that a changed range overlaps, by a sweep over each file."""
+    return sweep.touched(spans, "start", "end", changed).where("touched").drop("touched")
 
 
 def seeds(diff: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -64,10 +64,9 @@ def missed(required: DataFrame, calls: DataFrame, changed: DataFrame) -> DataFra
         required = required.where(~(F.col("file").eqNullSafe(F.col("seed_file")) & F.col("start").eqNullSafe(F.col("seed_start"))))
     hit = F.col("callee").eqNullSafe(F.col("seed")) | F.endswith("callee", F.concat(F.lit("."), F.col("seed")))
     sites = required.join(calls, "symbol").where(hit).select("symbol", "seed", "file", F.col("line"))
-    c = changed.select(F.col("file").alias("cf"), F.col("start").alias("cs"), F.col("end").alias("ce"))
-    exact = sites.join(c, (F.col("file") == F.col("cf")) & F.col("line").between(F.col("cs"), F.col("ce")), "left_anti").withColumn("detail", F.lit("line"))
+    exact = sweep.touched(sites, "line", "line", changed).where("NOT touched").drop("touched").withColumn("detail", F.lit("line"))
     loose = required.join(sites.select("symbol", "seed").distinct(), ["symbol", "seed"], "left_anti")
-    span = loose.join(c, (F.col("file") == F.col("cf")) & (F.col("start") <= F.col("ce")) & (F.col("end") >= F.col("cs")), "left_anti").select("symbol", "seed", "file", F.col("start").alias("line"), F.lit("span").alias("detail"))
+    span = sweep.touched(loose.select("symbol", "seed", "file", "start", "end"), "start", "end", changed).where("NOT touched").select("symbol", "seed", "file", F.col("start").alias("line"), F.lit("span").alias("detail"))
     per = exact.unionByName(span).groupBy("file", "line", "seed").agg(F.min(F.struct("detail", "symbol")).alias("x"))
     return per.select("x.symbol", "seed", "file", "line", "x.detail")
 
@@ -118,11 +117,8 @@ def introduced_violations(sites: DataFrame, changed: DataFrame, forbidden: DataF
 
 
 def _by_touch(sites: DataFrame, changed: DataFrame) -> DataFrame:
-    c = changed.select(F.col("file").alias("cf"), F.col("start").alias("cs"), F.col("end").alias("ce"))
     places = sites.groupBy("src_comp", "dst_comp", "src_file", "src_line").agg(F.count("*").alias("n"))
-    hit = places.join(c, (F.col("src_file") == F.col("cf")) & F.col("src_line").between(F.col("cs"), F.col("ce")), "left_semi").withColumn("hit", F.lit(True))
-    keys = ["src_comp", "dst_comp", "src_file", "src_line"]
-    marked = places.join(hit.select(*keys, "hit"), keys, "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    marked = sweep.touched(places, "src_line", "src_line", changed, "src_file").withColumnRenamed("touched", "hit")
     return marked.groupBy("src_comp", "dst_comp").agg(F.sum("n").alias("weight"), F.bool_and("hit").alias("every"), F.bool_or("hit").alias("some"))
 
 

@@ -85,14 +85,15 @@ def disclosure_levels(spark, sf):
     return got.withColumn("wanted", select.disclosure()).select("id", "wanted", S.tokens(select.rendered(F.col("wanted"))).alias("cost"))
 
 
-@query("""WITH c AS (SELECT conv_id, role, turn, coalesce(text, '') AS t, CASE WHEN turn % 2 = 0 THEN 'high' ELSE 'low' END AS confidence FROM conversations), r AS (SELECT *, left(t, 12) || repeat('x', 2500) AS p FROM c),
-    l AS (SELECT *, row_number() OVER w AS seen, coalesce(lag(p) OVER w = p, FALSE) AS same FROM r WINDOW w AS (PARTITION BY conv_id, role ORDER BY turn))
-    SELECT conv_id, role, turn, same AND strlen(p) // 4 >= 600 AND (seen = 2 OR confidence = 'high') AS pointer FROM l""")
+@query("""WITH c AS (SELECT conv_id, role, 3 * turn + i AS seq, repeat(coalesce(text, ''), CASE WHEN turn % 3 = 0 THEN 40 ELSE 1 END) AS p, CASE WHEN (turn + i) % 2 = 0 THEN 'high' ELSE 'low' END AS confidence FROM conversations, range(3) t(i)),
+    l AS (SELECT *, row_number() OVER w AS seen, coalesce(lag(p) OVER w = p, FALSE) AS same FROM c WINDOW w AS (PARTITION BY conv_id, role ORDER BY seq))
+    SELECT conv_id, role, seq, same AND strlen(p) // 4 >= 600 AND (seen = 2 OR confidence = 'high') AS pointer FROM l""")
 def graph_pointers(spark, sf):
-    c = A.table(spark, sf, "conversations")
-    payload = F.concat(F.left(F.coalesce("text", F.lit("")), F.lit(12)), F.repeat(F.lit("x"), F.lit(2500)))
-    results = c.select(F.col("conv_id").alias("session"), F.col("role").alias("key"), F.col("turn").alias("seq"), payload.alias("payload"), F.when(F.col("turn") % 2 == 0, "high").otherwise("low").alias("confidence"))
-    return session.graph_deliveries(results).select(F.col("session").alias("conv_id"), F.col("key").alias("role"), F.col("seq").alias("turn"), "pointer")
+    """Every turn's text delivered three times over, long and short."""
+    c = A.table(spark, sf, "conversations").withColumn("i", F.explode(F.array(*[F.lit(i) for i in range(3)])))
+    payload = F.expr("repeat(coalesce(text, ''), CASE WHEN turn % 3 = 0 THEN 40 ELSE 1 END)")
+    results = c.select(F.col("conv_id").alias("session"), F.col("role").alias("key"), (3 * F.col("turn") + F.col("i")).alias("seq"), payload.alias("payload"), F.when((F.col("turn") + F.col("i")) % 2 == 0, "high").otherwise("low").alias("confidence"))
+    return session.graph_deliveries(results).select(F.col("session").alias("conv_id"), F.col("key").alias("role"), "seq", "pointer")
 
 
 _DELIVERED = """WITH d AS (SELECT 'f' || p_partkey AS file, p_size AS h, p_partkey AS pos FROM part), n AS (SELECT 'f' || p_partkey AS file, p_size + (p_partkey % 7 = 0)::INT AS h FROM part WHERE p_partkey % 5 <> 0),
@@ -163,10 +164,10 @@ def excluded_tests(spark, sf):
     return view.excluded_tests(A.symbols(spark, sf))
 
 
-@query("""WITH p AS (SELECT p_brand AS name, round(min(p_retailprice) / 10000, 4) AS a, round(max(p_size) / 100.0::DOUBLE, 4) AS b FROM part GROUP BY p_brand), l AS (SELECT name, 0.3::DOUBLE AS d FROM p WHERE b > 0.45)
+@query("""WITH p AS (SELECT p_brand AS name, min(p_retailprice) / 10000 AS a, round(max(p_size) / 100.0::DOUBLE, 4) AS b FROM part GROUP BY p_brand), l AS (SELECT name, 0.3::DOUBLE AS d FROM p WHERE b > 0.45)
     SELECT name, round(CASE WHEN d IS NULL THEN a ELSE greatest(0.05::DOUBLE, least(1.0::DOUBLE, a + d)) END, 9) AS graph_distance, round(CASE WHEN d IS NULL THEN b ELSE greatest(0.05::DOUBLE, least(1.0::DOUBLE, b - d)) END, 9) AS recency FROM p LEFT JOIN l USING (name)""")
 def weights_applied(spark, sf):
-    p = A.table(spark, sf, "part").groupBy(F.col("p_brand").alias("name")).agg(F.round(F.min("p_retailprice") / 10000, 4).alias("graph_distance"), F.round(F.max("p_size") / 100.0, 4).alias("recency")).withColumns({"test_relevance": F.lit(0.2), "edit_frequency": F.lit(0.2)})
+    p = A.table(spark, sf, "part").groupBy(F.col("p_brand").alias("name")).agg((F.min("p_retailprice") / 10000).alias("graph_distance"), F.round(F.max("p_size") / 100.0, 4).alias("recency")).withColumns({"test_relevance": F.lit(0.2), "edit_frequency": F.lit(0.2)})
     learned = p.where("recency > 0.45").select("name", F.lit(0.3).alias("graph_distance"), F.lit(-0.3).alias("recency"), F.lit(0.0).alias("test_relevance"), F.lit(0.0).alias("edit_frequency"))
     return select.apply_learned(p, learned).select("name", F.round("graph_distance", 9).alias("graph_distance"), F.round("recency", 9).alias("recency"))
 
@@ -251,10 +252,10 @@ def delivered_sections(spark, sf):
     return select.deliver(A.table(spark, sf, "part").select(F.col("p_partkey").alias("rank"), (F.col("p_size") * 3).alias("cost")), 1000).select("rank", "state")
 
 
-@query("""SELECT greatest(CAST(sum(strlen(coalesce(text, '')) // 4) AS BIGINT), 100) AS baseline_tokens FROM documents WHERE doc_id % 3 = 0""")
+@query("""SELECT greatest(CAST(sum(strlen(coalesce(text, '')) // 4) AS BIGINT), 100) AS baseline_tokens FROM documents""")
 def baseline_tokens(spark, sf):
     docs = A.table(spark, sf, "documents").select("doc_id", A.document_file().alias("file"), F.octet_length(F.coalesce("text", F.lit(""))).alias("bytes"))
-    return select.baseline_tokens(docs.where("doc_id % 3 = 0"), docs, F.lit(100).cast("long"))
+    return select.baseline_tokens(docs, docs, F.lit(100).cast("long"))
 
 
 @query(A.with_tables("symbols", "edges") + """, a AS (SELECT id, row_number() OVER (ORDER BY CAST(substr(id, 3) AS BIGINT)) AS pos FROM symbols WHERE id LIKE 's:%' ORDER BY pos LIMIT 5)
