@@ -244,7 +244,7 @@ def pcm(rows: DataFrame, media: str = "media", to_rate: int = TO_RATE) -> DataFr
     """rows as column `row` with codec, rate, samples, pcm (16-bit little-endian at to_rate) and error."""
     bound_batches(rows.sparkSession)
     table = rows.select(F.struct("*").alias("row"), F.coalesce(F.col(media), F.lit(b"")).alias("__media"))
-    schema = table.select("row").schema.add("codec", "string").add("rate", "int").add("samples", "long").add("pcm", "binary").add("error", "string")
+    schema = table.select("row").schema.add("codec", "string").add("rate", "integer").add("samples", "long").add("pcm", "binary").add("error", "string")
     names, types = schema.names, (pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -115,7 +115,7 @@ def vectors(seed=1, n=700, dims=6):
     r = random.Random(seed)
     base = [[r.gauss(0, 1) for _ in range(dims)] for _ in range(12)]
     rows = [(i, [x + r.choice([0, 0, 0.1, r.gauss(0, 0.5)]) for x in r.choice(base)], r.randrange(4)) for i in range(n)]
-    rows += [(1000, None, 1), (1001, base[0], None), (None, base[0], 1), (1100, [1.0, None, 0, 0, 0, 0], 1), (1200, [math.nan] * dims, 1), (1300, [math.inf] * dims, 1), (1400, [], 2), (1500, base[1][:3], 3), (100, base[2], 0), (1600, [0.0] * dims, 9)]
+    rows += [(1000, None, 1), (1001, base[0], None), (None, base[0], 1), (1100, [1.0, None, 0.0, 0.0, 0.0, 0.0], 1), (1200, [math.nan] * dims, 1), (1300, [math.inf] * dims, 1), (1400, [], 2), (1500, base[1][:3], 3), (100, base[2], 0), (1600, [0.0] * dims, 9)]
     return rows
 
 
@@ -241,7 +241,8 @@ def test_resampling_leaves_no_trace_of_pieces(monkeypatch):
         monkeypatch.setattr(telephony, "PIECE", 1000)
         assert one == b"".join(p.tobytes() for p in telephony.pieces(data, wav, 16000)) == b"".join(p.tobytes() for _, p in telephony.sounds([(data, wav)], 16000))
         monkeypatch.undo()
-        both = dict(telephony.sounds([(data, wav), (data[: wav.start + wav.align * 3], telephony.read_wav(data[: wav.start + wav.align * 3])), (data, wav)], 16000))
+        cut = data[: wav.start + (wav.align if codec == "adpcm" else 64) * 3]
+        both = dict(telephony.sounds([(data, wav), (cut, telephony.read_wav(cut)), (data, wav)], 16000))
         assert both[0].tobytes() == both[2].tobytes() == one and one.startswith(both[1].tobytes()[:20])
 
 

@@ -27,7 +27,7 @@ def test_parts_of_a_benchmark_give_one_report(spark, monkeypatch):
     docs = [(i, " ".join(r.choices(words, k=50)) + " " + (r.choice(items)[1] if i % 2 else "")) for i in range(60)]
     bench, table = spark.createDataFrame(items, "item_id string, text string"), spark.createDataFrame(docs, "doc_id long, text string")
     one = sorted(map(tuple, decontaminate.report(table, bench).collect()))
-    monkeypatch.setattr(decontaminate, "PART_BYTES", 2000)
+    monkeypatch.setattr(decontaminate, "PART_BYTES", 1000)
     assert len(list(decontaminate._parts(bench, "item_id", 13, Scratch(spark, "parts")))) > 3
     assert sorted(map(tuple, decontaminate.report(table, bench).collect())) == one
 
