@@ -26,6 +26,9 @@ CALLABLE = ("function", "method", "constructor")
 TYPES = ("class", "struct", "interface", "type", "trait", "protocol")
 #: Rounds whose masks are merged into one table, so that a long path doesn't read each of its rounds again and again.
 MERGED = 8
+#: Numbered values, targets of seeds or changed symbols that may be broadcast. Few of them have many rows each, so that a shuffle by
+#: them would give a task for each, which grows with the tables.
+FEW = 100_000
 
 
 def numbered(seeds: DataFrame, column: str) -> DataFrame:
@@ -61,10 +64,15 @@ def flood(step: DataFrame, start: DataFrame, max_depth: int | None = None) -> Da
     return reduce(DataFrame.unionByName, rounds)
 
 
+def beside(table: DataFrame) -> DataFrame:
+    """table for a join with many rows of each of its keys: broadcast if it is small, else by shuffle. It should be written."""
+    return F.broadcast(table) if table.count() <= FEW else table.hint("merge")
+
+
 def unpacked(masks: DataFrame, numbers: DataFrame) -> DataFrame:
     """One row for each bit of masks (grp, mask, ...), with the value that has this number."""
     bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit("mask", i) == 1)
-    return masks.withColumn("bit", F.explode(bits)).drop("mask").join(numbers.hint("merge"), ["grp", "bit"]).drop("grp", "bit")
+    return masks.withColumn("bit", F.explode(bits)).drop("mask").join(beside(numbers), ["grp", "bit"]).drop("grp", "bit")
 
 
 def reach_many(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, reverse: bool = False) -> DataFrame:
@@ -136,7 +144,7 @@ def impacts(symbols: DataFrame, edges: DataFrame, seeds: DataFrame, callers_only
     parts = F.array(*[F.struct(F.lit(role).alias("role"), F.expr(rule).alias("mask")) for role, rule in (("declaration", "mask & own"), ("super", "mask & above & ~own"), ("family", "mask & ~own & ~above"))])
     rows = unpacked(hit.select("id", "member", "params", "grp", F.inline(parts)).where("mask <> 0"), numbers)
     same = (F.col("t.type_id") == F.col("r.type_id")) & (F.col("t.member") == F.col("r.member")) & F.col("t.params").eqNullSafe(F.col("r.params"))
-    roles = rows.alias("r").join(typed.alias("t"), same).select("t.seed", "r.role", "r.id").unionByName(targets.where("status = 'bare'").select("seed", F.lit("declaration").alias("role"), "id"))
+    roles = rows.alias("r").join(beside(typed).alias("t"), same).select("t.seed", "r.role", "r.id").unionByName(targets.where("status = 'bare'").select("seed", F.lit("declaration").alias("role"), "id"))
     # A seed whose name several types bear may meet a member in two roles: the nearer one holds.
     rank = F.when(F.col("role") == "declaration", 0).when(F.col("role") == "super", 1).otherwise(2)
     roles = cut_lineage(roles.groupBy("seed", "id").agg(F.min_by("role", rank).alias("role")))
@@ -146,15 +154,17 @@ def impacts(symbols: DataFrame, edges: DataFrame, seeds: DataFrame, callers_only
         bearing = symbols.where(F.col("kind").isin(*CALLABLE)).select("id", "name", F.coalesce("params", F.lit("")).alias("has")).join(loose, "name").where("params IS NULL OR params = has")
         asked = asked.unionByName(bearing.select("seed", "id", F.lit(False).alias("known")))
     everyone = numbered(asked, "seed")
-    masks = asked.join(everyone, "seed").groupBy("id", "grp").agg(F.bit_or(_bit()).alias("mask"), F.bit_or(F.when(F.col("known"), _bit()).otherwise(F.lit(0).cast("long"))).alias("known"))
+    masks = asked.join(beside(everyone), "seed").groupBy("id", "grp").agg(F.bit_or(_bit()).alias("mask"), F.bit_or(F.when(F.col("known"), _bit()).otherwise(F.lit(0).cast("long"))).alias("known"))
     calls = edges.where(F.col("type") == "calls").select("src", "dst").distinct()
     called = calls.join(masks.select(F.col("id").alias("dst"), "grp", "mask").hint("merge"), "dst").groupBy(F.col("src").alias("id"), "grp").agg(F.bit_or("mask").alias("mask"))
     called = called.join(masks.select("id", "grp", "known").hint("merge"), ["id", "grp"], "left").withColumn("mask", F.expr("mask & ~coalesce(known, 0L)")).where("mask <> 0").select("id", "grp", "mask")
+    # Unknown callers go while a row is 64 seeds.
+    known = symbols.select("id")
+    called = called.join(known, "id", "left_semi")
     callers = unpacked(called, everyone).select("seed", F.lit("caller").alias("role"), "id")
     declaring = roles.where("role <> 'super'").join(symbols.select("id", "parent"), "id").where("parent <> ''").select("seed", F.lit("declaring_type").alias("role"), F.col("parent").alias("id")).distinct()
-    known = symbols.select("id")
     declaring = declaring.join(known, "id", "left_semi").select("seed", "role", "id")
-    found = roles.select("seed", "role", "id").unionByName(callers.join(known, "id", "left_semi").select("seed", "role", "id")).unionByName(declaring)
+    found = roles.select("seed", "role", "id").unionByName(callers.select("seed", "role", "id")).unionByName(declaring)
     outside = up.join(symbols.select(F.col("id").alias("dst")), "dst", "left_anti").select(F.col("src").alias("id")).distinct().withColumn("out", F.lit(True))
     open_ = declaring.join(outside, "id", "left").groupBy("seed").agg(F.max(F.coalesce("out", F.lit(False))).alias("out"))
     declared = roles.select("seed").distinct().withColumn("set", F.lit(True))
@@ -179,7 +189,8 @@ def required_many(symbols: DataFrame, edges: DataFrame, changed: DataFrame) -> t
     good = each.join(states.where("completeness IS NOT NULL"), "seed")
     first = good.withColumn("rank", F.row_number().over(W.partitionBy("changed").orderBy((F.col("status") != "resolved").cast("int"), "nth"))).where("rank = 1").select("changed", "seed")
     own = changed.select(F.col("id").alias("changed"), F.col("name").alias("seed_name"), F.col("file_path").alias("seed_file"), F.col("start").alias("seed_start"))
-    sites = found.where("role IN ('family', 'caller', 'declaring_type')").join(first, "seed").drop("seed").join(own, "changed").join(symbols.select("id", F.col("file_path").alias("file"), "start", "end"), "id")
+    first = cut_lineage(first.join(own, "changed"))
+    sites = found.where("role IN ('family', 'caller', 'declaring_type')").join(beside(first), "seed").drop("seed").join(symbols.select("id", F.col("file_path").alias("file"), "start", "end"), "id")
     required = sites.where(~F.coalesce(is_verify_test(F.col("file")), F.lit(False))).select(F.col("seed_name").alias("seed"), "seed_file", "seed_start", F.col("id").alias("symbol"), "file", "start", "end").distinct()
     empty = changed.join(sites.select(F.col("changed").alias("id")), "id", "left_anti").join(first.select(F.col("changed").alias("id"), F.lit(True).alias("met")), "id", "left")
     reason = F.when(F.col("met"), "no dependents").otherwise("no declaration")

@@ -4,6 +4,7 @@ import collections
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from impactgraph.operators import graph, impacts
 
@@ -144,3 +145,13 @@ def test_reach_of_many_over_two_longs(spark):
     assert {tuple(x) for x in got.collect()} == want and got.count() == len(want)
     two = impacts.reach_many(spark.createDataFrame(edges, "src string, dst string"), spark.createDataFrame(seeds, "seed string, id string"), 2, reverse=True)
     assert two.agg({"depth": "max"}).first()[0] == 2
+
+
+def test_few_values_are_not_shuffled_by_their_numbers(spark):
+    """A shuffle by number has a task for each value, whose size grows with the table."""
+    numbers = impacts.numbered(spark.createDataFrame([("a",), ("b",)], "seed string"), "seed")
+    masks = numbers.select("grp").distinct().crossJoin(spark.range(1000)).select("id", "grp", F.lit(1).cast("long").alias("mask"))
+    got = impacts.unpacked(masks, numbers)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert got.count() == 1000 * numbers.where("bit = 0").count()
