@@ -28,6 +28,8 @@ EDGES = "file string, src string, dst string, type string"
 INDUCED = "src_comp string, dst_comp string, type string, weight long"
 #: Buckets of files. A batch's work is that of the buckets it touches, and a manifest has a number for each.
 BUCKETS = 64
+#: Tasks that may write a bucket.
+PARTS = 16
 #: Changed symbols that may be broadcast: rows of an id, a component and a number.
 FEW = 250_000
 
@@ -130,15 +132,17 @@ class GraphIndex:
             names = [c.split()[0] for c in schema.split(", ")]
             old = self._read(table, schema, state, touched)
             gone[table] = old.join(moved.select("file"), "file", "left_semi")
-            come[table] = rows.select(*names).join(fresh.select("file"), "file", "left_semi")
-            kept = old.join(moved.select("file"), "file", "left_anti").unionByName(come[table]).withColumn("bucket", number)
-            # A bucket is one task's, whose size is a part of all files; a run that failed before is written over.
-            kept.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{table}/{batch}")
+            given_rows = rows.select(*names).join(fresh.select("file"), "file", "left_semi")
+            kept = old.join(moved.select("file"), "file", "left_anti").unionByName(given_rows).withColumn("bucket", number)
+            # A bucket is up to PARTS tasks', as Spark sees fit; a run that failed before is written over.
+            kept.repartition("bucket", F.pmod(F.xxhash64(*names), F.lit(PARTS))).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{table}/{batch}")
             there = self.spark.read.schema(schema + ", bucket int").parquet(f"{self.path}/{table}/{batch}").groupBy("bucket").count().collect() if touched else []
             for b in touched:
                 versions.setdefault(str(b), {})[table] = None
             for x in there:
                 versions[str(x["bucket"])][table] = batch
+            # What came is read from what was written, so that a batch's own plan runs once.
+            come[table] = self._read(table, schema, {"versions": versions}, touched).join(fresh.select("file"), "file", "left_semi")
             written[table] = sum(x["count"] for x in there)
         edge_rows = lambda d: d.where(F.col("type").isin(*S.DEPENDENCY_KINDS)).groupBy("src", "dst", "type").agg(F.count("*").alias("w"))
         before = self._read("symbols", SYMBOLS, state)

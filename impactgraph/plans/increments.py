@@ -13,8 +13,9 @@ from impactgraph.sources import scratch
 
 def _batches(spark: SparkSession, sf: str) -> list[tuple[DataFrame, DataFrame, DataFrame]]:
     """All files; then files without some symbols and with other edges; then all files of a region deleted, and one back."""
-    s = A.symbols(spark, sf).select(F.col("file_path").alias("file"), "id", "kind", "name")
-    e = A.edges(spark, sf).join(s.select("file", F.col("id").alias("src")), "src").select("file", "src", "dst", "type")
+    s = scratch.stored(A.symbols(spark, sf).select(F.col("file_path").alias("file"), "id", "kind", "name"), "symbols")
+    # The edges of all batches are one join, which is run once.
+    e = scratch.stored(A.edges(spark, sf).join(s.select("file", F.col("id").alias("src")), "src").select("file", "src", "dst", "type"), "edges")
     key = F.substring_index("id", ":", -1).cast("long")
     files = s.select("file").distinct()
     less, other = s.where(key % 5 != 0), e.withColumn("type", F.when(F.col("type") == "imports", "calls").otherwise(F.col("type")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared(spark: SparkSession) -> str:
@@ -37,3 +37,11 @@ def folder(spark: SparkSession, name: str) -> str:
 def remove(spark: SparkSession, path: str) -> None:
     at, fs = _at(spark, path)
     fs.delete(at, True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df, written once as Parquet in a folder of its own; later plans read the columns that they need. Column names differ, and
+    their types are such that Parquet has."""
+    path = f"{folder(df.sparkSession, name)}/table"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -93,3 +93,23 @@ def test_a_stream_of_changes(spark, tmp_path):
     query.stop()
     assert index.batches() == [0, 1] and [tuple(x) for x in index.induced().collect()] == [("a", "b", "calls", 1)]
     assert {x.sha for x in index.files().collect()} == {"2"}
+
+
+def test_a_batch_runs_its_own_plan_once(spark, tmp_path):
+    """Rows of a batch are read from what it wrote, however costly their plan is."""
+    from pyspark.sql import functions as F
+
+    ran = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(x):
+        ran.add(1)
+        return x
+
+    files = spark.createDataFrame([("a/f.go", "1"), ("b/g.go", "1")], FILES)
+    symbols = spark.createDataFrame([("a/f.go", "x", "function", "x"), ("b/g.go", "y", "function", "y")], SYMBOLS)
+    edges = spark.createDataFrame([("a/f.go", "x", "y", "calls")] * 3, EDGES).withColumn("dst", counted("dst"))
+    index = GraphIndex(spark, str(tmp_path / "once"), buckets=4)
+    index.apply(0, files, symbols, edges)
+    assert ran.value == 3
+    assert [tuple(x) for x in index.induced().collect()] == [("a", "b", "calls", 3)]
