@@ -20,6 +20,13 @@ from impactgraph.operators.graph import cut_lineage
 
 _HEAD = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
 _NONE = "/dev/null"
+#: Places of a block of a hunk or file. A place has one line, so that no block has more rows than some of these.
+PLACES = 1 << 16
+
+
+def _block(place: str) -> Column:
+    """Blocks of hunks and files by their places; ranges drawn from a sample would run the plan once more, and write it."""
+    return F.floor(F.col(place) / PLACES)
 
 
 def _path(prefix: str) -> Column:
@@ -41,7 +48,7 @@ def hunks(diff: DataFrame, prefix: str = "") -> tuple[DataFrame, DataFrame]:
     rows = rows.withColumn("head", F.col("text").rlike(_HEAD)).withColumn("hunk", F.col("hunk") + F.col("head").cast("long"))
     mark = F.substring("text", 1, 1)
     old, new = F.when(~F.col("head") & mark.isin("-", " ", ""), 1).otherwise(0), F.when(~F.col("head") & mark.isin("+", " ", ""), 1).otherwise(0)
-    counted = scan.prefix(rows.drop("__at"), ["change", "hunk"], ["n"], {"old": old, "new": new}, pos="place").withColumns({"wants_old": F.when(F.col("head"), number(2, 1)), "wants_new": F.when(F.col("head"), number(4, 1))})
+    counted = scan.prefix(rows.drop("__at"), ["change", "hunk"], ["n"], {"old": old, "new": new}, pos="place", block=_block("n")).withColumns({"wants_old": F.when(F.col("head"), number(2, 1)), "wants_new": F.when(F.col("head"), number(4, 1))})
     counted = cut_lineage(counted)
     wants = counted.where("head").select(F.col("change").alias("c"), F.col("hunk").alias("h"), F.col("wants_old").alias("want_old"), F.col("wants_new").alias("want_new"))
     met = F.col("change").eqNullSafe(F.col("c")) & (F.col("hunk") == F.col("h"))
@@ -49,7 +56,7 @@ def hunks(diff: DataFrame, prefix: str = "") -> tuple[DataFrame, DataFrame]:
     placed = cut_lineage(counted.join(wants, met, "left").select("change", "n", "text", "hunk", "head", inside.alias("inside")))
     lines = placed.where("inside")
     # "\ No newline" speaks of the line before it.
-    before = scan.prefix(lines, ["change", "hunk"], ["n"], pos="k")
+    before = scan.prefix(lines, ["change", "hunk"], ["n"], pos="k", block=_block("n"))
     last = before.where(mark == "\\").select(F.col("change").alias("c"), F.col("hunk").alias("h"), (F.col("k") - 1).alias("at"))
     body = before.where(mark != "\\").join(last, F.col("change").eqNullSafe(F.col("c")) & (F.col("hunk") == F.col("h")) & (F.col("k") == F.col("at")), "left")
     side = F.when(mark == "", " ").otherwise(mark)
@@ -96,10 +103,10 @@ def base_lines(hunks: DataFrame, body: DataFrame, after: DataFrame) -> DataFrame
     first = edge(2 * F.col("new_start") - some, F.lit(0), some)
     behind = edge(2 * (F.col("new_start") + F.greatest(F.col("new_count") - 1, F.lit(0))) + 1, F.col("old_count") - F.col("new_count"), -some)
     order = [F.col("place"), F.col("line").isNull(), F.col("inside"), F.col("step")]
-    moved = scan.prefix(lines.withColumn("place", F.col("place").cast("long")).unionByName(first).unionByName(behind), ["change", "old_file"], order, {"moved": F.col("step"), "within": F.col("inside")}, pos="__at")
+    moved = scan.prefix(lines.withColumn("place", F.col("place").cast("long")).unionByName(first).unionByName(behind), ["change", "old_file"], order, {"moved": F.col("step"), "within": F.col("inside")}, pos="__at", block=_block("place"))
     kept = moved.where("line IS NOT NULL AND within = 0").select("change", F.col("old_file").alias("file"), (F.col("line") + F.col("moved")).alias("line"), "text", "open")
     gone = body.where("side <> '+'")
-    placed = scan.prefix(gone, ["change", "hunk"], ["n"], pos="k")
+    placed = scan.prefix(gone, ["change", "hunk"], ["n"], pos="k", block=_block("n"))
     start = old.select(F.col("change").alias("c"), F.col("hunk").alias("h"), F.col("old_file").alias("file"), "old_start")
     cut = placed.join(start, F.col("change").eqNullSafe(F.col("c")) & (F.col("hunk") == F.col("h"))).select("change", "file", (F.col("old_start") + F.col("k")).cast("long").alias("line"), "text", "open")
     return kept.withColumn("line", F.col("line").cast("long")).unionByName(cut)

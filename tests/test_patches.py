@@ -90,3 +90,16 @@ def test_seeds_of_deleted_files_and_blocks(spark):
     before, after = lines("interface D {\n  run(a: int,  b: str): void\n  // run(x)\n  stop(): void\n  keep(a: int): void\n}\ninterface E {\n x: int\n}"), lines("interface D {\n  keep(a: int): str\n  run(a: int): void\n  stop(now: bool): void\n  fresh(a: int)\n}\ninterface E {\n x: str\n}")
     blocks = spark.createDataFrame([("d.ts", "D", 1, 6, 1, 6), ("d.ts", "E", 7, 9, 7, 9)], "file string, block string, start0 int, end0 int, start1 int, end1 int")
     assert sorted(map(tuple, verify.block_seeds(before, after, blocks).collect())) == [("E", "d.ts", "E", "block", "unverified", "", ""), ("run", "d.ts", "D", "member", "seed", "a: int, b: str", "a: int")]
+
+
+def test_only_whole_changes_are_dealt_by_samples(spark, monkeypatch):
+    """Hunks and files are dealt by their places: a sample runs the plan before it once more."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    calls, real = [], DataFrame.repartitionByRange
+    monkeypatch.setattr(DataFrame, "repartitionByRange", lambda self, *a: (calls.append(a), real(self, *a))[1])
+    diff = spark.createDataFrame([("c", i, t) for i, t in enumerate(["--- a/f", "+++ b/f", "@@ -1 +1 @@", "-x", "+y"])], "change string, n int, text string")
+    after = spark.createDataFrame([("f", "y\nz\n")], "file string, content string")
+    got = patches.base_content(*patches.hunks(diff), after).collect()
+    assert [tuple(x) for x in got] == [("c", "f", "x\nz\n")]
+    assert len(calls) == 2
