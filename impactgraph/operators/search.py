@@ -28,6 +28,8 @@ from impactgraph.sources.adapters import split_lines
 LINES, SLICE = 64, 1 << 18
 #: Trigrams that are intersected, the rarest; documents that are read by their numbers instead of by a join.
 RAREST, POINTED = 4, 1000
+#: How the tables are packed: postings take most of what a query writes.
+CODEC = "zstd"
 #: Text hits beside symbols.
 BOTH_HITS = 50
 _BITS = 21
@@ -152,10 +154,10 @@ class Index:
     def build(cls, files: DataFrame, path: str) -> Index:
         """Write the index of files (file, content); one pass, each task sorts its own postings."""
         spark = files.sparkSession
-        files.select(F.monotonically_increasing_id().alias("doc"), "file", F.coalesce("content", F.lit("")).alias("content")).write.parquet(f"{path}/files")
+        files.select(F.monotonically_increasing_id().alias("doc"), "file", F.coalesce("content", F.lit("")).alias("content")).write.option("compression", CODEC).parquet(f"{path}/files")
         stored = spark.read.schema("doc long, file string, content string").parquet(f"{path}/files")
         cut = stored.select("doc", F.lower("content").alias("text")).mapInArrow(_cut, "gram long, doc long, stretch int, mask long")
-        cut.sortWithinPartitions("gram", "doc").write.parquet(f"{path}/grams")
+        cut.sortWithinPartitions("gram", "doc").write.option("compression", CODEC).parquet(f"{path}/grams")
         return cls(spark, path)
 
     def counts(self, grams: list[str]) -> dict[str, int]:

@@ -127,3 +127,9 @@ def test_references_by_the_index(spark, tables):
 def test_empty_index(spark, tmp_path):
     index = search.Index.build(spark.createDataFrame([], "file string, content string"), str(tmp_path / "e"))
     assert index.hits("needle").isEmpty() and index.hits("ne").isEmpty()
+
+
+def test_the_index_is_packed(spark, tmp_path):
+    search.Index.build(spark.createDataFrame([("f", "some text\nmore text")], "file string, content string"), str(tmp_path / "packed"))
+    names = [p.name for p in (tmp_path / "packed").rglob("part-*")]
+    assert names and all(".zstd." in n for n in names)
