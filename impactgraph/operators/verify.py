@@ -211,10 +211,17 @@ def member_changes(before: DataFrame, after: DataFrame, *keys: str) -> DataFrame
 BLOCKS = ("interface", "type", "trait", "protocol")
 
 
+#: Lines of a stretch, by which blocks and lines meet.
+STRETCH = 64
+
+
 def block_lines(lines: DataFrame, blocks: DataFrame) -> DataFrame:
     """(file, block, line, name, text): lines of declaration blocks (file, block, start, end) that declare a member, white
     space collapsed; a member's name is the first one right before a parenthesis. Comments are left out."""
-    inside = blocks.where("start <= end").select("file", "block", F.explode(F.sequence("start", "end")).alias("line")).join(lines, ["file", "line"])
+    # A long block is a row for each STRETCH of its lines, not for each line: few blocks are few tasks.
+    stretch = lambda line: F.floor(F.col(line) / STRETCH)
+    spans = blocks.where("start <= end").select("file", "block", "start", "end", F.explode(F.sequence(stretch("start"), stretch("end"))).alias("stretch"))
+    inside = spans.join(lines.select("file", "line", "text", stretch("line").alias("stretch")), ["file", "stretch"]).where("line BETWEEN start AND end")
     text = F.trim(F.regexp_replace("text", r"\s+", " "))
     named = inside.select("file", "block", "line", F.regexp_extract(text, r"([A-Za-z_$][\w$]*)\(", 1).alias("name"), text.alias("text"))
     return named.where(~F.col("text").rlike(r"^(//|\*|/\*|#)") & (F.col("name") != ""))

@@ -232,3 +232,12 @@ def test_file_sources(spark, tmp_path):
     assert [tuple(r) for r in files.load(spark, path, "tool string, calls long").collect()] == [("u", 3)]
     diff = "--- a/x\n+++ b/x\n@@ -1 +1,2 @@\n-a\n+++ b\n+c\n--- a/y\n+++ /dev/null\n@@ -1,2 +0,0 @@\n-p\n-q\n"
     assert [tuple(r) for r in files.diff_lines(spark, diff).select("file", "text", "deleted").collect()] == [("x", "@@ -1 +1,2 @@", False), ("y", "@@ -1,2 +0,0 @@", True)]
+
+
+def test_long_blocks_are_few_rows(spark):
+    """A block meets its lines by stretches, with its first and last line and not beyond."""
+    blocks = spark.createDataFrame([("f", "b", 63, 640), ("f", "c", 64, 64), ("f", "d", 9, 8)], "file string, block string, start int, end int")
+    lines = spark.createDataFrame([("f", i, f"op{i}(a)") for i in (62, 63, 64, 127, 128, 640, 641)] + [("g", 64, "op(a)")], "file string, line int, text string")
+    got = verify.block_lines(lines, blocks)
+    assert sorted((x.block, x.line) for x in got.collect()) == [("b", 63), ("b", 64), ("b", 127), ("b", 128), ("b", 640), ("c", 64)]
+    assert "floor" in got._jdf.queryExecution().optimizedPlan().toString().lower()
