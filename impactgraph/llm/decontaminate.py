@@ -178,9 +178,9 @@ def _judged(docs: DataFrame, benchmark: DataFrame, n: int, scratch: Scratch) ->
     return docs.join(F.broadcast(per) if size <= HITS_BYTES else per, "row_key", "left")
 
 
-def _mask(n_words: int, spans: list[dict] | None) -> np.ndarray:
+def _mask(n_words: int, spans: list[dict] | np.ndarray | None) -> np.ndarray:
     step = np.zeros(n_words + 1, np.int32)
-    for x in spans or ():
+    for x in () if spans is None else spans:
         step[x["s"]] += 1
         step[x["e"]] -= 1
     return np.cumsum(step[:-1]) > 0
