@@ -13,6 +13,8 @@ leave: one half of the words is intact. Variants of BLOCK words or more are hash
 sums up to each word give all variants in time proportional to the words; shorter ones directly. That is a matter of
 time: either way a variant has one key, and equal variants have equal ones.
 
+Joins of all units, keys or texts have one kind at any size, so that what they shuffle grows with the input alone.
+
 Null texts stay null and have no units. A null doc_id ranks last. Rows with equal ids follow each other in a fixed order.
 A unit goes with its line break; a document may become empty, and stays as a row. An empty table gives no rows.
 """
@@ -114,7 +116,7 @@ def removed(docs: DataFrame, scratch: Scratch) -> DataFrame:
     first = slim.groupBy("k1", "k2").agg(F.min(_pos()).alias("first"), F.count("*").alias("n"), F.any_value("halves").alias("halves"))
     first = scratch.write(first.select("k1", "k2", "n", "first.*", "halves"), "first")
     repeated = first.where("n > 1").select("k1", "k2", _pos().alias("first"))
-    copies = slim.join(repeated, ["k1", "k2"]).where(_pos() > F.col("first")).select("row_key", "u")
+    copies = slim.join(repeated.hint("merge"), ["k1", "k2"]).where(_pos() > F.col("first")).select("row_key", "u")
     copies = scratch.write(copies, "copies")
     scratch.drop("units")
 
@@ -136,12 +138,12 @@ def removed(docs: DataFrame, scratch: Scratch) -> DataFrame:
     keys = scratch.write(near.select("rank", "row_key", "u", n.alias("n"), F.posexplode(variants).alias("i", "key")), "keys")
     swap = keys.where("i > 0").groupBy("n", "i", "key").agg(F.min(_pos()).alias("least"), F.max(_pos()).alias("most")).where("least < most").select("n", "i", "key", "least")
     swap = scratch.write(swap, "swap")
-    swapped = keys.join(swap, ["n", "i", "key"]).where(_pos() > F.col("least")).select(_pos().alias("x"), "i", F.col("least").alias("y"), F.lit("swap").alias("kind"))
+    swapped = keys.join(swap.hint("merge"), ["n", "i", "key"]).where(_pos() > F.col("least")).select(_pos().alias("x"), "i", F.col("least").alias("y"), F.lit("swap").alias("kind"))
     size = F.when(F.col("i") == 0, F.col("n")).otherwise(F.col("n") - 1)
     sized = keys.withColumn("m", size)
     meet = sized.groupBy("m", "key").agg(F.min(F.when(F.col("i") == 0, _pos())).alias("short"), F.min(F.when(F.col("i") > 0, _pos())).alias("long"), F.min_by("i", F.when(F.col("i") > 0, _pos())).alias("at")).where("short IS NOT NULL AND long IS NOT NULL")
     meet = scratch.write(meet, "meet")
-    both = sized.join(meet, ["m", "key"])
+    both = sized.join(meet.hint("merge"), ["m", "key"])
     longer = both.where("i > 0").where(_pos() > F.col("short")).select(_pos().alias("x"), "i", F.col("short").alias("y"), F.lit("drop").alias("kind"))
     shorter = both.where("i = 0").where(_pos() > F.col("long")).select(_pos().alias("x"), F.col("at").alias("i"), F.col("long").alias("y"), F.lit("add").alias("kind"))
     found = swapped.unionByName(longer).unionByName(shorter).distinct()
@@ -154,7 +156,7 @@ def removed(docs: DataFrame, scratch: Scratch) -> DataFrame:
     left = F.when(F.col("kind") == "add", 0).otherwise(1)
     right = F.when(F.col("kind") == "drop", 0).otherwise(1)
     true = (before("a") == before("b")) & (behind("a", left) == behind("b", right))
-    edited = found.join(x, ["row_key", "u"]).join(y, ["r", "v"]).where(true).select("row_key", "u").distinct()
+    edited = found.join(x.hint("merge"), ["row_key", "u"]).join(y.hint("merge"), ["r", "v"]).where(true).select("row_key", "u").distinct()
     return scratch.write(copies.unionByName(edited), "gone")
 
 
@@ -165,12 +167,10 @@ def dedup(docs: DataFrame) -> DataFrame:
     nulls = docs.where("text IS NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), none.alias("n_units"), none.alias("n_removed"))
     docs = keyed(docs.where("text IS NOT NULL"), scratch)
     gone = scratch.write(removed(docs, scratch).groupBy("row_key").agg(F.array_sort(F.collect_list("u")).alias("gone")), "per-row")
-    keys = gone.select("row_key")
     lines = F.split("text", "\n", -1)
-    n_units = F.size(lines).cast("long").alias("n_units")
-    keys = F.broadcast(keys) if few(gone, KEYS) else keys
-    same = docs.join(keys, "row_key", "left_anti").select("doc_id", "text", n_units, none.alias("n_removed"))
-    less = docs.join(keys, "row_key", "left_semi").join(gone, "row_key")
     kept = F.filter(F.transform(lines, lambda line, u: F.when(~F.array_contains("gone", u), line)), lambda x: x.isNotNull())
-    less = less.select("doc_id", F.array_join(kept, "\n").alias("text"), n_units, F.size("gone").cast("long").alias("n_removed"))
-    return same.unionByName(less).unionByName(nulls)
+    # All texts are shuffled once, at any size, and not sorted: what goes is the side that is hashed.
+    all_ = docs.join(gone.hint("shuffle_hash"), "row_key", "left")
+    whole = F.col("gone").isNull()
+    all_ = all_.select("doc_id", F.when(whole, F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"), F.size(lines).cast("long").alias("n_units"), F.when(whole, none).otherwise(F.size("gone").cast("long")).alias("n_removed"))
+    return all_.unionByName(nulls)
