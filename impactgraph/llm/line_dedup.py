@@ -5,13 +5,13 @@ A unit is a line, however long; words are what single spaces part. A unit is rem
 words of the shorter unit, and BOUND in all. With BOUND 1 the variants of a unit are itself and itself without one word.
 The earlier unit counts whether or not it is removed itself. Units of white space only always stay.
 
-Each unit emits itself and its variants as hashed keys; units that share a key are within the bound, by the key's kind: a
-replaced word leaves equal variants at one place, an inserted word makes a variant of the longer unit equal to the
-shorter one. So a key needs only its earliest units, never its pairs. The edit distance is verified on the words
-themselves. Before that, units are left out that share neither half with another unit, which edits of one word always
-leave: one half of the words is intact. Variants of BLOCK words or more are hashed by polynomials modulo two primes, whose
-sums up to each word give all variants in time proportional to the words; shorter ones directly. That is a matter of
-time: either way a variant has one key, and equal variants have equal ones.
+Units are left out first that share neither half with another unit, which edits of one word always leave: one half of the
+words is intact. Each other unit emits as hashed keys itself and its variants, without each of the words outside the half
+that it shares; units that share a key are within the bound, by the key's kind: a replaced word leaves equal variants at one
+place, an inserted word makes a variant of the longer unit equal to the shorter one. So a key needs only its earliest units,
+never its pairs. The edit distance is verified on the words themselves. Variants of BLOCK words or more are hashed by
+polynomials modulo two primes, whose sums up to each word give all variants in time proportional to the words; shorter ones
+directly. That is a matter of time: either way a variant has one key, and equal variants have equal ones.
 
 Joins of all units, keys or texts have one kind at any size, so that what they shuffle grows with the input alone.
 
@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from impactgraph.llm.common import Scratch, few, keyed
+from impactgraph.llm.common import Scratch, few, numbered
 
 #: Edits allowed at most, and the words of a unit for each.
 BOUND, EACH = 1, 8
@@ -37,10 +37,6 @@ KEYS = 1_000_000
 _PRIMES, _BASES = (2147483647, 2147483629), (1103515245, 1664525)
 
 
-def _words(text: Column) -> Column:
-    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(" "), F.lit(""))) + 1
-
-
 def units(docs: DataFrame) -> DataFrame:
     """row_key, rank, u, unit: all units that aren't blank, u being the line's number."""
     lines = docs.select("row_key", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("rank"), F.posexplode(F.split("text", "\n", -1)).alias("u", "unit"))
@@ -51,12 +47,22 @@ def _pos() -> Column:
     return F.struct("rank", "row_key", "u")
 
 
-def _halves(n: Column) -> Column:
-    """Hashes of the halves that stay intact when a word is edited: two prefixes and two suffixes, some of them the same."""
-    low, high = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
-    head = lambda m: F.xxhash64(F.lit("head"), F.call_function("substring_index", "unit", F.lit(" "), m))
-    tail = lambda m: F.xxhash64(F.lit("tail"), F.call_function("substring_index", "unit", F.lit(" "), -m))
-    return F.array_distinct(F.array(head(low), head(high), tail((n - low).cast("int")), tail((n - 1 - high).cast("int"))))
+def _halves(words: Column) -> Column:
+    """Hashes of the parts that stay intact when a word is edited, by the places of `_open`: of n words the first n // 2,
+    the n // 2 - 1 first (n even) or (n + 1) // 2 last (n odd), and the n // 2 last."""
+    n = F.size(words)
+    low, high = F.shiftright(n, 1), F.shiftright(n + 1, 1)
+    head = lambda m: F.xxhash64(F.lit("head"), F.slice(words, 1, m))
+    tail = lambda m: F.xxhash64(F.lit("tail"), F.slice(words, n - m + 1, m))
+    return F.array(head(low), F.when(low == high, head(low - 1)).otherwise(tail(high)), tail(low))
+
+
+def _open(k: Column, n: Column) -> list[Column]:
+    """lo, hi: the words outside part k of `_halves`, where units that share it may differ."""
+    low, even = F.shiftright(n, 1), n % 2 == 0
+    lo = F.when(k == 0, low + 1).when((k == 1) & even, low).otherwise(1)
+    hi = F.when((k == 0) | ((k == 1) & even), n).when(k == 1, low).otherwise(n - low)
+    return [lo.alias("lo"), hi.alias("hi")]
 
 
 def _sums(words: Column) -> Column:
@@ -107,56 +113,70 @@ def _long_keys(words: Column, variants: bool) -> Column:
     return F.flatten(F.transform(F.array(_sums(words)), keys))
 
 
+def _keys(near: DataFrame) -> DataFrame:
+    """x, n, i, key: the unit itself (i 0), and the unit without word i for the words from lo to hi.
+
+    Such a key meets others at its place, as a replaced word, and the whole of shorter units.
+    """
+    words, n, i = F.col("words"), F.size("words"), F.col("i")
+    # A sequence of BLOCK words is what a longer unit may become by a deletion, so it has their kind of hash.
+    sums = F.when(n == BLOCK, _long_keys(words, False)).when(n > BLOCK, _long_keys(words, True))
+    # Units become rows of numbers first, so that Spark compiles the hashes of the many shorter ones.
+    rows = near.select("x", "words", sums.alias("sums"), F.concat(F.array(F.lit(0)), F.sequence("lo", "hi")).alias("places")).select("x", "words", "sums", F.explode("places").alias("i"))
+    without = F.xxhash64(F.slice(words, 1, i - 1), F.slice(words, i + 1, n))
+    direct = F.when(i == 0, F.xxhash64(words)).otherwise(without)
+    return rows.select("x", n.alias("n"), "i", F.coalesce(F.get("sums", i), direct).alias("key"))
+
+
 def removed(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(row_key, u) of every unit that goes. docs: as `keyed` has them."""
-    all_ = units(docs).withColumn("n", _words(F.col("unit")))
-    slim = all_.select("row_key", "rank", "u", F.xxhash64("unit").alias("k1"), F.xxhash64(F.lit(1), "unit").alias("k2"), F.when(F.col("n") >= EACH, _halves(F.col("n"))).alias("halves"))
+    """(row_key, u) of every unit that goes. docs: row_key, doc_id, text."""
+    all_ = units(docs).withColumn("words", F.split("unit", " ", -1)).withColumn("n", F.size("words"))
+    slim = all_.select("row_key", "rank", "u", F.xxhash64("unit").alias("k1"), F.xxhash64(F.lit(1), "unit").alias("k2"), "n", F.when(F.col("n") >= EACH, _halves(F.col("words"))).alias("halves"))
     slim = scratch.write(slim, "units")
     # Equal units have equal halves, so that any one's will do.
-    first = slim.groupBy("k1", "k2").agg(F.min(_pos()).alias("first"), F.count("*").alias("n"), F.any_value("halves").alias("halves"))
-    first = scratch.write(first.select("k1", "k2", "n", "first.*", "halves"), "first")
-    repeated = first.where("n > 1").select("k1", "k2", _pos().alias("first"))
+    first = slim.groupBy("k1", "k2").agg(F.min(_pos()).alias("first"), F.count("*").alias("times"), F.any_value(F.struct("n", "halves")).alias("any"))
+    first = scratch.write(first.select("k1", "k2", "times", "first.*", "any.*"), "first")
+    repeated = first.where("times > 1").select("k1", "k2", _pos().alias("first"))
     copies = slim.join(repeated.hint("merge"), ["k1", "k2"]).where(_pos() > F.col("first")).select("row_key", "u")
     copies = scratch.write(copies, "copies")
     scratch.drop("units")
 
-    # Of each distinct unit that may have an edit the first place; those that share a half with another.
-    half = first.where("halves IS NOT NULL").select("row_key", "u", F.explode("halves").alias("h"))
+    # Of each distinct unit that may have an edit the first place; those that share a half with another, numbered in the
+    # order of their places, and the words where they may differ.
+    half = first.where("halves IS NOT NULL").select("rank", "row_key", "u", "n", F.posexplode("halves").alias("k", "h"))
     met = scratch.write(half.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "met")
-    open_ = scratch.write(half.join(F.broadcast(met) if few(met, KEYS) else met, "h").select("row_key", "u").distinct(), "open")
-    scratch.drop("first", "met")
+    sharing = half.join(F.broadcast(met) if few(met, KEYS) else met, "h").select("rank", "row_key", "u", *_open(F.col("k"), F.col("n")))
+    open_ = scratch.write(sharing.groupBy("rank", "row_key", "u").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")), "open")
+    open_ = open_.orderBy("rank", "row_key", "u").select("row_key", "u", F.monotonically_increasing_id().alias("x"), "lo", "hi")
+    open_ = scratch.write(open_, "ordered")
+    scratch.drop("first", "met", "open")
     names = scratch.write(open_.select("row_key").distinct(), "names")
     own = docs.join(F.broadcast(names) if few(names, KEYS) else names, "row_key", "left_semi")
+    # Five numbers a row: some 40 MB at most.
     near = units(own).join(F.broadcast(open_) if few(open_) else open_, ["row_key", "u"])
-    near = scratch.write(near.select("row_key", "rank", "u", F.split("unit", " ", -1).alias("words")), "near")
+    near = scratch.write(near.select("x", "row_key", "u", "lo", "hi", F.split("unit", " ", -1).alias("words")), "near")
 
-    # Keys: without word i as a replaced word, at its place; without word i against shorter units; and the unit itself.
-    # A sequence of BLOCK words is what a longer unit may become by a deletion, so it has their kind of hash.
-    n, words = F.size("words"), F.col("words")
-    without = F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.slice(words, 1, i - 1), F.slice(words, i + 1, n)))
-    variants = F.when(n < BLOCK, F.concat(F.array(F.xxhash64(words)), without)).when(n == BLOCK, F.concat(_long_keys(words, False), without)).otherwise(_long_keys(words, True))
-    keys = scratch.write(near.select("rank", "row_key", "u", n.alias("n"), F.posexplode(variants).alias("i", "key")), "keys")
-    swap = keys.where("i > 0").groupBy("n", "i", "key").agg(F.min(_pos()).alias("least"), F.max(_pos()).alias("most")).where("least < most").select("n", "i", "key", "least")
+    keys = scratch.write(_keys(near), "keys")
+    # What is hashed in these joins has a key once: swap as it is grouped, whole units as each is there once.
+    edits = keys.where("i > 0")
+    swap = edits.groupBy("n", "i", "key").agg(F.min("x").alias("y"), F.max("x").alias("most")).where("y < most").select("n", "i", "key", "y")
     swap = scratch.write(swap, "swap")
-    swapped = keys.join(swap.hint("merge"), ["n", "i", "key"]).where(_pos() > F.col("least")).select(_pos().alias("x"), "i", F.col("least").alias("y"), F.lit("swap").alias("kind"))
-    size = F.when(F.col("i") == 0, F.col("n")).otherwise(F.col("n") - 1)
-    sized = keys.withColumn("m", size)
-    meet = sized.groupBy("m", "key").agg(F.min(F.when(F.col("i") == 0, _pos())).alias("short"), F.min(F.when(F.col("i") > 0, _pos())).alias("long"), F.min_by("i", F.when(F.col("i") > 0, _pos())).alias("at")).where("short IS NOT NULL AND long IS NOT NULL")
+    swapped = edits.join(swap.hint("shuffle_hash"), ["n", "i", "key"]).where("x > y").select("x", "i", "y", F.lit("swap").alias("kind"))
+    whole = keys.where("i = 0").select("n", "key", F.col("x").alias("short"))
+    meet = edits.select((F.col("n") - 1).alias("n"), "key", "i", F.col("x").alias("long")).join(whole.hint("shuffle_hash"), ["n", "key"]).select("short", "long", "i")
     meet = scratch.write(meet, "meet")
-    both = sized.join(meet.hint("merge"), ["m", "key"])
-    longer = both.where("i > 0").where(_pos() > F.col("short")).select(_pos().alias("x"), "i", F.col("short").alias("y"), F.lit("drop").alias("kind"))
-    shorter = both.where("i = 0").where(_pos() > F.col("long")).select(_pos().alias("x"), F.col("at").alias("i"), F.col("long").alias("y"), F.lit("add").alias("kind"))
-    found = swapped.unionByName(longer).unionByName(shorter).distinct()
-    found = scratch.write(found.select(F.col("x.row_key").alias("row_key"), F.col("x.u").alias("u"), "i", "kind", F.col("y.row_key").alias("r"), F.col("y.u").alias("v")), "found")
+    longer = meet.where("long > short").select(F.col("long").alias("x"), "i", F.col("short").alias("y"), F.lit("drop").alias("kind"))
+    shorter = meet.where("short > long").groupBy("short").agg(F.min("long").alias("y"), F.min_by("i", "long").alias("i")).select(F.col("short").alias("x"), "i", "y", F.lit("add").alias("kind"))
+    found = scratch.write(swapped.unionByName(longer).unionByName(shorter).distinct(), "found")
     scratch.drop("keys")
 
-    x, y = near.select("row_key", "u", F.col("words").alias("a")), near.select(F.col("row_key").alias("r"), F.col("u").alias("v"), F.col("words").alias("b"))
+    a, b = near.select("x", "row_key", "u", F.col("words").alias("a")), near.select(F.col("x").alias("y"), F.col("words").alias("b"))
     before = lambda w: F.slice(w, 1, F.col("i") - 1)
     behind = lambda w, k: F.slice(w, F.col("i") + k, F.size(w))
     left = F.when(F.col("kind") == "add", 0).otherwise(1)
     right = F.when(F.col("kind") == "drop", 0).otherwise(1)
     true = (before("a") == before("b")) & (behind("a", left) == behind("b", right))
-    edited = found.join(x.hint("merge"), ["row_key", "u"]).join(y.hint("merge"), ["r", "v"]).where(true).select("row_key", "u").distinct()
+    edited = found.join(a.hint("merge"), "x").join(b.hint("merge"), "y").where(true).select("row_key", "u").distinct()
     return scratch.write(copies.unionByName(edited), "gone")
 
 
@@ -165,7 +185,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "line-dedup")
     none = F.lit(0).cast("long")
     nulls = docs.where("text IS NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), none.alias("n_units"), none.alias("n_removed"))
-    docs = keyed(docs.where("text IS NOT NULL"), scratch)
+    rows = numbered(docs, scratch)
+    docs = rows.where("doc.text IS NOT NULL").select("row_key", F.col("doc.doc_id").cast("long").alias("doc_id"), F.col("doc.text").alias("text"))
     gone = scratch.write(removed(docs, scratch).groupBy("row_key").agg(F.array_sort(F.collect_list("u")).alias("gone")), "per-row")
     lines = F.split("text", "\n", -1)
     kept = F.filter(F.transform(lines, lambda line, u: F.when(~F.array_contains("gone", u), line)), lambda x: x.isNotNull())
